@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import col, contains_any, py_strip, strip_chars
+from .text import col, contains_any, let, py_strip, strip_chars
 
 # Whole-word pack/piece/count/quantity; ``_`` is a word character (same in Java).
 PACK_WORD_RE = "\\b(pack|piece|count|quantity)s?\\b"
@@ -32,9 +32,14 @@ def slug_key(c) -> Column:
 def norm_key(c, aliases: dict[str, str] | None = None) -> Column:
     """Canonical attribute key or '' (dropped)."""
     aliases = rules.KEY_ALIASES if aliases is None else aliases
-    canon_names = list(dict.fromkeys(aliases.values()))
     k = slug_key(c)
-    canonical = F.coalesce(F.try_element_at(_alias_map(aliases), k), k)
+    bound = F.struct(k.alias("k"), F.coalesce(F.try_element_at(_alias_map(aliases), k), k).alias("canon"))
+    return F.when(col(c).isNull(), F.lit(None).cast("string")).otherwise(
+        let(bound, lambda b: _norm_key_bound(b["k"], b["canon"], aliases)))
+
+
+def _norm_key_bound(k: Column, canonical: Column, aliases: dict[str, str]) -> Column:
+    canon_names = list(dict.fromkeys(aliases.values()))
     dropped = (
         contains_any(k, rules.KEY_BLACKLIST_SUBSTRINGS)
         | k.isin(rules.KEY_BLACKLIST_EXACT)
@@ -46,8 +51,7 @@ def norm_key(c, aliases: dict[str, str] | None = None) -> Column:
     material_like = contains_any(canonical, ["material", "fabric", "composition"])
     material_excl = contains_any(canonical, ["weight", "percentage", "stretch"])
     return (
-        F.when(k.isNull(), F.lit(None))
-        .when(dropped, F.lit(""))
+        F.when(dropped, F.lit(""))
         .when(canonical.isin(canon_names), canonical)
         .when(contains_any(canonical, ["sentiment", "description", "class", "group"]), canonical)
         .when(contains_any(canonical, ["neck", "neckline", "collar"]), F.lit("neck_style"))

@@ -15,6 +15,9 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # The matching expressions are large (nested higher-order functions);
+    # constraint inference over them costs seconds of planning and prunes nothing.
+    "spark.sql.constraintPropagation.enabled": "false",
 }
 
 
@@ -27,16 +30,28 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
     b = SparkSession.builder.appName(app_name)
     if master:
         b = b.master(master)
+        if master.startswith("local"):
+            # local mode: the driver JVM is the whole cluster
+            b = b.config("spark.driver.memory", "16g")
     b = b.config("spark.ui.enabled", "false")
     for k, v in JOB_CONF.items():
         b = b.config(k, v)
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     spark = b.getOrCreate()
+    apply_job_conf(spark)
     spark.sparkContext.setLogLevel("ERROR")
     return spark
 
 
+def apply_job_conf(spark: SparkSession) -> SparkSession:
+    """Apply the runtime SQL settings to an existing session (e.g. the driver's)."""
+    for k, v in JOB_CONF.items():
+        if k.startswith("spark.sql."):
+            spark.conf.set(k, v)
+    return spark
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
