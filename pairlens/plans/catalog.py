@@ -116,3 +116,191 @@ QUERIES = {
     "verdict_per_pair": verdict_per_pair,
     "title_token_set": title_token_set,
 }
+
+
+# ---------------------------------------------------------------------------
+# evaluation against labels (AG2, AG3, PF8) — label derived from the titles
+# ---------------------------------------------------------------------------
+
+
+def _derived_label(t1, t2):
+    """Ground truth from the two titles: same name -> 'Not Sure' (skipped), same
+    colour word -> 'Size Different', same noun -> 'Color Different', else
+    'Incorrect Match' (a non-exact label)."""
+    w1, w2 = F.split(t1, " "), F.split(t2, " ")
+    return (F.when(t1 == t2, F.lit("Not Sure"))
+            .when(F.get(w1, 0) == F.get(w2, 0), F.lit("Size Different"))
+            .when(F.get(w1, 1) == F.get(w2, 1), F.lit("Color Different"))
+            .otherwise(F.lit("Incorrect Match")))
+
+
+def accuracy_vs_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators.evaluate import accuracy
+    res = part_results(spark, sf_dir).withColumn(
+        "original_csv_label", _derived_label(F.col("title_link_1"), F.col("title_link_2")))
+    return accuracy(res)
+
+
+_LABEL_SQL = """CASE WHEN t1 = t2 THEN 'Not Sure'
+  WHEN split_part(t1, ' ', 1) = split_part(t2, ' ', 1) THEN 'Size Different'
+  WHEN split_part(t1, ' ', 2) = split_part(t2, ' ', 2) THEN 'Color Different'
+  ELSE 'Incorrect Match' END"""
+
+SQL["accuracy_vs_label"] = PART_VERDICT_SQL + f""",
+ev AS (
+  SELECT {_LABEL_SQL} AS gt,
+         CASE our_result WHEN 'CASE_A_EXACT_MATCH' THEN 'Exact Match' WHEN 'CASE_B_SIZE_DIFF' THEN 'Size Different'
+              WHEN 'CASE_C_COLOR_DIFF' THEN 'Color Different' WHEN 'NO_MATCH' THEN 'No Match' ELSE 'Unknown' END AS pred
+  FROM v),
+ok AS (
+  SELECT (pred = gt OR (pred IN ('Size Different', 'Color Different', 'No Match')
+                        AND gt IN ('Variant Line Match', 'Incorrect Match'))) AS correct
+  FROM ev WHERE trim(gt) <> '' AND lower(gt) <> 'not sure')
+SELECT count(*) AS total, coalesce(sum(correct::BIGINT), 0) AS correct,
+       CASE WHEN count(*) > 0 THEN printf('%.1f', sum(correct::BIGINT)::DOUBLE / count(*) * 100.0) END AS accuracy_pct
+FROM ok"""
+QUERIES["accuracy_vs_label"] = accuracy_vs_label
+
+
+# ---------------------------------------------------------------------------
+# relational steps of the jobs (J2, J3, J4, AG6, AG7)
+# ---------------------------------------------------------------------------
+
+
+def dedupe_last(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG6: last order per customer by (date, key) — partial aggregate, skew-safe."""
+    from ..operators.relational import last_by_key
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select(
+        "o_custkey", "o_orderkey", "o_orderdate", "o_totalprice")
+    return last_by_key(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+
+
+SQL["dedupe_last"] = """
+SELECT o_custkey, o_orderkey, o_orderdate, o_totalprice FROM (
+  SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS rn
+  FROM orders) WHERE rn = 1"""
+QUERIES["dedupe_last"] = dedupe_last
+
+
+def resume_anti(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """J3 + AG7: orders still to process = orders minus those whose line items
+    are all done (composite done key (order, line) from finished lines)."""
+    from ..operators.relational import skip_done
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey", "o_orderstatus")
+    done = (spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+            .where(F.col("l_linestatus") == "F").select(F.col("l_orderkey").alias("o_orderkey")))
+    return skip_done(orders, done, ["o_orderkey"])
+
+
+SQL["resume_anti"] = """
+SELECT o_orderkey, o_custkey, o_orderstatus FROM orders
+WHERE o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_linestatus = 'F' AND l_orderkey IS NOT NULL)"""
+QUERIES["resume_anti"] = resume_anti
+
+
+def scope_semi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents in scope = those with a label row (left-semi join)."""
+    from ..operators.relational import in_scope
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "lang", "source", "n_chars")
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    return in_scope(docs, labels, ["doc_id"])
+
+
+SQL["scope_semi"] = """
+SELECT doc_id, lang, source, n_chars FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)"""
+QUERIES["scope_semi"] = scope_semi
+
+
+def meta_left(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order rows with customer meta, blank when the customer is missing."""
+    from ..operators.relational import attach_meta
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").select("o_orderkey", "o_custkey")
+    cust = spark.read.parquet(f"{sf_dir}/customer.parquet").withColumnRenamed("c_custkey", "o_custkey")
+    return attach_meta(orders, cust, ["o_custkey"], {"c_name": "", "c_mktsegment": ""})
+
+
+SQL["meta_left"] = """
+SELECT o_orderkey, o_custkey, coalesce(c_name, '') AS c_name, coalesce(c_mktsegment, '') AS c_mktsegment
+FROM orders LEFT JOIN customer ON c_custkey = o_custkey"""
+QUERIES["meta_left"] = meta_left
+
+
+# ---------------------------------------------------------------------------
+# attribute merges over an event stream table (AT1, AT2)
+# ---------------------------------------------------------------------------
+
+
+def _attr_merge(spark: SparkSession, sf_dir: str, last: bool) -> DataFrame:
+    from pyspark.sql import Window
+    ev = spark.read.parquet(f"{sf_dir}/events.parquet").select("user_id", "event_type", "value", "ts", "event_id")
+    order = F.struct("ts", "event_id")
+    pick = F.max_by("value", order) if last else F.min_by("value", order)
+    g = ev.groupBy("user_id", F.col("event_type").alias("attr_key")).agg(
+        pick.alias("attr_value"), F.min(order).alias("_first"))
+    # one row per (user, key): the window is bounded by the number of keys
+    w = Window.partitionBy("user_id").orderBy("_first")
+    return g.select("user_id", "attr_key", "attr_value", F.row_number().over(w).alias("attr_pos"))
+
+
+def attr_last_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AT1: per user, keys in first-seen order, each with its last value."""
+    return _attr_merge(spark, sf_dir, last=True)
+
+
+def attr_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AT2: per user, keys in first-seen order, each with its first value."""
+    return _attr_merge(spark, sf_dir, last=False)
+
+
+def _attr_sql(last: bool) -> str:
+    d = "DESC" if last else "ASC"
+    return f"""
+WITH r AS (
+  SELECT user_id, event_type AS attr_key, value,
+         row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts {d}, event_id {d}) AS rn,
+         min(ts) OVER (PARTITION BY user_id, event_type) AS f_ts
+  FROM events),
+g AS (SELECT user_id, attr_key, value AS attr_value,
+             (SELECT min(e.event_id) FROM events e WHERE e.user_id = r.user_id AND e.event_type = r.attr_key
+                AND e.ts = r.f_ts) AS f_id, f_ts
+      FROM r WHERE rn = 1)
+SELECT user_id, attr_key, attr_value,
+       row_number() OVER (PARTITION BY user_id ORDER BY f_ts, f_id)::INTEGER AS attr_pos
+FROM g"""
+
+
+SQL["attr_last_wins"] = _attr_sql(True)
+SQL["attr_first_wins"] = _attr_sql(False)
+QUERIES["attr_last_wins"] = attr_last_wins
+QUERIES["attr_first_wins"] = attr_first_wins
+
+
+# ---------------------------------------------------------------------------
+# image-hash similarity (SIM4) over 64-bit sign codes of the embeddings
+# ---------------------------------------------------------------------------
+
+
+def hamming_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SIM4: sign bits of each embedding as a 64-bit hash; each vector compared
+    with the next id (equi-join on id + 1)."""
+    from ..operators.images import sign_code_hex
+    from ..functions import hamming_distance, hamming_pct, hex_to_long
+    e = spark.read.parquet(f"{sf_dir}/embeddings.parquet").select(
+        "vec_id", sign_code_hex(F.col("embedding")).alias("h"))
+    nxt = e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("vec_id").alias("next_vec_id"),
+                   F.col("h").alias("h2"))
+    j = e.join(nxt, "vec_id")
+    return j.select("vec_id", "next_vec_id", F.col("h").alias("hash_1"), F.col("h2").alias("hash_2"),
+                    hamming_distance(hex_to_long("h"), hex_to_long("h2")).alias("distance"),
+                    hamming_pct("h", "h2").alias("image_similarity_pct"))
+
+
+_CODE_SQL = ("list_reduce(list_transform(range(64), lambda i: CASE WHEN embedding[i + 1] > 0 "
+             "THEN (1::UBIGINT << i::INTEGER) ELSE 0::UBIGINT END), lambda a, b: a | b, 0::UBIGINT)")
+SQL["hamming_pairs"] = f"""
+WITH c AS (SELECT vec_id, {_CODE_SQL} AS code FROM embeddings)
+SELECT a.vec_id, b.vec_id AS next_vec_id, printf('%016x', a.code) AS hash_1, printf('%016x', b.code) AS hash_2,
+       bit_count(xor(a.code, b.code))::INTEGER AS distance,
+       round_even((1 - bit_count(xor(a.code, b.code)) / 64.0) * 100, 2)::DOUBLE AS image_similarity_pct
+FROM c a JOIN c b ON b.vec_id = a.vec_id + 1"""
+QUERIES["hamming_pairs"] = hamming_pairs
