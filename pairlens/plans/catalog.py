@@ -304,3 +304,141 @@ SELECT a.vec_id, b.vec_id AS next_vec_id, printf('%016x', a.code) AS hash_1, pri
        round_even((1 - bit_count(xor(a.code, b.code)) / 64.0) * 100, 2)::DOUBLE AS image_similarity_pct
 FROM c a JOIN c b ON b.vec_id = a.vec_id + 1"""
 QUERIES["hamming_pairs"] = hamming_pairs
+
+
+# ---------------------------------------------------------------------------
+# scalar normalisers over inputs derived from part
+# ---------------------------------------------------------------------------
+# Each part row yields a fixed set of probe texts built from its own fields, so
+# the work grows with the table. Templates: (Spark column builder, SQL text).
+
+def _w(i):
+    return F.get(F.split(F.col("p_name"), " "), i)
+
+
+def _s(c):
+    return F.col(c).cast("string")
+
+
+KEY_TEMPLATES = [
+    (lambda: F.concat(F.col("p_type"), F.lit(" Type")), "p_type || ' Type'"),
+    (lambda: F.concat(_w(0), F.lit(" Colour")), "split_part(p_name, ' ', 1) || ' Colour'"),
+    (lambda: F.concat(F.lit("Fabric "), _w(1)), "'Fabric ' || split_part(p_name, ' ', 2)"),
+    (lambda: F.concat(F.lit("Pack of "), _s("p_size")), "'Pack of ' || p_size::VARCHAR"),
+    (lambda: F.concat(_w(1), F.lit(" Sleeve Style")), "split_part(p_name, ' ', 2) || ' Sleeve Style'"),
+    (lambda: F.concat(F.upper(_w(0)), F.lit(" "), _w(1)), "upper(split_part(p_name, ' ', 1)) || ' ' || split_part(p_name, ' ', 2)"),
+    (lambda: F.concat(F.lit("Item "), _w(1), F.lit(" Weight")), "'Item ' || split_part(p_name, ' ', 2) || ' Weight'"),
+    (lambda: F.concat(_w(0), F.lit(" Neck")), "split_part(p_name, ' ', 1) || ' Neck'"),
+    (lambda: F.concat(_s("p_size"), F.lit(" Pieces")), "p_size::VARCHAR || ' Pieces'"),
+    (lambda: F.concat(F.col("p_type"), F.lit(" Care & Wash")), "p_type || ' Care & Wash'"),
+    (lambda: F.concat(F.lit("  "), F.col("p_type"), F.lit(" Pack ")), "'  ' || p_type || ' Pack '"),
+    (lambda: F.concat(_w(0), F.lit("/"), _w(1), F.lit(" Price")), "split_part(p_name, ' ', 1) || '/' || split_part(p_name, ' ', 2) || ' Price'"),
+    (lambda: F.concat(F.lit("Number of "), _w(1), F.lit("s")), "'Number of ' || split_part(p_name, ' ', 2) || 's'"),
+    (lambda: F.concat(F.lit("Fabric "), F.col("p_type"), F.lit(" Stretch")), "'Fabric ' || p_type || ' Stretch'"),
+]
+
+BRAND_TEMPLATES = [
+    (lambda: F.col("p_brand"), "p_brand"),
+    (lambda: F.concat(F.col("p_brand"), F.lit(" Inc.")), "p_brand || ' Inc.'"),
+    (lambda: F.concat(F.lit("Premium "), F.col("p_brand"), F.lit(" Co")), "'Premium ' || p_brand || ' Co'"),
+    (lambda: F.concat(F.upper(_w(0)), F.lit("'s Basics LLC")), "upper(split_part(p_name, ' ', 1)) || '''s Basics LLC'"),
+    (lambda: F.concat(F.lit(" "), _w(1), F.lit("-"), _w(0), F.lit(" Company ")), "' ' || split_part(p_name, ' ', 2) || '-' || split_part(p_name, ' ', 1) || ' Company '"),
+]
+
+PRICE_TEMPLATES = [
+    (lambda: F.concat(F.lit("$"), _s("p_retailprice")), "'$' || p_retailprice::VARCHAR"),
+    (lambda: F.concat(F.lit("₹"), F.format_number(F.round(F.col("p_retailprice") * 83.5), 0)),
+     "'₹' || format('{:,}', round(p_retailprice * 83.5)::BIGINT)"),
+    (lambda: F.concat(F.lit("$"), _s("p_retailprice"), F.lit("$"), _s("p_retailprice")),
+     "'$' || p_retailprice::VARCHAR || '$' || p_retailprice::VARCHAR"),
+    (lambda: F.concat(F.lit("Rs. "), F.col("p_retailprice").cast("bigint").cast("string")),
+     "'Rs. ' || trunc(p_retailprice)::BIGINT::VARCHAR"),
+    (lambda: F.concat(_s("p_retailprice"), F.lit(" USD")), "p_retailprice::VARCHAR || ' USD'"),
+    (lambda: F.concat(_s("p_size"), F.lit(" dollars")), "p_size::VARCHAR || ' dollars'"),
+    (lambda: F.concat(F.lit("  $"), _s("p_size"), F.lit(" ")), "chr(160) || ' $' || p_size::VARCHAR || ' '"),
+    (lambda: F.when(F.col("p_size") > 25, F.lit("Free")).otherwise(F.lit("")),
+     "CASE WHEN p_size > 25 THEN 'Free' ELSE '' END"),
+    (lambda: F.concat(F.lit("INR "), _w(0)), "'INR ' || split_part(p_name, ' ', 1)"),
+]
+
+VALUE_TEMPLATES = [
+    ("weight", lambda: F.concat(_s("p_size"), F.lit(" lb")), "p_size::VARCHAR || ' lb'"),
+    ("weight", lambda: F.concat(_s("p_size"), F.lit(" lb 3 oz")), "p_size::VARCHAR || ' lb 3 oz'"),
+    ("weight", lambda: F.concat(F.lit("lightweight "), _w(1)), "'lightweight ' || split_part(p_name, ' ', 2)"),
+    ("capacity", lambda: F.concat(_s("p_size"), F.lit(" fl oz")), "p_size::VARCHAR || ' fl oz'"),
+    ("length", lambda: F.concat(_s("p_size"), F.lit(" in")), "p_size::VARCHAR || ' in'"),
+    ("item_dimensions", lambda: F.concat(F.lit("10 x "), _s("p_size"), F.lit(" x 2 in")), "'10 x ' || p_size::VARCHAR || ' x 2 in'"),
+    ("size", lambda: F.element_at(F.array(*[F.lit(x) for x in ["S", "M", "L", "XL", "X-Large", "32W x 30L"]]),
+                                  (F.col("p_size") % 6 + 1).cast("int")),
+     "['S', 'M', 'L', 'XL', 'X-Large', '32W x 30L'][p_size % 6 + 1]"),
+    ("color", lambda: F.concat(F.initcap(_w(0)), F.lit(" - Out of Stock")), "upper(left(split_part(p_name, ' ', 1), 1)) || substr(split_part(p_name, ' ', 1), 2) || ' - Out of Stock'"),
+    ("color", lambda: F.concat(_w(0), F.lit(" was $"), _s("p_retailprice")), "split_part(p_name, ' ', 1) || ' was $' || p_retailprice::VARCHAR"),
+    ("stretch", lambda: F.concat(_s("p_size"), F.lit("%")), "p_size::VARCHAR || '%'"),
+    ("washable", lambda: F.when(F.col("p_size") % 2 == 0, F.lit("Yes")).otherwise(F.lit("no")),
+     "CASE WHEN p_size % 2 = 0 THEN 'Yes' ELSE 'no' END"),
+    ("pack_count", lambda: F.concat(_s("p_size"), F.lit("-Pack")), "p_size::VARCHAR || '-Pack'"),
+    ("pack", lambda: F.concat(F.lit("Pack of "), _s("p_size")), "'Pack of ' || p_size::VARCHAR"),
+    ("material", lambda: F.concat(F.col("p_type"), F.lit(" ("), _s("p_size"), F.lit(" left)")),
+     "p_type || ' (' || p_size::VARCHAR || ' left)'"),
+]
+
+
+def _probe(spark, sf_dir, templates, name):
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    probes = F.array(*[F.struct(F.lit(i + 1).alias("tpl"), t[0]().alias("txt")) for i, t in enumerate(templates)])
+    return part.select("p_partkey", F.inline(probes)).withColumnRenamed("txt", name)
+
+
+def _probe_sql(templates, name):
+    rows = ", ".join(f"{{'tpl': {i + 1}, 'txt': {t[1]}}}" for i, t in enumerate(templates))
+    return (f"(SELECT p_partkey, _u.tpl::INTEGER AS tpl, _u.txt AS {name} "
+            f"FROM (SELECT p_partkey, unnest([{rows}]) AS _u FROM part))")
+
+
+def q_norm_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Attribute-key normalisation of key texts built from each part."""
+    from ..functions import norm_key
+    return _probe(spark, sf_dir, KEY_TEMPLATES, "key_raw").select(
+        "p_partkey", "tpl", "key_raw", norm_key("key_raw").alias("norm_key"))
+
+
+def q_clean_brand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Brand cleaning of brand texts built from each part."""
+    from ..functions import clean_brand
+    return _probe(spark, sf_dir, BRAND_TEMPLATES, "brand_raw").select(
+        "p_partkey", "tpl", "brand_raw", clean_brand("brand_raw").alias("brand_clean"))
+
+
+def q_clean_price(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Price cleaning of price texts built from each part's price."""
+    from ..functions import clean_price
+    return _probe(spark, sf_dir, PRICE_TEMPLATES, "price_raw").select(
+        "p_partkey", "tpl", "price_raw", clean_price("price_raw").alias("price"))
+
+
+def q_norm_value(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Value normalisation by key of value texts built from each part."""
+    from ..functions import norm_value
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    probes = F.array(*[F.struct(F.lit(i + 1).alias("tpl"), F.lit(k).alias("attr_key"), t().alias("raw"))
+                       for i, (k, t, _) in enumerate(VALUE_TEMPLATES)])
+    p = part.select("p_partkey", F.inline(probes)).withColumn("_v", norm_value("attr_key", "raw"))
+    return p.select("p_partkey", "tpl", "attr_key", "raw", F.col("_v.kind").alias("kind"),
+                    F.col("_v.s").alias("s"), F.col("_v.n").alias("n"))
+
+
+def _value_probe_sql():
+    rows = ", ".join(f"{{'tpl': {i + 1}, 'k': {O.q(k)}, 'txt': {sql}}}" for i, (k, _, sql) in enumerate(VALUE_TEMPLATES))
+    return (f"(SELECT p_partkey, _u.tpl::INTEGER AS tpl, _u.k AS attr_key, _u.txt AS raw "
+            f"FROM (SELECT p_partkey, unnest([{rows}]) AS _u FROM part))")
+
+
+SQL["norm_key"] = O.norm_key_select(_probe_sql(KEY_TEMPLATES, "key_raw"), "p_partkey, tpl, key_raw", "key_raw")
+SQL["clean_brand"] = (f"SELECT p_partkey, tpl, brand_raw, {O.clean_brand('brand_raw')} AS brand_clean "
+                      f"FROM {_probe_sql(BRAND_TEMPLATES, 'brand_raw')}")
+SQL["clean_price"] = O.clean_price_select(_probe_sql(PRICE_TEMPLATES, "price_raw"), "p_partkey, tpl, price_raw", "price_raw")
+SQL["norm_value"] = O.norm_value_select(_value_probe_sql(), "p_partkey, tpl, attr_key, raw", "attr_key", "raw")
+QUERIES["norm_key"] = q_norm_key
+QUERIES["clean_brand"] = q_clean_brand
+QUERIES["clean_price"] = q_clean_price
+QUERIES["norm_value"] = q_norm_value

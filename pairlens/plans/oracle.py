@@ -86,3 +86,101 @@ def map_case(x: str, mapping: dict, default: str) -> str:
 
 def pct_text(n: str, total: str) -> str:
     return f"(CASE WHEN {total} = 0 THEN '0%' ELSE printf('%.1f', {n}::DOUBLE / {total} * 100.0) || '%' END)"
+
+
+# --- normalisation rules in SQL (staged: each stage is a subquery column) ---
+
+def norm_key_select(src: str, keep: str, x: str, out: str = "norm_key") -> str:
+    """SELECT keep, <normalised key of x> AS out FROM src."""
+    canon_names = list(dict.fromkeys(rules.KEY_ALIASES.values()))
+    exact = ", ".join(q(t) for t in rules.KEY_BLACKLIST_EXACT)
+    names = ", ".join(q(t) for t in canon_names)
+    alias = map_case("_k", rules.KEY_ALIASES, "_k")
+    dropped = (f"({contains_any('_k', rules.KEY_BLACKLIST_SUBSTRINGS)} OR _k IN ({exact}) OR length(_k) <= 1 "
+               f"OR regexp_matches(_k, '\\binr\\b|\\busd\\b') OR regexp_matches(_k, '^[0-9]') "
+               f"OR {contains_any('_k', rules.KEY_JUNK_TERMS)})")
+    return f"""SELECT {keep}, CASE WHEN _k IS NULL THEN NULL
+        WHEN {dropped} THEN ''
+        WHEN _c IN ({names}) THEN _c
+        WHEN {contains_any('_c', ['sentiment', 'description', 'class', 'group'])} THEN _c
+        WHEN {contains_any('_c', ['neck', 'neckline', 'collar'])} THEN 'neck_style'
+        WHEN contains(_c, 'sleeve') THEN 'sleeve_length'
+        WHEN {contains_any('_c', ['care', 'wash', 'clean'])} THEN 'care_instructions'
+        WHEN {contains_any('_c', ['color', 'colour'])} THEN 'color'
+        WHEN regexp_matches(_c, '\\b(pack|piece|count|quantity)s?\\b') THEN 'pack_count'
+        WHEN {contains_any('_c', ['material', 'fabric', 'composition'])}
+             AND NOT {contains_any('_c', ['weight', 'percentage', 'stretch'])} THEN 'material'
+        ELSE _c END AS {out}
+      FROM (SELECT *, {alias} AS _c FROM (
+        SELECT *, regexp_replace(regexp_replace(lower({strip(x)}), '[^a-z0-9]+', '_', 'g'), '^_+|_+$', '', 'g') AS _k
+        FROM {src}))"""
+
+
+def clean_price_select(src: str, keep: str, x: str, out: str = "price") -> str:
+    num_ok = "_num <> '' AND TRY_CAST(_num AS DOUBLE) IS NOT NULL"
+    return f"""SELECT {keep}, CASE WHEN {x} IS NULL OR {x} = '' THEN 'N/A'
+        WHEN {num_ok} AND regexp_matches(_p, '(?i)(inr|rs\\.?|₹)')
+          THEN '$' || printf('%.2f', _num::DOUBLE / {rules.INR_PER_USD})
+        WHEN {num_ok} THEN '$' || printf('%.2f', _num::DOUBLE)
+        ELSE {strip("regexp_replace(regexp_replace(_p, '(?i)\\b(inr|rs\\.?)\\s*', '$', 'g'), '(?i)\\busd\\s*', '$', 'g')")}
+      END AS {out}
+      FROM (SELECT *, replace(regexp_extract(_p, '([0-9,]+\\.[0-9]+|[0-9,]+)', 1), ',', '') AS _num FROM (
+        SELECT *, CASE WHEN length(_ns) % 2 = 0 AND substr(_ns, 1, length(_ns) // 2) = substr(_ns, length(_ns) // 2 + 1)
+                       THEN substr(_ns, 1, length(_ns) // 2) ELSE _sp END AS _p
+        FROM (SELECT *, regexp_replace(_sp, '\\s+', '', 'g') AS _ns FROM (
+          SELECT *, regexp_replace({strip(f"replace({x}, chr(160), ' ')")}, '\\s+', ' ', 'g') AS _sp FROM {src}))))"""
+
+
+def _num_guard(x: str) -> str:
+    return f"(CASE WHEN regexp_full_match({x}, '([0-9]+\\.?[0-9]*|\\.[0-9]+)') THEN {x}::DOUBLE END)"
+
+
+def unit_case(v: str, table: dict[str, float], also_remove: str | None = None) -> str:
+    parts = []
+    for unit, factor in rules.units_longest_first(table):
+        rest = f"replace({v}, {q(unit)}, '')"
+        if also_remove:
+            rest = f"replace({rest}, {q(also_remove)}, '')"
+        num = _num_guard(f"regexp_replace({rest}, '[^0-9.]', '', 'g')")
+        parts.append(f"CASE WHEN contains({v}, {q(unit)}) THEN round_even({num} * {factor}, 4) END")
+    return "coalesce(" + ", ".join(parts) + ")"
+
+
+def norm_value_select(src: str, keep: str, key: str, raw: str) -> str:
+    """SELECT keep, kind, s, n of the normalised value (tagged form)."""
+    noise1 = "regexp_replace(_v0, '(?i)\\s*[-–]?\\s*(out of stock|in stock|unavailable|sold out)\\b.*', '', 'g')"
+    noise2 = "regexp_replace(_v1, '(?i)\\s+was\\s+[\\$₹£€]\\S+.*$', '', 'g')"
+    noise3 = "regexp_replace(_v2, '(?i)\\s*\\(?\\s*\\d+\\s*(items?|left|remaining)\\s*\\)?$', '', 'g')"
+    size_map = map_case("lower(_v)", {k: str(v) for k, v in rules.SIZE_ORDINAL.items()}, "NULL")
+    pack_map = map_case("lower(_v)", {k: str(v) for k, v in rules.PACK_WORDS.items()}, "NULL")
+    color = map_case("lower(_v)", rules.COLOR_ALIASES, "lower(_v)")
+    pct = f"(CASE WHEN ends_with(_v, '%') THEN TRY_CAST({strip('left(_v, length(_v) - 1)')} AS DOUBLE) END)"
+    t = ", ".join(q(x) for x in rules.BOOL_TRUE)
+    f_ = ", ".join(q(x) for x in rules.BOOL_FALSE)
+    kind_s_n = f"""CASE
+        WHEN _v = '' THEN {{'kind': 'str', 's': {strip(raw)}, 'n': NULL::DOUBLE}}
+        WHEN {contains_any(key, ['color', 'colour', 'shade', 'tone'])} THEN {{'kind': 'str', 's': {color}, 'n': NULL::DOUBLE}}
+        WHEN {key} IN ('size', 'clothing_size', 'product_size') THEN
+          CASE WHEN {size_map} IS NOT NULL THEN {{'kind': 'int', 's': {size_map}, 'n': {size_map}::DOUBLE}}
+               ELSE {{'kind': 'str', 's': lower(_v), 'n': NULL::DOUBLE}} END
+        WHEN regexp_matches({key}, '\\b(pack|piece|count|quantity)s?\\b') THEN
+          CASE WHEN regexp_extract(lower(_v), '([0-9]+)', 1) <> '' THEN
+                 {{'kind': 'int', 's': regexp_extract(lower(_v), '([0-9]+)', 1)::HUGEINT::VARCHAR,
+                   'n': regexp_extract(lower(_v), '([0-9]+)', 1)::DOUBLE}}
+               WHEN {pack_map} IS NOT NULL THEN {{'kind': 'int', 's': {pack_map}, 'n': {pack_map}::DOUBLE}}
+               ELSE {{'kind': 'str', 's': lower(_v), 'n': NULL::DOUBLE}} END
+        WHEN contains({key}, 'weight') AND _w IS NOT NULL THEN {{'kind': 'float', 's': _w::VARCHAR, 'n': _w}}
+        WHEN {contains_any(key, ['volume', 'capacity'])} AND _vol IS NOT NULL THEN {{'kind': 'float', 's': _vol::VARCHAR, 'n': _vol}}
+        WHEN {contains_any(key, ['length', 'width', 'height', 'dimension'])} AND _len IS NOT NULL
+          THEN {{'kind': 'float', 's': _len::VARCHAR, 'n': _len}}
+        WHEN {pct} IS NOT NULL THEN {{'kind': 'float', 's': {pct}::VARCHAR, 'n': {pct}}}
+        WHEN lower(_v) IN ({t}) THEN {{'kind': 'bool', 's': 'true', 'n': 1.0}}
+        WHEN lower(_v) IN ({f_}) THEN {{'kind': 'bool', 's': 'false', 'n': 0.0}}
+        ELSE {{'kind': 'str', 's': lower(_v), 'n': NULL::DOUBLE}} END"""
+    return f"""SELECT {keep}, _r.kind AS kind, _r.s AS s, _r.n AS n FROM (
+      SELECT *, {kind_s_n} AS _r FROM (
+        SELECT *, {unit_case('lower(_v)', rules.WEIGHT_TO_G)} AS _w,
+               {unit_case('lower(_v)', rules.VOLUME_TO_ML, 'fl')} AS _vol,
+               {unit_case('lower(_v)', rules.LENGTH_TO_CM)} AS _len
+        FROM (SELECT *, {strip(noise3)} AS _v FROM (SELECT *, {strip(noise2)} AS _v2 FROM (
+              SELECT *, {strip(noise1)} AS _v1 FROM (SELECT *, {strip(raw)} AS _v0 FROM {src}))))))"""
