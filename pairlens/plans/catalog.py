@@ -442,3 +442,155 @@ QUERIES["norm_key"] = q_norm_key
 QUERIES["clean_brand"] = q_clean_brand
 QUERIES["clean_price"] = q_clean_price
 QUERIES["norm_value"] = q_norm_value
+
+
+# ---------------------------------------------------------------------------
+# key alignment (SIM1, AL1, SL4) and value rules (VM1-VM10)
+# ---------------------------------------------------------------------------
+
+LEFT_KEYS = [
+    (lambda: F.concat(_w(0), F.lit("_color")), "split_part(p_name, ' ', 1) || '_color'"),
+    (lambda: F.lit("size_type"), "'size_type'"),
+    (lambda: F.concat(_w(1), F.lit("_name")), "split_part(p_name, ' ', 2) || '_name'"),
+    (lambda: F.concat(F.lower(F.col("p_type")), F.lit("_fabric")), "lower(p_type) || '_fabric'"),
+    (lambda: F.lit("weight"), "'weight'"),
+    (lambda: F.lit("colour"), "'colour'"),
+]
+RIGHT_KEYS = [
+    (lambda: F.concat(_w(1), F.lit("_colour")), "split_part(p_name, ' ', 2) || '_colour'"),
+    (lambda: F.lit("sizes"), "'sizes'"),
+    (lambda: F.lit("color_name"), "'color_name'"),
+    (lambda: F.concat(_w(0), F.lit("_name")), "split_part(p_name, ' ', 1) || '_name'"),
+    (lambda: F.lower(F.col("p_type")), "lower(p_type)"),
+    (lambda: F.lit("height"), "'height'"),
+]
+
+
+def key_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AL1: greedy fuzzy alignment of two key lists built from each part."""
+    from ..operators.align import align_keys
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    k1 = F.array(*[t[0]() for t in LEFT_KEYS])
+    k2 = F.array(*[t[0]() for t in RIGHT_KEYS])
+    p = part.select("p_partkey", k1.alias("k1"), k2.alias("k2"))
+    al = align_keys("k1", "k2")
+    return p.select("p_partkey", F.array_join(F.transform(
+        al, lambda x: F.concat(F.col("k1")[x["i"]], F.lit(">"), F.col("k2")[x["j"]])), "|").alias("aligned"))
+
+
+SQL["key_alignment"] = f"""
+SELECT p_partkey, array_to_string({O.greedy_align('k1', 'k2')}, '|') AS aligned FROM (
+  SELECT p_partkey, [{', '.join(t[1] for t in LEFT_KEYS)}] AS k1, [{', '.join(t[1] for t in RIGHT_KEYS)}] AS k2
+  FROM part)"""
+QUERIES["key_alignment"] = key_alignment
+
+
+# value-rule probes per part pair: (key, kind1, text1, kind2, text2) from both sides
+def _side(c, i):
+    return F.get(F.split(F.col(c), " "), i)
+
+
+VALUE_RULE_TEMPLATES = [
+    ("brand", "str", lambda: F.col("b1"), "str", lambda: F.col("b2"), "b1", "b2"),
+    ("material", "str", lambda: F.concat(F.lit("100% cotton "), F.lower("m1")), "str",
+     lambda: F.concat(F.lower("m2"), F.lit(" blend")), "'100% cotton ' || lower(m1)", "lower(m2) || ' blend'"),
+    ("neck_style", "str", lambda: F.concat(_side("t1", 0), F.lit(" neck")), "str",
+     lambda: F.concat(_side("t2", 0), F.lit(" crew")), "split_part(t1, ' ', 1) || ' neck'", "split_part(t2, ' ', 1) || ' crew'"),
+    ("sleeve_length", "str", lambda: F.concat(_side("t1", 1), F.lit(" sleeve")), "str",
+     lambda: F.concat(F.lit("basic "), _side("t2", 1)), "split_part(t1, ' ', 2) || ' sleeve'", "'basic ' || split_part(t2, ' ', 2)"),
+    ("care_instructions", "str", lambda: F.concat(F.lit("wash "), _side("t1", 0)), "str",
+     lambda: F.concat(F.lit("wash "), _side("t2", 0), F.lit(" cold")), "'wash ' || split_part(t1, ' ', 1)",
+     "'wash ' || split_part(t2, ' ', 1) || ' cold'"),
+    ("fit", "str", lambda: F.concat(_side("t1", 0), F.lit(" fit")), "str", lambda: F.concat(F.lit("regular "), _side("t2", 1)),
+     "split_part(t1, ' ', 1) || ' fit'", "'regular ' || split_part(t2, ' ', 2)"),
+    ("color", "str", lambda: _side("t1", 0), "str", lambda: _side("t2", 0), "split_part(t1, ' ', 1)", "split_part(t2, ' ', 1)"),
+    ("style", "str", lambda: F.col("t1"), "str", lambda: F.col("t2"), "t1", "t2"),
+    ("weight", "float", lambda: F.col("z1").cast("string"), "float", lambda: F.col("z2").cast("string"), "z1::VARCHAR", "z2::VARCHAR"),
+    ("count", "int", lambda: F.col("z1").cast("string"), "str", lambda: F.concat(F.lit(" "), F.col("z2").cast("string")),
+     "z1::VARCHAR", "' ' || z2::VARCHAR"),
+    ("washable", "bool", lambda: F.lit("true"), "str", lambda: F.col("z2").cast("string"), "'true'", "z2::VARCHAR"),
+]
+
+
+def _pair_sides(spark, sf_dir):
+    """(pair_id, t1, t2, b1, b2, m1, m2, z1, z2) of consecutive parts per brand/type."""
+    from pyspark.sql import Window
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
+    nxt = part.select(
+        F.col("p_partkey").alias("k1"), F.col("p_name").alias("t1"), F.col("p_brand").alias("b1"),
+        F.col("p_type").alias("m1"), (F.col("p_size") % 4).alias("z1"),
+        F.lead("p_partkey").over(w).alias("k2"), F.lead("p_name").over(w).alias("t2"),
+        F.lead("p_brand").over(w).alias("b2"), F.lead("p_type").over(w).alias("m2"),
+        (F.lead("p_size").over(w) % 4).alias("z2"))
+    return nxt.where(F.col("k2").isNotNull()).withColumn(
+        "pair_id", F.format_string("p%d-p%d", F.col("k1"), F.col("k2")))
+
+
+def value_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """VM1-VM10: domain value rules on value pairs built from each part pair.
+
+    (The pairing here is the plain window; the catalog fixture uses the
+    skew-safe variant. Probes only need some pairing of real rows.)"""
+    from ..operators.diff import values_match
+    from ..functions.values import make_value
+    sides = _pair_sides(spark, sf_dir)
+    probes = F.array(*[F.struct(
+        F.lit(i + 1).alias("tpl"), F.lit(k).alias("attr_key"),
+        make_value(kd1, v1(), F.when(F.lit(kd1) == "str", F.lit(None)).otherwise(v1().try_cast("double"))).alias("v1"),
+        make_value(kd2, v2(), F.when(F.lit(kd2) == "str", F.lit(None)).otherwise(v2().try_cast("double"))).alias("v2"))
+        for i, (k, kd1, v1, kd2, v2, _, _) in enumerate(VALUE_RULE_TEMPLATES)])
+    p = sides.select("pair_id", F.inline(probes))
+    return p.select("pair_id", "tpl", "attr_key", F.col("v1.s").alias("value_1"), F.col("v2.s").alias("value_2"),
+                    values_match("attr_key", "v1", "v2").alias("match"))
+
+
+def _value_rules_sql():
+    rows = ", ".join(
+        f"{{'tpl': {i + 1}, 'k': {O.q(k)}, 'kd1': {O.q(kd1)}, 's1': {s1}, 'kd2': {O.q(kd2)}, 's2': {s2}}}"
+        for i, (k, kd1, _, kd2, _, s1, s2) in enumerate(VALUE_RULE_TEMPLATES))
+    words = " OR ".join(f"(contains(a, {O.q(w)}) AND contains(b, {O.q(w)}))" for w in rules.MATERIAL_WORDS)
+
+    def both(ws):
+        return f"({O.contains_any('a', ws)} AND {O.contains_any('b', ws)})"
+    sub = "(contains(b, a) OR contains(a, b))"
+    cheap = f"""CASE k
+        WHEN 'brand' THEN {sub}
+        WHEN 'material' THEN ({words} OR {sub})
+        WHEN 'neck_style' THEN ({both(['crew', 'round'])} OR {both(['v'])} OR {both(['hood'])} OR {both(['polo', 'collar'])} OR {sub})
+        WHEN 'sleeve_length' THEN ({both(['short'])} OR {both(['long'])} OR {both(['sleeveless'])} OR {both(['basic', 'short'])} OR {sub})
+        WHEN 'care_instructions' THEN ({both(['machine'])} OR {both(['hand'])} OR {both(['dry clean'])} OR {sub})
+        WHEN 'fit' THEN ({both(['slim'])} OR {both(['relaxed', 'loose'])} OR {both(['regular', 'classic', 'standard'])} OR {sub})
+        ELSE false END"""
+    th = "CASE WHEN k = 'care_instructions' THEN 75 WHEN k IN ('brand', 'material', 'neck_style', 'sleeve_length', 'fit') THEN 80 ELSE 85 END"
+    num = "(CASE WHEN regexp_full_match(trim({0}), '[+-]?([0-9]+\\.?[0-9]*|\\.[0-9]+)([eE][+-]?[0-9]+)?') THEN trim({0})::DOUBLE END)"
+    n1, n2 = num.format("s1"), num.format("s2")
+    close = "(abs({0} - {1}) / greatest(abs({0}), abs({1}), 1e-9) <= 0.01)"
+    return f"""
+WITH f AS (
+  SELECT p_partkey, p_name, p_brand, p_type, p_size % 4 AS z FROM part),
+pr AS (
+  SELECT p_partkey AS k1, p_name AS t1, p_brand AS b1, p_type AS m1, z AS z1,
+         lead(p_partkey) OVER w AS k2, lead(p_name) OVER w AS t2, lead(p_brand) OVER w AS b2,
+         lead(p_type) OVER w AS m2, lead(z) OVER w AS z2
+  FROM f WINDOW w AS (PARTITION BY p_brand, p_type ORDER BY p_partkey)),
+rows AS (
+  SELECT printf('p%d-p%d', k1, k2) AS pair_id, unnest([{rows}]) AS u FROM pr WHERE k2 IS NOT NULL),
+r AS (
+  SELECT pair_id, u.tpl::INTEGER AS tpl, u.k AS k, u.kd1 AS kd1, u.s1 AS s1, u.kd2 AS kd2, u.s2 AS s2,
+         lower({O.strip('u.s1')}) AS a, lower({O.strip('u.s2')}) AS b FROM rows),
+t AS ({O.token_set_cte('r', ['pair_id', 'tpl'], 'a', 'b', 'tsr')})
+SELECT pair_id, tpl, k AS attr_key, s1 AS value_1, s2 AS value_2,
+  CASE
+    WHEN kd1 <> kd2 THEN coalesce(CASE WHEN {n1} IS NOT NULL AND {n2} IS NOT NULL THEN {close.format(n1, n2)} END, false)
+    WHEN kd1 <> 'str' THEN coalesce({close.format(n1, n2)}, false)
+    WHEN a = '' OR b = '' THEN a = b
+    WHEN a = b THEN true
+    WHEN {cheap} THEN true
+    ELSE tsr >= {th}
+  END AS match
+FROM r JOIN t USING (pair_id, tpl)"""
+
+
+SQL["value_match_rules"] = _value_rules_sql()
+QUERIES["value_match_rules"] = value_match_rules

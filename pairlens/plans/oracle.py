@@ -184,3 +184,17 @@ def norm_value_select(src: str, keep: str, key: str, raw: str) -> str:
                {unit_case('lower(_v)', rules.LENGTH_TO_CM)} AS _len
         FROM (SELECT *, {strip(noise3)} AS _v FROM (SELECT *, {strip(noise2)} AS _v2 FROM (
               SELECT *, {strip(noise1)} AS _v1 FROM (SELECT *, {strip(raw)} AS _v0 FROM {src}))))))"""
+
+
+def greedy_align(k1: str, k2: str, threshold: float = rules.KEY_ALIGN_THRESHOLD) -> str:
+    """Greedy one-to-one alignment of two key lists as a list of 'k1>k2' texts."""
+    score = f"CASE WHEN list_contains(st.used, j) THEN -1.0 ELSE {indel_ratio('kx', 'ky')} END"
+    # bind the two keys of the (i, j) cell to names usable by the LCS text
+    cell = f"list_transform([{{'kx': {k1}[i + 1], 'ky': {k2}[j + 1]}}], lambda cc: {score.replace('kx', 'cc.kx').replace('ky', 'cc.ky')})[1]"
+    scores = f"list_transform(range(len({k2})), lambda j: {cell})"
+    step = (f"list_transform([{scores}], lambda sc: CASE WHEN len(sc) > 0 AND list_max(sc) >= {threshold} THEN "
+            f"{{'used': list_append(st.used, list_position(sc, list_max(sc)) - 1), "
+            f"'pairs': list_append(st.pairs, {k1}[i + 1] || '>' || {k2}[list_position(sc, list_max(sc))])}} "
+            f"ELSE st END)[1]")
+    return (f"list_reduce(range(len({k1})), lambda st, i: {step}, "
+            f"{{'used': []::BIGINT[], 'pairs': []::VARCHAR[]}}).pairs")
