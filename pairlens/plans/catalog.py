@@ -594,3 +594,80 @@ FROM r JOIN t USING (pair_id, tpl)"""
 
 SQL["value_match_rules"] = _value_rules_sql()
 QUERIES["value_match_rules"] = value_match_rules
+
+
+# ---------------------------------------------------------------------------
+# stored pages (PX1-PX13, PF3-PF6, AG8)
+# ---------------------------------------------------------------------------
+
+
+def _pages(spark, sf_dir):
+    from ..sources.pages import spread
+    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), "page_id")
+
+
+def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX1, PX7, PX12: parser route and title of every stored page."""
+    from ..sources.pages import extract_records
+    r = extract_records(_pages(spark, sf_dir))
+    return r.select("page_id", "url", "parser", F.col("raw.title").alias("title"))
+
+
+SQL["page_titles"] = """
+SELECT page_id, url, CASE WHEN contains(url, 'walmart.com') THEN 'walmart' WHEN contains(url, 'target.com') THEN 'target'
+         WHEN contains(url, 'flipkart.com') THEN 'flipkart' WHEN contains(url, 'myntra.com') THEN 'myntra'
+         ELSE 'generic' END AS parser,
+       regexp_replace(regexp_replace(replace(replace(replace(replace(replace(
+         regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1),
+         '&quot;', '"'), '&#39;', ''''), '&lt;', '<'), '&gt;', '>'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g'),
+         'Product summary presents key product informationKeyboard shortcutshift\\+alt\\+opt\\+D', '', 'g') AS title
+FROM pages"""
+QUERIES["page_titles"] = page_titles
+
+
+def page_blocking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PF3, PF4: blocked-page predicates on every stored page (native, no parse)."""
+    from ..sources.pages import amazon_blocked, press_hold_blocked, route
+    p = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    return p.select("page_id", route("url").alias("parser"), amazon_blocked("html").alias("amazon_blocked"),
+                    press_hold_blocked("html").alias("press_hold_blocked"))
+
+
+SQL["page_blocking"] = f"""
+SELECT page_id, CASE WHEN contains(url, 'walmart.com') THEN 'walmart' WHEN contains(url, 'target.com') THEN 'target'
+         WHEN contains(url, 'flipkart.com') THEN 'flipkart' WHEN contains(url, 'myntra.com') THEN 'myntra'
+         ELSE 'generic' END AS parser,
+       (coalesce(html, '') = '' OR {O.contains_any('lower(html)', rules.AMAZON_BLOCK_PHRASES)}) AS amazon_blocked,
+       (coalesce(html, '') = '' OR {O.contains_any('lower(html)', rules.PRESS_HOLD_BLOCK_PHRASES)}) AS press_hold_blocked
+FROM pages"""
+QUERIES["page_blocking"] = page_blocking
+
+
+def page_reject_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX13, PF5, PF6: record envelope (status, reject reason) per page."""
+    from ..sources.pages import extract_records
+    return extract_records(_pages(spark, sf_dir)).select("page_id", "parser", "status", "error")
+
+
+def page_bullets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX8-PX12: parse-quality counters per page (specs, bullets, images, text)."""
+    from ..sources.pages import extract_records
+    r = extract_records(_pages(spark, sf_dir))
+    return r.select("page_id", F.size("raw.spec_table").alias("n_specs"), F.size("raw.bullet_points").alias("n_bullets"),
+                    F.size("raw.image_urls").alias("n_images"), F.length("raw.description").alias("description_chars"),
+                    F.col("raw.source").alias("source"))
+
+
+def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AG8: parse-quality summary per host (partial aggregates)."""
+    from ..sources.pages import extract_records, host
+    r = extract_records(_pages(spark, sf_dir))
+    return r.groupBy(host("url").alias("host")).agg(
+        F.count(F.lit(1)).alias("pages"), F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("ok"),
+        F.avg(F.size("raw.spec_table")).alias("avg_specs"), F.avg(F.size("raw.bullet_points")).alias("avg_bullets"),
+        F.avg(F.size("raw.image_urls")).alias("avg_images"), F.avg(F.length("raw.title")).alias("avg_title_chars"))
+
+
+QUERIES["page_reject_reasons"] = page_reject_reasons
+QUERIES["page_bullets"] = page_bullets
+QUERIES["source_quality"] = source_quality

@@ -45,13 +45,36 @@ def get_session(master: str | None = None, shuffle_partitions: int | None = None
 
 
 def apply_job_conf(spark: SparkSession) -> SparkSession:
-    """Apply the runtime SQL settings to an existing session (e.g. the driver's)."""
+    """Apply the runtime SQL settings to an existing session (e.g. the driver's)
+    and make the package importable by the Python workers."""
     for k, v in JOB_CONF.items():
         if k.startswith("spark.sql."):
             spark.conf.set(k, v)
+    ship_package(spark)
     return spark
 
 
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors once per application (``addPyFile``),
+    so ``mapInPandas`` helpers import on workers as they do on the driver."""
+    import zipfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    pkg = Path(__file__).resolve().parent
+    out = Path(tempfile.mkdtemp(prefix="pairlens-pkg-")) / "pairlens.zip"
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in pkg.rglob("*.py"):
+            z.write(f, f.relative_to(pkg.parent))
+    spark.sparkContext.addPyFile(str(out))
+    _SHIPPED.add(app)
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
