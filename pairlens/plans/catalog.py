@@ -671,3 +671,72 @@ def source_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES["page_reject_reasons"] = page_reject_reasons
 QUERIES["page_bullets"] = page_bullets
 QUERIES["source_quality"] = source_quality
+
+
+# ---------------------------------------------------------------------------
+# streaming (ST1-ST4), run to completion with availableNow
+# ---------------------------------------------------------------------------
+
+
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST2: events read as a stream, duplicates of (user, type) dropped within
+    the watermark; the kept keys equal the batch distinct set."""
+    from ..streaming.jobs import dedup_stream, run_available_now, stream_table
+    ev = stream_table(spark, f"{sf_dir}/events.parquet")
+    out = run_available_now(dedup_stream(ev, ["user_id", "event_type"], "ts"), "stream_dedup")
+    return out.select("user_id", "event_type")
+
+
+SQL["stream_dedup"] = "SELECT DISTINCT user_id, event_type FROM events"
+QUERIES["stream_dedup"] = stream_dedup
+
+
+def stream_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST3: orders and line items as two streams, joined when both sides have
+    arrived (key equality and a 180-day ship window)."""
+    from ..streaming.jobs import pair_join_stream, run_available_now, stream_table
+    o = stream_table(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
+    li = stream_table(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
+    j = pair_join_stream(o, li, "o_orderkey", "l_orderkey", "o_orderdate", "l_shipdate")
+    return run_available_now(j, "stream_pair_join").select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
+
+
+SQL["stream_pair_join"] = """
+SELECT o_orderkey, l_linenumber, o_orderdate, l_shipdate
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+ AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 180 DAYS"""
+QUERIES["stream_pair_join"] = stream_pair_join
+
+
+def stream_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST4: classified pairs written as a table, read back as a stream, running
+    count per verdict in complete mode."""
+    from ..session import ensure_checkpoint_dir
+    from ..streaming.jobs import run_available_now, running_counts, stream_table
+    import uuid
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex[:8]}"
+    part_results(spark, sf_dir).select("pair_id", "our_result").write.parquet(path)
+    return run_available_now(running_counts(stream_table(spark, path)), "stream_verdict_counts", mode="complete")
+
+
+SQL["stream_verdict_counts"] = PART_VERDICT_SQL + "SELECT our_result, count(*) AS n FROM v GROUP BY our_result"
+QUERIES["stream_verdict_counts"] = stream_verdict_counts
+
+
+def stream_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ST1: stored pages read as a stream, parsed incrementally (the checkpoint
+    is the resume index), records appended."""
+    from ..sources.pages import extract_records
+    from ..streaming.jobs import run_available_now, stream_table
+    pages = stream_table(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    out = run_available_now(extract_records(pages).drop("raw").withColumn("scraped_at", F.col("scraped_at")),
+                            "stream_page_extract")
+    return out.select("page_id", "parser", "status")
+
+
+SQL["stream_page_extract"] = """
+SELECT page_id, 'generic' AS parser, 'ok' AS status FROM pages
+WHERE NOT (contains(url, 'walmart.com') OR contains(url, 'target.com') OR contains(url, 'flipkart.com')
+           OR contains(url, 'myntra.com') OR contains(url, 'amazon.'))
+  AND regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) <> ''"""
+QUERIES["stream_page_extract"] = stream_page_extract
