@@ -740,3 +740,37 @@ WHERE NOT (contains(url, 'walmart.com') OR contains(url, 'target.com') OR contai
            OR contains(url, 'myntra.com') OR contains(url, 'amazon.'))
   AND regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1) <> ''"""
 QUERIES["stream_page_extract"] = stream_page_extract
+
+
+# ---------------------------------------------------------------------------
+# result rows and the flat report (CL9, IO7, S19, S23)
+# ---------------------------------------------------------------------------
+
+
+def report_flat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """IO7: flat report rows with human verdict labels and JSON feature text."""
+    from ..operators.evaluate import report_flat as flat
+    from ..operators.verdict import build_results
+    return flat(build_results(part_results(spark, sf_dir)))
+
+
+
+
+SQL["report_flat"] = PART_VERDICT_SQL + """
+SELECT pair_id, 'part://' || k1::VARCHAR AS link_1_url, 'part://' || k2::VARCHAR AS link_2_url,
+  CASE our_result WHEN 'CASE_A_EXACT_MATCH' THEN 'Exact Match' WHEN 'CASE_B_SIZE_DIFF' THEN 'Size Different'
+       WHEN 'CASE_C_COLOR_DIFF' THEN 'Color Different' WHEN 'NO_MATCH' THEN 'No Match' ELSE our_result END
+    AS predicted_match_type,
+  '' AS original_match_type, t1 AS title_link_1, t2 AS title_link_2, title_sim AS title_similarity_pct,
+  (-1.0)::DOUBLE AS image_similarity_pct, 3 AS features_compared, total_matched AS matched, 3 - total_matched AS mismatched,
+  '{' || array_to_string(list_filter([
+      '"color": {"link_1": ' || to_json(c1)::VARCHAR || ', "link_2": ' || to_json(c2)::VARCHAR || '}',
+      '"size": {"link_1": ' || s1::VARCHAR || ', "link_2": ' || s2::VARCHAR || '}',
+      '"material": {"link_1": ' || to_json(m1)::VARCHAR || ', "link_2": ' || to_json(m2)::VARCHAR || '}'],
+      lambda x, i: NOT [color_ok, size_ok, material_ok][i]), ', ') || '}' AS mismatched_features_json,
+  '{' || array_to_string(list_filter([
+      '"color": ' || to_json(c1)::VARCHAR, '"size": ' || s1::VARCHAR, '"material": ' || to_json(m1)::VARCHAR],
+      lambda x, i: [color_ok, size_ok, material_ok][i]), ', ') || '}' AS matched_features_json,
+  '' AS product_type
+FROM v"""
+QUERIES["report_flat"] = report_flat
