@@ -46,10 +46,10 @@ def _bor(a: Column, b: Column) -> Column:
     return a.bitwiseOR(b)
 
 
-def _lcs_pattern_text(p: Column, t: Column) -> Column:
-    """LCS length; ``p`` is the bit-vector side (the shorter string)."""
+def _lcs_pattern_text(p: Column, t: Column, chars_p: Column, chars_t: Column) -> Column:
+    """LCS length; ``p`` is the bit-vector side (the shorter string); ``chars_*``
+    are the bound character arrays (bound once: inside lambdas nothing is shared)."""
     m = F.length(p)
-    chars_p = F.split(p, "")
     n_words = F.floor((m + F.lit(WORD_BITS - 1)) / F.lit(WORD_BITS)).cast("int")
     words = F.sequence(F.lit(0), n_words - 1)
 
@@ -67,7 +67,7 @@ def _lcs_pattern_text(p: Column, t: Column) -> Column:
                                 .otherwise(_zero())))
 
     # per text character: its match mask over the pattern, one bigint per word
-    masks = F.transform(F.split(t, ""), lambda ch: F.transform(words, lambda k: mask(ch, k)))
+    masks = F.transform(chars_t, lambda ch: F.transform(words, lambda k: mask(ch, k)))
     v0 = F.transform(words, lambda k: full(k))
     empty = F.array().cast("array<bigint>")
 
@@ -92,7 +92,9 @@ def lcs_len(a, b) -> Column:
     shorter_first = F.length(a) <= F.length(b)
     pair = F.struct(F.when(shorter_first, a).otherwise(b).alias("p"),
                     F.when(shorter_first, b).otherwise(a).alias("t"))
-    return let(pair, lambda s: _lcs_pattern_text(s["p"], s["t"]))
+    return let(pair, lambda s: let(
+        F.struct(s["p"].alias("p"), s["t"].alias("t"), F.split(s["p"], "").alias("cp"), F.split(s["t"], "").alias("ct")),
+        lambda b: _lcs_pattern_text(b["p"], b["t"], b["cp"], b["ct"])))
 
 
 def indel_ratio(a, b) -> Column:
