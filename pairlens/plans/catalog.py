@@ -513,25 +513,22 @@ VALUE_RULE_TEMPLATES = [
 
 
 def _pair_sides(spark, sf_dir):
-    """(pair_id, t1, t2, b1, b2, m1, m2, z1, z2) of consecutive parts per brand/type."""
-    from pyspark.sql import Window
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
-    w = Window.partitionBy("p_brand", "p_type").orderBy("p_partkey")
-    nxt = part.select(
+    """(pair_id, t1, t2, b1, b2, m1, m2, z1, z2) of consecutive parts per brand/type
+    (skew-safe next-in-group, as in the catalog fixture)."""
+    from ..operators.sequence import with_next_in_group
+    part = spark.read.parquet(f"{sf_dir}/part.parquet").select(
+        "p_partkey", "p_name", "p_brand", "p_type", (F.col("p_size") % 4).alias("z"))
+    nxt = with_next_in_group(part, ["p_brand", "p_type"], "p_partkey", ["p_partkey", "p_name", "p_brand", "p_type", "z"])
+    return nxt.where(F.col("next_p_partkey").isNotNull()).select(
         F.col("p_partkey").alias("k1"), F.col("p_name").alias("t1"), F.col("p_brand").alias("b1"),
-        F.col("p_type").alias("m1"), (F.col("p_size") % 4).alias("z1"),
-        F.lead("p_partkey").over(w).alias("k2"), F.lead("p_name").over(w).alias("t2"),
-        F.lead("p_brand").over(w).alias("b2"), F.lead("p_type").over(w).alias("m2"),
-        (F.lead("p_size").over(w) % 4).alias("z2"))
-    return nxt.where(F.col("k2").isNotNull()).withColumn(
-        "pair_id", F.format_string("p%d-p%d", F.col("k1"), F.col("k2")))
+        F.col("p_type").alias("m1"), F.col("z").alias("z1"),
+        F.col("next_p_partkey").alias("k2"), F.col("next_p_name").alias("t2"), F.col("next_p_brand").alias("b2"),
+        F.col("next_p_type").alias("m2"), F.col("next_z").alias("z2"),
+        F.format_string("p%d-p%d", F.col("p_partkey"), F.col("next_p_partkey")).alias("pair_id"))
 
 
 def value_match_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """VM1-VM10: domain value rules on value pairs built from each part pair.
-
-    (The pairing here is the plain window; the catalog fixture uses the
-    skew-safe variant. Probes only need some pairing of real rows.)"""
+    """VM1-VM10: domain value rules on value pairs built from each part pair."""
     from ..operators.diff import values_match
     from ..functions.values import make_value
     sides = _pair_sides(spark, sf_dir)
