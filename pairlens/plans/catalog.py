@@ -771,3 +771,110 @@ SELECT pair_id, 'part://' || k1::VARCHAR AS link_1_url, 'part://' || k2::VARCHAR
   '' AS product_type
 FROM v"""
 QUERIES["report_flat"] = report_flat
+
+
+# ---------------------------------------------------------------------------
+# site layouts derived from the stored pages (PX2-PX5): each page's title and id
+# are embedded in four site layouts, which the parse pass must read back
+# ---------------------------------------------------------------------------
+
+_RAW_TITLE = "regexp_extract(html, '(?s)<title[^>]*>(.*?)</title>', 1)"
+FLIPKART_BLOB = [("Brand", "A"), ("Type", "T"), ("Color", "C"), ("Fit", "F"), ("Pattern", "P"), ("Occasion", "O"),
+                 ("Sales Package", "SP"), ("Style Code", "SC"), ("Ideal For", "IF"), ("Net Quantity", "NQ"),
+                 ("Suitable For", "SF")]
+
+
+def _site_layouts(pages: DataFrame) -> DataFrame:
+    """(page_id, layout, url, html) — four synthetic site pages per stored page."""
+    pid = F.col("page_id").cast("string")
+    name = F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)
+
+    def spec(k, v):
+        return F.struct(F.lit(k).alias("name"), v.alias("value"))
+
+    walmart = F.to_json(F.struct(F.struct(F.struct(F.struct(F.struct(
+        F.struct(name.alias("name"), F.concat(F.lit("Acme"), pid).alias("brand"),
+                 F.array(F.struct(F.array(spec("Color", F.concat(F.lit("C"), pid)), spec("Size", F.concat(F.lit("S"), pid)),
+                                          spec("Material", F.lit("X"))).alias("specifications"))).alias("specifications"),
+                 F.struct(F.array(F.struct(F.concat(F.lit("https://img.example/"), pid, F.lit("/1.jpg")).alias("url")),
+                                  F.struct(F.concat(F.lit("https://img.example/"), pid, F.lit("/2.jpg")).alias("url")))
+                          .alias("allImages")).alias("imageInfo"),
+                 F.struct(F.struct(F.concat(F.lit("$"), pid, F.lit(".99")).alias("priceString")).alias("currentPrice"))
+                 .alias("priceInfo")).alias("product"),
+        F.struct(F.array(spec("Material", F.concat(F.lit("M"), pid))).alias("specifications"),
+                 F.concat(F.lit("<ul><li>Fit: F"), pid, F.lit("</li><li>Care: R"), pid, F.lit("</li></ul>"))
+                 .alias("shortDescription")).alias("idml")).alias("data")).alias("initialData")).alias("pageProps"))
+        .alias("props")))
+    item = F.struct(F.struct(
+        F.struct(name.alias("title"),
+                 F.array(F.concat(F.lit("<b>Color:</b> C"), pid), F.concat(F.lit("Size: S"), pid)).alias("bullet_descriptions"),
+                 F.struct(F.array(F.concat(F.lit("B1 "), pid)).alias("bullets")).alias("soft_bullets")).alias("product_description"),
+        F.struct(F.concat(F.lit("Acme"), pid).alias("name")).alias("primary_brand"),
+        F.struct(F.struct(F.concat(F.lit("https://t.example/"), pid, F.lit(".jpg")).alias("primary_image_url"),
+                          F.array(F.concat(F.lit("https://t.example/"), pid, F.lit(".jpg")),
+                                  F.concat(F.lit("https://t.example/"), pid, F.lit("b.jpg"))).alias("alternate_image_urls"))
+                 .alias("images")).alias("enrichment")).alias("item")).alias("product")
+    target = F.to_json(F.struct(F.struct(F.struct(F.array(F.struct(F.struct(F.struct(item).alias("data")).alias("state")))
+                                                  .alias("queries")).alias("dehydratedState")).alias("props")))
+    blob = F.concat(*[x for k, v in FLIPKART_BLOB for x in (F.lit(k), F.lit(v), pid)])
+    flipkart = F.concat(F.lit("<html><body><h1>"), name, F.lit("</h1><span>₹1,"), pid, F.lit("</span><div class=\"grid-formation\">"),
+                        blob, F.lit("</div><img src=\"https://rukminim2.flixcart.com/image/128/128/x"), pid,
+                        F.lit(".jpg?q=70\"></body></html>"))
+    myx = F.to_json(F.struct(F.struct(
+        F.struct(F.concat(F.lit("Acme"), pid).alias("name")).alias("brand"), name.alias("name"),
+        (F.col("page_id") + 100).alias("mrp"),
+        F.struct(F.concat(F.lit("F"), pid).alias("Fit"), F.lit("NA").alias("Neck"), F.concat(F.lit("P"), pid).alias("Pattern"))
+        .alias("articleAttributes"),
+        F.array(F.struct(F.lit("M").alias("label"), F.lit(True).alias("available")),
+                F.struct(F.lit("L").alias("label"), F.lit(False).alias("available"))).alias("sizes"),
+        F.array(F.struct(F.lit("Material & Care").alias("title"),
+                         F.concat(F.lit("Cotton<br>Wash: W"), pid).alias("description"))).alias("productDetails"))
+        .alias("pdpData")))
+    layouts = F.array(
+        F.struct(F.lit("walmart").alias("layout"), F.lit("https://www.walmart.com/ip/").alias("u"),
+                 F.concat(F.lit('<html><script id="__NEXT_DATA__" type="application/json">'), walmart, F.lit("</script></html>")).alias("h")),
+        F.struct(F.lit("target").alias("layout"), F.lit("https://www.target.com/p/").alias("u"),
+                 F.concat(F.lit('<html><script id="__NEXT_DATA__">'), target, F.lit("</script></html>")).alias("h")),
+        F.struct(F.lit("flipkart").alias("layout"), F.lit("https://www.flipkart.com/p/").alias("u"), flipkart.alias("h")),
+        F.struct(F.lit("myntra").alias("layout"), F.lit("https://www.myntra.com/p/").alias("u"),
+                 F.concat(F.lit("<html><script>window.__myx = "), myx, F.lit(";</script></html>")).alias("h")))
+    return pages.select("page_id", F.inline(layouts)).select(
+        "page_id", "layout", F.concat("u", F.col("page_id").cast("string")).alias("url"), F.col("h").alias("html"))
+
+
+def page_site_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX2-PX5, PX12: site layouts built from each stored page, parsed back."""
+    from ..sources.pages import parse_pages
+    lay = _site_layouts(_pages(spark, sf_dir))
+    parsed = parse_pages(lay.select("page_id", "url", "html").withColumn(
+        "page_id", F.col("page_id") * 10 + F.when(F.col("url").contains("walmart"), 1)
+        .when(F.col("url").contains("target"), 2).when(F.col("url").contains("flipkart"), 3).otherwise(4)))
+    r = F.col("raw")
+    return parsed.select(
+        (F.col("page_id") / 10).cast("long").alias("page_id"), F.col("parser").alias("layout"),
+        r["title"].alias("title"), r["brand"].alias("brand"),
+        F.array_join(F.transform(r["spec_table"], lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";").alias("specs"),
+        F.array_join(r["bullet_points"], "|").alias("bullets"), r["price_raw"].alias("price_raw"),
+        F.array_join(r["image_urls"], "|").alias("images"), r["source"].alias("source"))
+
+
+_DEC = ("regexp_replace(replace(replace(replace(replace(replace({0}, '&quot;', '\"'), '&#39;', ''''), '&lt;', '<'), "
+        "'&gt;', '>'), '&amp;', '&'), '^\\s+|\\s+$', '', 'g')")
+SQL["page_site_layouts"] = f"""
+WITH p AS (SELECT page_id, page_id::VARCHAR AS i, {_RAW_TITLE} AS t FROM pages)
+SELECT page_id, 'walmart' AS layout, t AS title, 'Acme' || i AS brand,
+       'Material=M' || i || ';Color=C' || i || ';Size=S' || i AS specs, 'Fit: F' || i || '|Care: R' || i AS bullets,
+       '$' || i || '.99' AS price_raw, 'https://img.example/' || i || '/1.jpg|https://img.example/' || i || '/2.jpg' AS images,
+       'next_data' AS source FROM p
+UNION ALL
+SELECT page_id, 'target', t, 'Acme' || i, 'Color=C' || i || ';Size=S' || i, 'B1 ' || i, '',
+       'https://t.example/' || i || '.jpg|https://t.example/' || i || 'b.jpg', 'target_next_data' FROM p
+UNION ALL
+SELECT page_id, 'flipkart', {_DEC.format('t')}, regexp_extract({_DEC.format('t')}, '^\\s*(\\S+)', 1),
+       {' || '.join(f"'{';' if n else ''}{k}={v}' || i" for n, (k, v) in enumerate(FLIPKART_BLOB))},
+       '', '₹1' || i, 'https://rukminim2.flixcart.com/image/832/832/x' || i || '.jpg', 'flipkart_parser' FROM p
+UNION ALL
+SELECT page_id, 'myntra', regexp_replace('Acme' || i || ' ' || t, '^\\s+|\\s+$', '', 'g'), 'Acme' || i,
+       'Fit=F' || i || ';Pattern=P' || i || ';Wash=W' || i, 'Available Size: M', '₹' || (page_id + 100)::VARCHAR, '',
+       'myntra_json_parser' FROM p"""
+QUERIES["page_site_layouts"] = page_site_layouts
