@@ -8,7 +8,7 @@ libraries' resize filters (H15).
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -28,3 +28,102 @@ def long_to_hex(code: Column) -> Column:
 
 def sign_code_hex(vec: Column, bits: int = 64) -> Column:
     return long_to_hex(sign_code(vec, bits))
+
+
+# ---------------------------------------------------------------------------
+# perceptual hashes (IMG1), computed per image inside the tasks
+# ---------------------------------------------------------------------------
+
+HASH_SCHEMA = "url string, phash string, dhash string"
+
+
+def _gray(data: bytes, h: int, w: int, c: int):
+    import numpy as np
+    a = np.frombuffer(data, dtype=np.uint8)
+    if c == 1:
+        return a.reshape(h, w).astype(np.float64)
+    a = a.reshape(h, w, c).astype(np.float64)
+    b, g, r = a[..., 0], a[..., 1], a[..., 2]  # image source stores BGR(A)
+    return r * 0.299 + g * 0.587 + b * 0.114
+
+
+def _resize(img, out_h: int, out_w: int):
+    """Area-average resize (box filter) to out_h x out_w."""
+    import numpy as np
+    h, w = img.shape
+    ys = np.linspace(0, h, out_h + 1)
+    xs = np.linspace(0, w, out_w + 1)
+    out = np.empty((out_h, out_w))
+    for i in range(out_h):
+        y0, y1 = int(ys[i]), max(int(np.ceil(ys[i + 1])), int(ys[i]) + 1)
+        for j in range(out_w):
+            x0, x1 = int(xs[j]), max(int(np.ceil(xs[j + 1])), int(xs[j]) + 1)
+            out[i, j] = img[y0:y1, x0:x1].mean()
+    return out
+
+
+def _bits_hex(bits) -> str:
+    v = 0
+    for b in bits.flatten():
+        v = (v << 1) | int(bool(b))
+    return f"{v:016x}"
+
+
+def _dct_matrix(n: int):
+    import numpy as np
+    k = np.arange(n)[:, None]
+    i = np.arange(n)[None, :]
+    return 2.0 * np.cos(np.pi * k * (2 * i + 1) / (2 * n))
+
+
+def phash_dhash(data: bytes, h: int, w: int, c: int) -> tuple[str, str]:
+    """pHash: 32x32 grey, 2-D DCT-II, top-left 8x8 above its median.
+    dHash: 9x8 grey, each pixel brighter than its left neighbour."""
+    import numpy as np
+    g = _gray(data, h, w, c)
+    small = _resize(g, 32, 32)
+    d = _dct_matrix(32)
+    coeffs = d @ small @ d.T
+    low = coeffs[:8, :8]
+    ph = _bits_hex(low > np.median(low))
+    dd = _resize(g, 8, 9)
+    dh = _bits_hex(dd[:, 1:] > dd[:, :-1])
+    return ph, dh
+
+
+def _hash_batches(batches):
+    import pandas as pd
+    for pdf in batches:
+        rows = []
+        for img in pdf["image"]:
+            try:
+                ph, dh = phash_dhash(bytes(img["data"]), int(img["height"]), int(img["width"]), int(img["nChannels"]))
+                rows.append((img["origin"], ph, dh))
+            except Exception:  # unreadable image: no hash, like a failed download
+                continue
+        yield pd.DataFrame(rows, columns=["url", "phash", "dhash"])
+
+
+def image_hashes(images: DataFrame) -> DataFrame:
+    """``read_images`` output -> ``(url, phash, dhash)``, one row per image."""
+    return images.select("image").mapInPandas(_hash_batches, HASH_SCHEMA)
+
+
+def attach_image_hashes(records: DataFrame, hashes: DataFrame, url_of=None, max_images: int = 3) -> DataFrame:
+    """Add ``image_hashes`` (first ``max_images`` image URLs that hashed, in page
+    order) to raw records. ``url_of`` maps an image URL to the stored file's
+    origin (identity by default). Groups hold at most ``max_images`` rows."""
+    from pyspark.sql import functions as F
+    key = ["pair_id", "link_key"]
+    imgs = records.select(*key, F.posexplode(F.slice(F.col("raw.image_urls"), 1, max_images)).alias("pos", "url"))
+    if url_of is not None:
+        imgs = imgs.withColumn("origin", url_of(F.col("url")))
+    else:
+        imgs = imgs.withColumn("origin", F.col("url"))
+    h = hashes.withColumnRenamed("url", "origin")
+    joined = imgs.join(h, "origin", "inner")
+    per = joined.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("pos", "url", "phash", "dhash"))).alias("_h"))
+    per = per.select(*key, F.transform("_h", lambda x: F.struct(x["url"].alias("url"), x["phash"].alias("phash"),
+                                                               x["dhash"].alias("dhash"))).alias("image_hashes"))
+    empty = F.array().cast("array<struct<url:string,phash:string,dhash:string>>")
+    return records.join(per, key, "left").withColumn("image_hashes", F.coalesce(F.col("image_hashes"), empty))

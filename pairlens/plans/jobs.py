@@ -32,12 +32,17 @@ def scrape_records(pairs: DataFrame, pages: DataFrame) -> DataFrame:
         "raw", "scraped_at")
 
 
-def extract(raw_records: DataFrame, pairs: DataFrame, done: DataFrame | None = None) -> DataFrame:
-    """AT5: in-scope, not yet done, status ok -> feature records."""
+def extract(raw_records: DataFrame, pairs: DataFrame, done: DataFrame | None = None,
+            images: DataFrame | None = None) -> DataFrame:
+    """AT5: in-scope, not yet done, status ok -> feature records; with stored
+    ``images`` (``sources.images.read_images``), up to 3 hashes per record (IMG1)."""
     r = in_scope(raw_records, pairs, ["pair_id"]).where(F.col("status") == "ok")
     if done is not None:
         r = skip_done(r, done, ["pair_id", "link_key"])
-    return extract_features(r)
+    if images is None:
+        return extract_features(r)
+    from ..operators.images import attach_image_hashes, image_hashes
+    return extract_features(attach_image_hashes(r, image_hashes(images)), with_hashes=True)
 
 
 def match(features: DataFrame, done: DataFrame | None = None) -> DataFrame:
@@ -51,10 +56,10 @@ def match(features: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return compute_diff(pairs)
 
 
-def run(pairs: DataFrame, pages: DataFrame) -> dict[str, DataFrame]:
+def run(pairs: DataFrame, pages: DataFrame, images: DataFrame | None = None) -> dict[str, DataFrame]:
     """CL11: the whole chain as DataFrames (write any of them to keep a step)."""
     raw = scrape_records(pairs, pages)
-    feats = extract(raw, pairs)
+    feats = extract(raw, pairs, images=images)
     diffs = match(feats)
     results = build_results(classify(diffs), pairs)
     return {"raw_records": raw, "features": feats, "diffs": diffs, "results": results,
