@@ -61,3 +61,18 @@ def test_flipkart_blob_and_myntra():
     r = H.parse_page("myntra", "https://www.myntra.com/x", f"<script>window.__myx = {json.dumps(myx)};</script>")
     assert r["title"] == "HRX Tee" and r["price_raw"] == "₹999" and r["bullet_points"] == ["Available Size: M"]
     assert [(s["key"], s["value"]) for s in r["spec_table"]] == [("Fit", "Slim"), ("Wash", "Cold")]
+
+
+def test_myntra_dom_fallback():
+    script = ('{"x": {"title": "Size & Fit", "description": "Regular fit<br>Model wears M"}, '
+              '"y": {"title": "Material & Care", "description": "Cotton\\u003Cbr\\u003EWash: Machine wash"}}')
+    html = ("<html><head><meta property='og:image' content='https://assets.myntassets.com/h_720,w_540,c_fill,g_auto/a.jpg'>"
+            f"</head><body><h1 class='pdp-title'>HRX</h1><h1 class='pdp-name'>Men Tee</h1>"
+            "<div class='pdp-price'><strong>₹ 1,299</strong></div>"
+            f"<script>window.data = {script}</script>"
+            "<img src='https://assets.myntassets.com/h_720,w_540,c_fill,g_auto/b.jpg'></body></html>")
+    r = H.parse_page("myntra", "https://www.myntra.com/x", html)
+    assert r["source"] == "myntra_dom_parser" and r["title"] == "HRX Men Tee" and r["price_raw"] == "₹1299"
+    assert r["spec_table"] == [{"key": "Wash", "value": "Machine wash"}]
+    assert r["image_urls"] == ["https://assets.myntassets.com/a.jpg", "https://assets.myntassets.com/b.jpg"]
+    assert r["description"] == "Cotton Wash: Machine wash"
