@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import col, contains_any, let, py_strip, strip_chars
+from .text import col, contains_any_re as contains_any, let, py_strip, strip_chars
 
 # Whole-word pack/piece/count/quantity; ``_`` is a word character (same in Java).
 PACK_WORD_RE = "\\b(pack|piece|count|quantity)s?\\b"

@@ -66,8 +66,12 @@ def _lcs_pattern_text(p: Column, t: Column, chars_p: Column, chars_t: Column) ->
             lambda acc, i: _bor(acc, F.when(chars_p[i] == ch, _shl(_one(), i - lo))
                                 .otherwise(_zero())))
 
-    # per text character: its match mask over the pattern, one bigint per word
-    masks = F.transform(chars_t, lambda ch: F.transform(words, lambda k: mask(ch, k)))
+    # match masks once per distinct text character that occurs in the pattern
+    # (others are all-zero); each text character then looks its mask up natively
+    distinct_t = F.array_distinct(chars_t)
+    zero_words = F.array_repeat(_zero(), n_words)
+    masks_d = F.transform(distinct_t, lambda ch: F.when(
+        F.array_contains(chars_p, ch), F.transform(words, lambda k: mask(ch, k))).otherwise(zero_words))
     v0 = F.transform(words, lambda k: full(k))
     empty = F.array().cast("array<bigint>")
 
@@ -81,7 +85,11 @@ def _lcs_pattern_text(p: Column, t: Column, chars_p: Column, chars_t: Column) ->
             )
         return F.aggregate(words, F.struct(_zero().alias("c"), empty.alias("out")), word)["out"]
 
-    v_end = F.aggregate(masks, v0, step)
+    def run(md):
+        return F.aggregate(chars_t, v0, lambda v, ch: step(
+            v, F.element_at(md["m"], F.array_position(md["d"], ch).cast("int"))))
+
+    v_end = let(F.struct(distinct_t.alias("d"), masks_d.alias("m")), run)
     ones = F.aggregate(v_end, F.lit(0), lambda acc, x: acc + F.bit_count(x))
     return F.when((m == 0) | (F.length(t) == 0), F.lit(0)).otherwise(m - ones)
 

@@ -36,6 +36,13 @@ def collapse_ws(c) -> Column:
     return F.array_join(py_split(c), " ")
 
 
+def contains_any_re(c, terms: list[str]) -> Column:
+    """Substring test for short texts as ONE regex alternation of quoted literals
+    (one node instead of an OR chain; lambdas evaluate node by node)."""
+    pattern = "|".join("\\Q" + t + "\\E" for t in terms)
+    return col(c).rlike(pattern)
+
+
 def contains_any(c, terms: list[str]) -> Column:
     """True when ``c`` contains one of the literal terms (substring test)."""
     c = col(c)
