@@ -14,9 +14,14 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# Every character Python's str.isspace() accepts (derived, not listed by hand).
+PY_WHITESPACE = "".join(chr(i) for i in range(0x3001) if chr(i).isspace())
+
+
 def py_strip(c) -> Column:
-    """``str.strip()``: remove leading and trailing Unicode whitespace."""
-    return F.regexp_replace(col(c), "(?U)^\\s+|\\s+$", "")
+    """``str.strip()``: remove leading and trailing whitespace, exactly the
+    characters Python treats as whitespace (native ``btrim``, no regex)."""
+    return F.btrim(col(c), F.lit(PY_WHITESPACE))
 
 
 def strip_chars(c, chars: str) -> Column:
