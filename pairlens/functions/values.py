@@ -104,13 +104,18 @@ def strip_noise(raw: Column) -> Column:
     return v
 
 
-def norm_value(key, raw) -> Column:
-    """Normalise one attribute value by its (normalised) key."""
+def norm_value(key, raw, fix_pack_count: bool = False) -> Column:
+    """Normalise one attribute value by its (normalised) key.
+
+    ``fix_pack_count``: in parity mode (default) a ``pack_count`` value stays
+    text, because the whole-word guard never matches that key (D5); set True to
+    apply the pack-count rule (S13) to it.
+    """
     bound = F.struct(col(key).alias("k"), col(raw).alias("raw"), strip_noise(col(raw)).alias("v"))
-    return let(bound, lambda b: _norm_value_bound(b["k"], b["raw"], b["v"]))
+    return let(bound, lambda b: _norm_value_bound(b["k"], b["raw"], b["v"], fix_pack_count))
 
 
-def _norm_value_bound(key: Column, raw: Column, v: Column) -> Column:
+def _norm_value_bound(key: Column, raw: Column, v: Column, fix_pack_count: bool = False) -> Column:
     lv = F.lower(v)
     weight = unit_convert(v, rules.WEIGHT_TO_G)
     volume = unit_convert(v, rules.VOLUME_TO_ML, also_remove="fl")
@@ -124,7 +129,7 @@ def _norm_value_bound(key: Column, raw: Column, v: Column) -> Column:
         .when(v == "", str_value(py_strip(raw)))
         .when(contains_any(key, ["color", "colour", "shade", "tone"]), normalize_color(v))
         .when(key.isin("size", "clothing_size", "product_size"), normalize_size(v))
-        .when(key.rlike(PACK_WORD_RE), normalize_pack_count(v))
+        .when(key.rlike(PACK_WORD_RE) | (F.lit(fix_pack_count) & (key == "pack_count")), normalize_pack_count(v))
         .when(is_weight & weight.isNotNull(), float_value(weight))
         .when(is_volume & volume.isNotNull(), float_value(volume))
         .when(is_length & length.isNotNull(), float_value(length))

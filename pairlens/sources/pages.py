@@ -107,6 +107,21 @@ def extract_records(pages: DataFrame) -> DataFrame:
         reason.alias("error"), "raw", F.current_timestamp().alias("scraped_at"))
 
 
+def parse_quality_observed(records: DataFrame, name: str = "parse_quality"):
+    """AG8 as metrics: counters collected by ``observe`` while the records are
+    written, no extra pass. Returns ``(observed_df, observation)``; read
+    ``observation.get`` after an action."""
+    from pyspark.sql import Observation
+    obs = Observation(name)
+    r = F.col("raw")
+    out = records.observe(
+        obs, F.count(F.lit(1)).alias("records"),
+        F.sum(F.when(F.col("status") == "ok", 1).otherwise(0)).alias("ok"),
+        F.sum(F.size(r["spec_table"])).alias("specs"), F.sum(F.size(r["bullet_points"])).alias("bullets"),
+        F.sum(F.size(r["image_urls"])).alias("images"))
+    return out, obs
+
+
 def latest_page_per_url(pages: DataFrame) -> DataFrame:
     """One stored snapshot per URL (the highest page_id): the URL cache (J6, AG6).
     A partial aggregate, so a hot URL does not gather in one task."""

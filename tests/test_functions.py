@@ -61,3 +61,21 @@ def test_image_similarity(spark):
                                 ("ffffffffffffffff", "03ffffffffffffff", 90.62), (None, "00", -1.0), ("zz", "00", -1.0)],
                                "a string, b string, want double")
     assert all(a == b for a, b in rows(df.select("want", PF.hamming_pct("a", "b"))))
+
+
+def test_pack_count_parity_and_fix(spark):
+    df = spark.createDataFrame([("pack_count", "3-Pack"), ("pack_count", "single")], "k string, v string")
+    parity = [r.x.kind for r in df.select(PF.norm_value("k", "v").alias("x")).collect()]
+    fixed = [(r.x.kind, r.x.s) for r in df.select(PF.norm_value("k", "v", fix_pack_count=True).alias("x")).collect()]
+    assert parity == ["str", "str"] and fixed == [("int", "3"), ("int", "1")]
+
+
+def test_parse_quality_metrics(spark):
+    from pairlens.sources.pages import extract_records, parse_quality_observed
+    pages = spark.createDataFrame([(1, "https://a.example/x", "<title>T</title><table><tr><td>Color</td><td>Red</td></tr></table>"),
+                                   (2, "https://www.amazon.com/dp/1", "<title>Robot Check</title>")],
+                                  "page_id long, url string, html string")
+    out, obs = parse_quality_observed(extract_records(pages))
+    out.write.format("noop").mode("overwrite").save()
+    m = obs.get
+    assert m["records"] == 2 and m["ok"] == 1 and m["specs"] == 1
