@@ -15,21 +15,32 @@ PAIR_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                                  "Product_Type"]])
 
 
+def file_order_index(df: DataFrame, name: str = "_n") -> DataFrame:
+    """Dense 1-based row number in input order, without sending the rows
+    through one task (H6). ``monotonically_increasing_id`` holds the partition
+    index in its high bits and the row's position in the split in its low bits;
+    one small aggregate gives each split's row count, a window over those
+    counts (one row per split) gives each split's offset, and that table —
+    bounded by the number of splits — is broadcast back."""
+    from pyspark.sql import Window
+    d = df.withColumn("_pid", F.spark_partition_id()).withColumn("_mid", F.monotonically_increasing_id())
+    counts = d.groupBy("_pid").agg(F.count(F.lit(1)).alias("_cnt"), F.min("_mid").alias("_first"))
+    w = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_pid", "_first", F.coalesce(F.sum("_cnt").over(w), F.lit(0)).alias("_off"))
+    return (d.join(F.broadcast(offsets), "_pid")
+            .withColumn(name, F.col("_off") + (F.col("_mid") - F.col("_first")) + 1)
+            .drop("_pid", "_mid", "_cnt", "_first", "_off"))
+
+
 def load_pairs(spark: SparkSession, csv_path: str, limit: int | None = None) -> DataFrame:
     """Pair CSV -> ``pairs(pair_id, link_1_url, link_2_url, meta)`` (IO1, PF1, SL1).
 
-    ``pair_id`` is ``row_%04d`` of the 1-based file order. File order comes from
-    the (file, offset) of each line, kept by ``monotonically_increasing_id``
-    within a single-file read and turned into a dense rank by a window over
-    that id (H6). ``limit`` None or 0 means no limit.
+    ``pair_id`` is ``row_%04d`` of the 1-based file order (``file_order_index``).
+    ``limit`` None or 0 means no limit.
     """
-    from pyspark.sql import Window
     raw = (spark.read.schema(PAIR_CSV_SCHEMA).option("header", True).option("escape", '"')
            .option("encoding", "UTF-8").csv(csv_path))
-    ordered = raw.withColumn("_seq", F.monotonically_increasing_id())
-    # file order of a pair list: one row per pair, the whole list is the input
-    # of one job and small next to the pages it drives
-    ordered = ordered.withColumn("_n", F.row_number().over(Window.orderBy("_seq")))
+    ordered = file_order_index(raw)
     if limit:
         ordered = ordered.where(F.col("_n") <= limit)
     item = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("Item_Id"), F.lit("")), "(?U)^\\s+|\\s+$", ""),

@@ -73,3 +73,17 @@ from pyspark.sql import types as _T  # noqa: E402
 
 T_RAW = _T.StructType([_T.StructField("pair_id", _T.StringType()), _T.StructField("url", _T.StringType()),
                        _T.StructField("status", _T.StringType()), _T.StructField("raw", RAW_T)])
+
+
+def test_file_order_across_splits(spark, tmp_path):
+    lines = [CSV.splitlines()[0]] + [f'Sep-25,"""{1000 + i}""",https://shop.example.com/{i},Variant Match,C,D,P{i}' for i in range(60)]
+    p = tmp_path / "many.csv"
+    p.write_text("\n".join(lines), encoding="utf-8")
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "256")
+    try:
+        df = load_pairs(spark, str(p))
+        got = sorted((r.pair_id, r.meta.item_id) for r in df.collect())
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(f"row_{i + 1:04d}", str(1000 + i)) for i in range(60)]
