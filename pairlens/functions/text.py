@@ -79,3 +79,25 @@ def let(value: Column, fn) -> Column:
     """Bind ``value`` once and use it in ``fn`` (inside lambdas Catalyst does not
     share common subexpressions, so this keeps costly parts single)."""
     return F.transform(F.array(value), fn).getItem(0)
+
+
+def memo_column(build):
+    """Memoise a Column factory per Spark application.
+
+    The matching expressions have thousands of nodes and each node is a py4j
+    call to build; Columns are unresolved expression trees and can be reused by
+    any DataFrame of the same application, so each one is built once.
+    """
+    import functools
+
+    cache: dict = {}
+
+    @functools.wraps(build)
+    def get(*args):
+        from pyspark import SparkContext
+        sc = SparkContext._active_spark_context
+        key = (sc.applicationId if sc is not None else None, args)
+        if key not in cache:
+            cache[key] = build(*args)
+        return cache[key]
+    return get

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import clean_price, norm_key, norm_value, price_usd, py_strip
-from ..functions.text import col, let
+from ..functions.text import col, let, memo_column
 
 KV_TYPE = T.ArrayType(T.StructType([T.StructField("key", T.StringType()),
                                     T.StructField("value", T.StringType())]))
@@ -109,6 +109,15 @@ def _truthy_text(a: Column) -> Column:
     return F.when(a.isNotNull() & truthy, a["s"])
 
 
+@memo_column
+def _record_columns():
+    """Attribute list and price expressions over a ``raw`` struct column."""
+    r = F.col("raw")
+    attrs = normalize_attributes(merged_attributes(r["spec_table"], r["bullet_points"]))
+    price = clean_price(F.coalesce(r["price_raw"], F.lit("")))
+    return attrs, price
+
+
 def extract_features(raw: DataFrame, with_hashes: bool = False, keep: tuple[str, ...] = ()) -> DataFrame:
     """Raw records -> feature records (AT4).
 
@@ -117,7 +126,7 @@ def extract_features(raw: DataFrame, with_hashes: bool = False, keep: tuple[str,
     ``image_hashes``. Output follows ``schemas.FEATURES``; ``keep`` columns pass through.
     """
     r = F.col("raw")
-    attrs = normalize_attributes(merged_attributes(r["spec_table"], r["bullet_points"]))
+    attrs, price = _record_columns()
     out = raw.withColumn("attrs", attrs)
     a = F.col("attrs")
     brand = F.coalesce(F.when(F.coalesce(r["brand"], F.lit("")) != "", r["brand"]),
@@ -125,7 +134,6 @@ def extract_features(raw: DataFrame, with_hashes: bool = False, keep: tuple[str,
                        _truthy_text(attr_lookup(a, "brand_name")), F.lit(""))
     hashes = (F.col("image_hashes") if with_hashes
               else F.array().cast("array<struct<url:string,phash:string,dhash:string>>"))
-    price = clean_price(F.coalesce(r["price_raw"], F.lit("")))
     return out.select(
         *keep, "pair_id", "link_key", F.coalesce(F.col("url"), F.lit("")).alias("url"),
         py_strip(F.coalesce(r["title"], F.lit(""))).alias("title"),

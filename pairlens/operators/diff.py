@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import hamming_pct, py_float, py_strip, title_similarity, token_set_ratio
-from ..functions.text import col, contains_any, let
+from ..functions.text import col, contains_any, let, memo_column
 from .align import align_keys
 
 
@@ -119,6 +119,15 @@ def feature_diff(attrs1, attrs2, threshold: float = rules.KEY_ALIGN_THRESHOLD) -
     return let(bound, body)
 
 
+@memo_column
+def _pair_diff_columns(threshold: float):
+    """The diff expressions over columns ``f1``/``f2`` (built once per application)."""
+    fd = feature_diff(F.col("f1.attrs"), F.col("f2.attrs"), threshold)
+    title = title_similarity(F.col("f1.title"), F.col("f2.title"))
+    image = hamming_pct(F.col("f1.primary_phash"), F.col("f2.primary_phash"))
+    return fd, title, image
+
+
 def compute_diff(pairs: DataFrame, threshold: float = rules.KEY_ALIGN_THRESHOLD) -> DataFrame:
     """Pairs with ``f1``/``f2`` feature structs -> diff records (DF1).
 
@@ -127,8 +136,9 @@ def compute_diff(pairs: DataFrame, threshold: float = rules.KEY_ALIGN_THRESHOLD)
     """
     fd = F.col("feature_diff")
     aligned = F.filter(fd, lambda e: e["link_1_key"].isNotNull() & e["link_2_key"].isNotNull())
+    fd_expr, title_expr, image_expr = _pair_diff_columns(threshold)
     return (pairs
-            .withColumn("feature_diff", feature_diff(F.col("f1.attrs"), F.col("f2.attrs"), threshold))
+            .withColumn("feature_diff", fd_expr)
             .select(
                 "pair_id",
                 F.coalesce(F.col("f1.url"), F.lit("")).alias("link_1_url"),
@@ -137,8 +147,8 @@ def compute_diff(pairs: DataFrame, threshold: float = rules.KEY_ALIGN_THRESHOLD)
                 py_strip(F.coalesce(F.col("f2.brand"), F.lit(""))).alias("brand_link_2"),
                 F.coalesce(F.col("f1.title"), F.lit("")).alias("title_link_1"),
                 F.coalesce(F.col("f2.title"), F.lit("")).alias("title_link_2"),
-                title_similarity(F.col("f1.title"), F.col("f2.title")).alias("title_similarity_pct"),
-                hamming_pct(F.col("f1.primary_phash"), F.col("f2.primary_phash")).alias("image_similarity_pct"),
+                title_expr.alias("title_similarity_pct"),
+                image_expr.alias("image_similarity_pct"),
                 F.size(aligned).alias("total_features_compared"),
                 F.size(F.filter(fd, lambda e: e["match"])).alias("total_matched"),
                 F.size(F.filter(fd, lambda e: ~e["match"])).alias("total_mismatched"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .. import rules
 from ..functions import classify_key, clean_brand, py_split
-from ..functions.text import col, contains_any, let
+from ..functions.text import col, contains_any, let, memo_column
 from .attributes import _truthy_text
 
 
@@ -77,11 +77,15 @@ def verdict(title1, title2, brand1, brand2, title_sim, compared, feature_diff) -
     return F.when(invalid, F.lit(rules.NO_MATCH)).otherwise(let(bound, rules_body))
 
 
+@memo_column
+def _diff_verdict():
+    return verdict("title_link_1", "title_link_2", "brand_link_1", "brand_link_2",
+                   "title_similarity_pct", "total_features_compared", "feature_diff")
+
+
 def classify(diffs: DataFrame) -> DataFrame:
     """Diff records -> diff records plus ``our_result`` (CL8)."""
-    return diffs.withColumn("our_result", verdict(
-        "title_link_1", "title_link_2", "brand_link_1", "brand_link_2",
-        "title_similarity_pct", "total_features_compared", "feature_diff"))
+    return diffs.withColumn("our_result", _diff_verdict())
 
 
 def build_results(classified: DataFrame, pairs_meta: DataFrame | None = None) -> DataFrame:

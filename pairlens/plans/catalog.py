@@ -21,8 +21,21 @@ from .fixtures import part_pairs
 # ---------------------------------------------------------------------------
 
 
+# The checkpointed pair table is the step boundary of the catalog job (like the
+# files between the reference's steps): built once per application and data
+# folder, then shared by every query over the part catalog.
+_PAIRS: dict[tuple[str, str], DataFrame] = {}
+
+
+def shared_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _PAIRS:
+        _PAIRS[key] = part_pairs(spark, sf_dir)
+    return _PAIRS[key]
+
+
 def part_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(compute_diff(part_pairs(spark, sf_dir)))
+    return classify(compute_diff(shared_part_pairs(spark, sf_dir)))
 
 
 def flagship_verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
