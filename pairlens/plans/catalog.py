@@ -891,3 +891,58 @@ SELECT page_id, 'myntra', regexp_replace('Acme' || i || ' ' || t, '^\\s+|\\s+$',
        'Fit=F' || i || ';Pattern=P' || i || ';Wash=W' || i, 'Available Size: M', '₹' || (page_id + 100)::VARCHAR, '',
        'myntra_json_parser' FROM p"""
 QUERIES["page_site_layouts"] = page_site_layouts
+
+
+# ---------------------------------------------------------------------------
+# end to end on stored pages (CL11 shape): parse -> features -> pair -> diff
+# -> verdict; each page paired with the next page (by id) of the same host
+# ---------------------------------------------------------------------------
+
+
+def page_pair_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """PX*, AT4, DF1, CL8 over real stored pages (J1 via the skew-safe pairing)."""
+    from ..operators.attributes import extract_features
+    from ..operators.sequence import with_next_in_group
+    from ..sources.pages import extract_records, host
+
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+
+    def features(d: DataFrame) -> DataFrame:
+        recs = extract_records(d.select("page_id", "url", "html", "host", "_blk"), keep=("host", "_blk"))
+        ok = recs.where(F.col("status") == "ok")
+        ok = ok.withColumn("pair_id", F.lit("")).withColumn("link_key", F.lit(""))
+        f = extract_features(ok, keep=("page_id", "host", "_blk")).drop("pair_id", "link_key")
+        cols = [c for c in f.columns if c not in ("page_id", "host", "_blk")]
+        return f.select("page_id", "host", "_blk", F.struct(*cols).alias("feat"))
+
+    keyed = pages.withColumn("host", host("url"))
+    paired = with_next_in_group(keyed, ["host"], "page_id", ["page_id", "feat"], per_row=features)
+    pairs = paired.where(F.col("next_page_id").isNotNull()).select(
+        F.format_string("g%d-g%d", F.col("page_id"), F.col("next_page_id")).alias("pair_id"),
+        F.col("feat").alias("f1"), F.col("next_feat").alias("f2"))
+    return classify(compute_diff(pairs)).select(
+        "pair_id", "title_similarity_pct", "total_features_compared", "our_result")
+
+
+SQL["page_pair_verdicts"] = f"""
+WITH p AS (
+  SELECT page_id, regexp_extract(url, '^[a-zA-Z]+://([^/?#:]+)', 1) AS host,
+         {_DEC.format(_RAW_TITLE)} AS title
+  FROM pages),
+pr AS (
+  SELECT page_id AS k1, title AS t1, lead(page_id) OVER w AS k2, lead(title) OVER w AS t2
+  FROM p WINDOW w AS (PARTITION BY host ORDER BY page_id)),
+pairs AS (SELECT printf('g%d-g%d', k1, k2) AS pair_id, * FROM pr WHERE k2 IS NOT NULL),
+tts AS ({O.token_set_cte('pairs', ['pair_id'], 't1', 't2', 'tsr')}),
+d AS (SELECT pairs.*, CASE WHEN t1 <> '' AND t2 <> '' THEN round_even(tts.tsr, 2) ELSE -1.0 END AS sim
+      FROM pairs JOIN tts USING (pair_id))
+SELECT pair_id, sim::DOUBLE AS title_similarity_pct, 0 AS total_features_compared,
+  CASE
+    WHEN lower(t1) = '' OR lower(t2) = '' OR {O.contains_any('lower(t1)', rules.TITLE_INVALID_TERMS)}
+         OR {O.contains_any('lower(t2)', rules.TITLE_INVALID_TERMS)} THEN 'NO_MATCH'
+    WHEN sim < 40 THEN 'NO_MATCH'
+    WHEN sim < 85 THEN 'NO_MATCH'
+    ELSE 'CASE_A_EXACT_MATCH'
+  END AS our_result
+FROM d"""
+QUERIES["page_pair_verdicts"] = page_pair_verdicts

@@ -76,33 +76,38 @@ def reject_reason(url: Column, parser: Column, amazon_block: Column, press_hold:
             .when(empty, F.lit("empty_record")))
 
 
-def _parse_batches(batches):
-    from . import html_parse
-    for pdf in batches:
-        out = [html_parse.parse_page(p, u, h) for p, u, h in zip(pdf["parser"], pdf["url"], pdf["html"])]
-        pdf = pdf[["page_id", "url", "parser", "amazon_blocked", "press_hold_blocked"]].copy()
-        pdf["raw"] = out
-        yield pdf
-
-
-def parse_pages(pages: DataFrame) -> DataFrame:
-    """``pages(page_id, url, html)`` -> ``(page_id, url, parser, raw)`` (PX2-PX12)."""
+def _parse_batches_keep(keep):
+    def run(batches):
+        from . import html_parse
+        cols = ["page_id", "url", "parser", "amazon_blocked", "press_hold_blocked", *keep]
+        for pdf in batches:
+            out = [html_parse.parse_page(p, u, h) for p, u, h in zip(pdf["parser"], pdf["url"], pdf["html"])]
+            pdf = pdf[cols].copy()
+            pdf["raw"] = out
+            yield pdf
+    return run
+
+
+def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+    """``pages(page_id, url, html)`` -> ``(page_id, url, parser, raw)`` (PX2-PX12);
+    ``keep`` columns pass through the parse pass unchanged."""
     routed = pages.select("page_id", "url", route("url").alias("parser"),
                           amazon_blocked("html").alias("amazon_blocked"),
-                          press_hold_blocked("html").alias("press_hold_blocked"), "html")
-    return routed.mapInPandas(_parse_batches, PARSED_SCHEMA)
+                          press_hold_blocked("html").alias("press_hold_blocked"), *keep, "html")
+    fields = list(PARSED_SCHEMA.fields[:5]) + [pages.schema[k] for k in keep] + [PARSED_SCHEMA["raw"]]
+    return routed.mapInPandas(_parse_batches_keep(tuple(keep)), T.StructType(fields))
 
 
-def extract_records(pages: DataFrame) -> DataFrame:
+def extract_records(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """Parsed records with envelope: status ``ok``/``failed`` and error (PX13).
 
-    Output: page_id, url, parser, status, error, raw, scraped_at.
+    Output: page_id, url, parser, status, error, raw, scraped_at (+ ``keep``).
     """
-    parsed = parse_pages(pages)
+    parsed = parse_pages(pages, keep)
     reason = reject_reason(F.col("url"), F.col("parser"), F.col("amazon_blocked"),
                            F.col("press_hold_blocked"), F.col("raw"))
     return parsed.select(
-        "page_id", "url", "parser",
+        "page_id", "url", "parser", *keep,
         F.when(reason.isNull(), F.lit("ok")).otherwise(F.lit("failed")).alias("status"),
         reason.alias("error"), "raw", F.current_timestamp().alias("scraped_at"))
 
