@@ -42,11 +42,10 @@ PARSED_SCHEMA = T.StructType([
 def route(url) -> Column:
     """Parser choice by URL (PX1)."""
     u = F.col(url) if isinstance(url, str) else url
-    return (F.when(F.instr(u, "walmart.com") > 0, F.lit("walmart"))
-            .when(F.instr(u, "target.com") > 0, F.lit("target"))
-            .when(F.instr(u, "flipkart.com") > 0, F.lit("flipkart"))
-            .when(F.instr(u, "myntra.com") > 0, F.lit("myntra"))
-            .otherwise(F.lit("generic")))
+    out = None
+    for marker, name in rules.SITE_ROUTES:
+        out = (F.when if out is None else out.when)(F.instr(u, marker) > 0, F.lit(name))
+    return out.otherwise(F.lit("generic"))
 
 
 def amazon_blocked(html) -> Column:

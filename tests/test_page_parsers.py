@@ -76,3 +76,15 @@ def test_myntra_dom_fallback():
     assert r["spec_table"] == [{"key": "Wash", "value": "Machine wash"}]
     assert r["image_urls"] == ["https://assets.myntassets.com/a.jpg", "https://assets.myntassets.com/b.jpg"]
     assert r["description"] == "Cotton Wash: Machine wash"
+
+
+def test_extract_page_sql(spark):
+    from pairlens.sources.pages import extract_records
+    from pairlens.sql import register_sql
+    register_sql(spark)
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages.createOrReplaceTempView("pages_sql_test")
+    got = {r.page_id: (r.parser, r.title) for r in
+           spark.sql("SELECT * FROM extract_page(TABLE(SELECT page_id, url, html FROM pages_sql_test))").collect()}
+    want = {r.page_id: (r.parser, r.raw.title) for r in extract_records(pages).collect()}
+    assert got == want and len(got) == pages.count()
