@@ -29,13 +29,17 @@ def slug_key(c) -> Column:
     return strip_chars(k, "_")
 
 
-def norm_key(c, aliases: dict[str, str] | None = None) -> Column:
-    """Canonical attribute key or '' (dropped)."""
+def norm_key(c, aliases: dict[str, str] | None = None, bind: bool = True) -> Column:
+    """Canonical attribute key or '' (dropped).
+
+    ``bind=False`` inlines the shared parts instead of binding them in a lambda
+    (same result; used to render the rule as a SQL function)."""
     aliases = rules.KEY_ALIASES if aliases is None else aliases
     k = slug_key(c)
-    bound = F.struct(k.alias("k"), F.coalesce(F.try_element_at(_alias_map(aliases), k), k).alias("canon"))
-    return F.when(col(c).isNull(), F.lit(None).cast("string")).otherwise(
-        let(bound, lambda b: _norm_key_bound(b["k"], b["canon"], aliases)))
+    canon = F.coalesce(F.try_element_at(_alias_map(aliases), k), k)
+    body = (_norm_key_bound(k, canon, aliases) if not bind else
+            let(F.struct(k.alias("k"), canon.alias("canon")), lambda b: _norm_key_bound(b["k"], b["canon"], aliases)))
+    return F.when(col(c).isNull(), F.lit(None).cast("string")).otherwise(body)
 
 
 def _norm_key_bound(k: Column, canonical: Column, aliases: dict[str, str]) -> Column:

@@ -14,12 +14,15 @@ def money(x: Column) -> Column:
     return F.concat(F.lit("$"), F.format_string("%.2f", F.bround(x, 2)))
 
 
-def clean_price(c, inr_rate: float = rules.INR_PER_USD) -> Column:
-    """Normalise a scraped price text to ``$d.dd``, ``N/A`` or cleaned text."""
+def clean_price(c, inr_rate: float = rules.INR_PER_USD, bind: bool = True) -> Column:
+    """Normalise a scraped price text to ``$d.dd``, ``N/A`` or cleaned text.
+
+    ``bind=False`` inlines the stages instead of binding them in lambdas."""
     p0 = col(c)
     spaced = F.regexp_replace(py_strip(F.replace(p0, F.lit("\u00a0"), F.lit(" "))), "(?U)\\s+", " ")
-    return F.when(p0.isNull() | (p0 == ""), F.lit("N/A")).otherwise(
-        let(spaced, lambda p: let(_undouble(p), lambda q: _price_from_text(q, inr_rate))))
+    body = (_price_from_text(_undouble(spaced), inr_rate) if not bind else
+            let(spaced, lambda p: let(_undouble(p), lambda q: _price_from_text(q, inr_rate))))
+    return F.when(p0.isNull() | (p0 == ""), F.lit("N/A")).otherwise(body)
 
 
 def _undouble(p: Column) -> Column:

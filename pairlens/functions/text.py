@@ -33,7 +33,7 @@ def strip_chars(c, chars: str) -> Column:
 
 def py_split(c) -> Column:
     """``str.split()``: whitespace tokens without empty strings."""
-    return F.filter(F.split(py_strip(c), "(?U)\\s+"), lambda t: F.length(t) > 0)
+    return F.array_remove(F.split(py_strip(c), "(?U)\\s+"), "")
 
 
 def collapse_ws(c) -> Column:

@@ -1,7 +1,9 @@
 """SQL entry points.
 
-``register_sql(spark)`` registers ``extract_page`` as a Python table function
-(Arrow-backed UDTF) so SQL users can run the page parse step:
+``register_sql(spark)`` registers the scalar rules ``norm_key``, ``clean_brand``,
+``clean_price``, ``classify_key``, ``result_label`` and ``hamming_pct`` as SQL
+functions, and ``extract_page`` as a Python table function (Arrow-backed UDTF)
+so SQL users can run the page parse step:
 
     SELECT * FROM extract_page(TABLE(SELECT page_id, url, html FROM pages))
 
@@ -39,9 +41,44 @@ class ExtractPage:
                [(s["key"], s["value"]) for s in r["spec_table"]], r["image_urls"], r["price_raw"], r["source"])
 
 
-def register_sql(spark: SparkSession) -> None:
+def _sql_text(spark: SparkSession, expr, schema: str) -> str:
+    """SQL text of a lambda-free Column expression over the given parameters."""
+    df = spark.createDataFrame([], schema).select(expr.alias("out"))
+    return df._jdf.queryExecution().analyzed().projectList().apply(0).child().sql()
+
+
+def _scalar_functions():
+    """name -> (Column builder over named parameters, parameter schema, return type)."""
+    from pyspark.sql import functions as F
+
+    from . import functions as PF
+    return {
+        "norm_key": (lambda: PF.norm_key(F.col("k"), bind=False), "k string", "STRING"),
+        "clean_brand": (lambda: PF.clean_brand(F.col("b")), "b string", "STRING"),
+        "clean_price": (lambda: PF.clean_price(F.col("p"), bind=False), "p string", "STRING"),
+        "classify_key": (lambda: PF.classify_key(F.col("k")), "k string", "STRING"),
+        "result_label": (lambda: PF.result_label(F.col("r")), "r string", "STRING"),
+        "hamming_pct": (lambda: PF.hamming_pct(F.col("a"), F.col("b")), "a string, b string", "DOUBLE"),
+    }
+
+
+def register_sql(spark: SparkSession) -> list[str]:
+    """Register the SQL surface; returns the function names.
+
+    Scalar rules without higher-order functions become SQL functions whose
+    body is the same Catalyst expression the DataFrame API builds (rendered by
+    Spark, so the two cannot drift). The similarity and value rules use
+    lambdas, which Spark cannot render back to SQL text; they stay DataFrame
+    functions."""
     from pyspark.sql.functions import udtf
 
     from .session import ship_package
     ship_package(spark)
     spark.udtf.register("extract_page", udtf(ExtractPage, returnType=EXTRACT_PAGE_SCHEMA, useArrow=True))
+    names = ["extract_page"]
+    for name, (build, schema, ret) in _scalar_functions().items():
+        params = ", ".join(f"{p.split()[0]} {p.split()[1].upper()}" for p in schema.split(", "))
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} "
+                  f"RETURN {_sql_text(spark, build(), schema)}")
+        names.append(name)
+    return names

@@ -88,3 +88,21 @@ def test_extract_page_sql(spark):
            spark.sql("SELECT * FROM extract_page(TABLE(SELECT page_id, url, html FROM pages_sql_test))").collect()}
     want = {r.page_id: (r.parser, r.raw.title) for r in extract_records(pages).collect()}
     assert got == want and len(got) == pages.count()
+
+
+def test_sql_scalar_functions_equal_dataframe_versions(spark):
+    from pyspark.sql import functions as F
+    from pairlens import functions as PF
+    from pairlens.plans.catalog import BRAND_TEMPLATES, KEY_TEMPLATES, PRICE_TEMPLATES, _probe
+    from pairlens.sql import register_sql
+    assert "norm_key" in register_sql(spark)
+    sf = "/root/testdata/sf0.001"
+    for templates, name, fn, sql in [(KEY_TEMPLATES, "x", PF.norm_key, "norm_key(x)"),
+                                     (BRAND_TEMPLATES, "x", PF.clean_brand, "clean_brand(x)"),
+                                     (PRICE_TEMPLATES, "x", PF.clean_price, "clean_price(x)")]:
+        df = _probe(spark, sf, templates, name)
+        bad = df.select(fn(F.col("x")).alias("a"), F.expr(sql).alias("b")).where("NOT (a <=> b)").count()
+        assert bad == 0, sql
+    r = spark.sql("SELECT hamming_pct('ffffffffffffffff', '03ffffffffffffff') AS h, classify_key('neck_style') AS k, "
+                  "result_label('NO_MATCH') AS l").first()
+    assert (r.h, r.k, r.l) == (90.62, "size", "No Match")
