@@ -59,6 +59,18 @@ def unit_table(table: dict[str, float]) -> Column:
                      for u, f in rules.units_longest_first(table)])
 
 
+def unit_convert_unrolled(val: Column, table: dict[str, float], also_remove: str | None = None) -> Column:
+    """``unit_convert`` as a ``coalesce`` of one branch per unit (no lambda)."""
+    v = F.lower(py_strip(val))
+    branches = []
+    for unit, factor in rules.units_longest_first(table):
+        rest = F.replace(v, F.lit(unit), F.lit(""))
+        if also_remove:
+            rest = F.replace(rest, F.lit(also_remove), F.lit(""))
+        branches.append(F.when(F.instr(v, unit) > 0, F.bround(digits_dots_number(rest) * F.lit(factor), 4)))
+    return F.coalesce(*branches)
+
+
 def unit_convert(val: Column, table: dict[str, float], also_remove: str | None = None) -> Column:
     """Convert ``val`` with the first unit (longest name first) whose removal
     leaves a number; ``round(num * factor, 4)``. NULL when no unit applies."""
@@ -104,22 +116,26 @@ def strip_noise(raw: Column) -> Column:
     return v
 
 
-def norm_value(key, raw, fix_pack_count: bool = False) -> Column:
+def norm_value(key, raw, fix_pack_count: bool = False, bind: bool = True) -> Column:
     """Normalise one attribute value by its (normalised) key.
 
     ``fix_pack_count``: in parity mode (default) a ``pack_count`` value stays
     text, because the whole-word guard never matches that key (D5); set True to
     apply the pack-count rule (S13) to it.
     """
+    if not bind:  # lambda-free form (renders as a SQL function body)
+        return _norm_value_bound(col(key), col(raw), strip_noise(col(raw)), fix_pack_count, unit_convert_unrolled)
     bound = F.struct(col(key).alias("k"), col(raw).alias("raw"), strip_noise(col(raw)).alias("v"))
     return let(bound, lambda b: _norm_value_bound(b["k"], b["raw"], b["v"], fix_pack_count))
 
 
-def _norm_value_bound(key: Column, raw: Column, v: Column, fix_pack_count: bool = False) -> Column:
+def _norm_value_bound(key: Column, raw: Column, v: Column, fix_pack_count: bool = False,
+                      convert=None) -> Column:
+    convert = unit_convert if convert is None else convert
     lv = F.lower(v)
-    weight = unit_convert(v, rules.WEIGHT_TO_G)
-    volume = unit_convert(v, rules.VOLUME_TO_ML, also_remove="fl")
-    length = unit_convert(v, rules.LENGTH_TO_CM)
+    weight = convert(v, rules.WEIGHT_TO_G)
+    volume = convert(v, rules.VOLUME_TO_ML, also_remove="fl")
+    length = convert(v, rules.LENGTH_TO_CM)
     pct_num = F.when(v.endswith("%"), py_float(F.regexp_replace(v, "%$", "")))
     is_weight = F.instr(key, "weight") > 0
     is_volume = contains_any(key, ["volume", "capacity"])

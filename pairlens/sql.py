@@ -1,6 +1,6 @@
 """SQL entry points.
 
-``register_sql(spark)`` registers the scalar rules ``norm_key``, ``clean_brand``,
+``register_sql(spark)`` registers the scalar rules ``norm_key``, ``norm_value``, ``clean_brand``,
 ``clean_price``, ``classify_key``, ``result_label`` and ``hamming_pct`` as SQL
 functions, and ``extract_page`` as a Python table function (Arrow-backed UDTF)
 so SQL users can run the page parse step:
@@ -54,6 +54,8 @@ def _scalar_functions():
     from . import functions as PF
     return {
         "norm_key": (lambda: PF.norm_key(F.col("k"), bind=False), "k string", "STRING"),
+        "norm_value": (lambda: PF.norm_value(F.col("k"), F.col("v"), bind=False), "k string, v string",
+                       "STRUCT<kind: STRING, s: STRING, n: DOUBLE>"),
         "clean_brand": (lambda: PF.clean_brand(F.col("b")), "b string", "STRING"),
         "clean_price": (lambda: PF.clean_price(F.col("p"), bind=False), "p string", "STRING"),
         "classify_key": (lambda: PF.classify_key(F.col("k")), "k string", "STRING"),
@@ -67,9 +69,9 @@ def register_sql(spark: SparkSession) -> list[str]:
 
     Scalar rules without higher-order functions become SQL functions whose
     body is the same Catalyst expression the DataFrame API builds (rendered by
-    Spark, so the two cannot drift). The similarity and value rules use
-    lambdas, which Spark cannot render back to SQL text; they stay DataFrame
-    functions."""
+    Spark, so the two cannot drift). The similarity functions loop over
+    characters with lambdas, which Spark cannot render back to SQL text; they
+    stay DataFrame functions."""
     from pyspark.sql.functions import udtf
 
     from .session import ship_package

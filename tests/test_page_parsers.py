@@ -106,3 +106,16 @@ def test_sql_scalar_functions_equal_dataframe_versions(spark):
     r = spark.sql("SELECT hamming_pct('ffffffffffffffff', '03ffffffffffffff') AS h, classify_key('neck_style') AS k, "
                   "result_label('NO_MATCH') AS l").first()
     assert (r.h, r.k, r.l) == (90.62, "size", "No Match")
+
+
+def test_sql_norm_value_equals_dataframe_version(spark):
+    from pyspark.sql import functions as F
+    from pairlens import functions as PF
+    from pairlens.plans.catalog import VALUE_TEMPLATES
+    from pairlens.sql import register_sql
+    register_sql(spark)
+    part = spark.read.parquet("/root/testdata/sf0.001/part.parquet")
+    probes = F.array(*[F.struct(F.lit(k).alias("k"), t().alias("v")) for k, t, _ in VALUE_TEMPLATES])
+    df = part.select(F.inline(probes))
+    bad = df.select(PF.norm_value("k", "v").alias("a"), F.expr("norm_value(k, v)").alias("b")).where("NOT (a <=> b)").count()
+    assert bad == 0
