@@ -119,3 +119,22 @@ def test_sql_norm_value_equals_dataframe_version(spark):
     df = part.select(F.inline(probes))
     bad = df.select(PF.norm_value("k", "v").alias("a"), F.expr("norm_value(k, v)").alias("b")).where("NOT (a <=> b)").count()
     assert bad == 0
+
+
+def test_sql_similarity_equals_dataframe_version(spark):
+    import random
+    from pyspark.sql import functions as F
+    from pairlens import functions as PF
+    from pairlens.sql import register_sql
+    register_sql(spark)
+    rnd = random.Random(3)
+    words = ["red", "blue", "tee", "cotton", "slim", "fit", "é", "a"]
+    rows = [(" ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6))),
+             " ".join(rnd.choice(words) for _ in range(rnd.randint(0, 6)))) for _ in range(150)]
+    rows += [("x" * 70 + "ab", "ab" + "x" * 65)]  # more than one 62-bit word
+    df = spark.createDataFrame(rows, "a string, b string")
+    out = df.select(PF.lcs_len("a", "b").alias("l1"), F.expr("lcs_len(a, b)").alias("l2"),
+                    PF.indel_ratio("a", "b").alias("i1"), F.expr("indel_ratio(a, b)").alias("i2"),
+                    PF.token_set_ratio("a", "b").alias("t1"), F.expr("token_set_ratio(a, b)").alias("t2")).collect()
+    for r in out:
+        assert r.l1 == r.l2 and r.i1 == r.i2 and r.t1 == r.t2, r
