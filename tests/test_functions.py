@@ -1,7 +1,5 @@
 """Golden vectors for the scalar operators (FIXTURES.md §4)."""
 
-import pytest
-from pyspark.sql import functions as F
 
 from conftest import rows
 from pairlens import functions as PF

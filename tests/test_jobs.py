@@ -2,7 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
 
 from pairlens.plans.jobs import compare, run
 from pairlens.sources.files import load_pairs, read_jsonl, write_results
