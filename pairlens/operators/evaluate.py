@@ -32,9 +32,10 @@ def verdict_summary(results: DataFrame) -> DataFrame:
     The counts are one partial aggregate; the four verdict rows are then folded
     into one bounded array to get the total, and unfolded again with shares."""
     spark = results.sparkSession
-    counts = results.groupBy("our_result").agg(F.count(F.lit(1)).alias("n"))
-    dim = F.broadcast(verdict_dimension(spark))  # four rows, fixed size
-    joined = dim.join(counts, "our_result", "left").select(
+    # at most one row per verdict value: a proven bound, so the counts are the
+    # broadcast side (the dimension must be the preserved side of the join)
+    counts = F.broadcast(results.groupBy("our_result").agg(F.count(F.lit(1)).alias("n")))
+    joined = verdict_dimension(spark).join(counts, "our_result", "left").select(
         F.struct("verdict_rank", "our_result", "label",
                  F.coalesce(F.col("n"), F.lit(0)).cast("long").alias("n")).alias("v"))
     folded = joined.agg(F.collect_list("v").alias("vs"))  # at most four entries
