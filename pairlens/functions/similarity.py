@@ -66,12 +66,23 @@ def _lcs_pattern_text(p: Column, t: Column, chars_p: Column, chars_t: Column) ->
             lambda acc, i: _bor(acc, F.when(chars_p[i] == ch, _shl(_one(), i - lo))
                                 .otherwise(_zero())))
 
-    # match masks once per distinct text character that occurs in the pattern
-    # (others are all-zero); each text character then looks its mask up natively
-    distinct_t = F.array_distinct(chars_t)
+    # All match masks in ONE pass over the pattern: masks[d][k] is the bit set of
+    # distinct pattern character d in word k. Each position updates one entry
+    # with native slice/concat, so the pass costs one lambda call per position.
     zero_words = F.array_repeat(_zero(), n_words)
-    masks_d = F.transform(distinct_t, lambda ch: F.when(
-        F.array_contains(chars_p, ch), F.transform(words, lambda k: mask(ch, k))).otherwise(zero_words))
+
+    def set_bit(acc, dp, ch, i):
+        d = F.array_position(dp, ch).cast("int")                 # 1-based
+        k = F.floor(i / F.lit(WORD_BITS)).cast("int")            # 0-based word
+        row = F.element_at(acc, d)
+        new_row = F.concat(F.slice(row, 1, k), F.array(_bor(F.element_at(row, k + 1), _shl(_one(), i - k * WORD_BITS))),
+                           F.slice(row, k + 2, n_words))
+        return F.concat(F.slice(acc, 1, d - 1), F.array(new_row), F.slice(acc, d + 1, F.size(acc)))
+
+    def build_masks(dp):
+        return F.aggregate(F.transform(chars_p, lambda c, i: F.struct(c.alias("c"), i.alias("i"))),
+                           F.array_repeat(zero_words, F.size(dp)),
+                           lambda acc, x: set_bit(acc, dp, x["c"], x["i"]))
     v0 = F.transform(words, lambda k: full(k))
     empty = F.array().cast("array<bigint>")
 
@@ -86,10 +97,13 @@ def _lcs_pattern_text(p: Column, t: Column, chars_p: Column, chars_t: Column) ->
         return F.aggregate(words, F.struct(_zero().alias("c"), empty.alias("out")), word)["out"]
 
     def run(md):
-        return F.aggregate(chars_t, v0, lambda v, ch: step(
-            v, F.element_at(md["m"], F.array_position(md["d"], ch).cast("int"))))
+        def mask_of(ch):
+            pos = F.array_position(md["d"], ch).cast("int")
+            return F.when(pos > 0, F.element_at(md["m"], pos)).otherwise(zero_words)
+        return F.aggregate(chars_t, v0, lambda v, ch: step(v, mask_of(ch)))
 
-    v_end = let(F.struct(distinct_t.alias("d"), masks_d.alias("m")), run)
+    v_end = let(F.array_distinct(chars_p), lambda dp: let(
+        F.struct(dp.alias("d"), build_masks(dp).alias("m")), run))
     ones = F.aggregate(v_end, F.lit(0), lambda acc, x: acc + F.bit_count(x))
     return F.when((m == 0) | (F.length(t) == 0), F.lit(0)).otherwise(m - ones)
 
