@@ -42,3 +42,13 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
              .format("parquet").option("path", out).option("checkpointLocation", ck).trigger(availableNow=True).start())
         q.awaitTermination()
     assert spark.read.parquet(out).count() == 2
+
+
+def test_parse_pass_keeps_columns_without_shuffle(spark):
+    from pairlens.sources.pages import extract_records
+    pages = spark.createDataFrame([(1, "https://a.example/x", "<title>T</title>", "a.example")],
+                                  "page_id long, url string, html string, host string")
+    out = extract_records(pages, keep=("host",))
+    assert "Exchange" not in _plan(out)
+    r = out.first()
+    assert (r.host, r.status, r.raw.title) == ("a.example", "ok", "T")
