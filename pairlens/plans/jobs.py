@@ -16,7 +16,7 @@ from ..operators.evaluate import accuracy, verdict_summary
 from ..operators.relational import in_scope, skip_done
 from ..operators.verdict import build_results, classify
 from ..sources.files import link_rows
-from ..sources.pages import extract_records, latest_page_per_url
+from ..sources.pages import extract_records, latest_page_per_url, parse_quality_observed
 
 
 def scrape_records(pairs: DataFrame, pages: DataFrame) -> DataFrame:
@@ -56,14 +56,17 @@ def match(features: DataFrame, done: DataFrame | None = None) -> DataFrame:
     return compute_diff(pairs)
 
 
-def run(pairs: DataFrame, pages: DataFrame, images: DataFrame | None = None) -> dict[str, DataFrame]:
-    """CL11: the whole chain as DataFrames (write any of them to keep a step)."""
-    raw = scrape_records(pairs, pages)
+def run(pairs: DataFrame, pages: DataFrame, images: DataFrame | None = None) -> dict:
+    """CL11: the whole chain as DataFrames (write any of them to keep a step).
+
+    ``parse_quality`` is an ``Observation`` (AG8 counters) filled when the
+    raw records are first computed by an action."""
+    raw, quality = parse_quality_observed(scrape_records(pairs, pages))
     feats = extract(raw, pairs, images=images)
     diffs = match(feats)
     results = build_results(classify(diffs), pairs)
     return {"raw_records": raw, "features": feats, "diffs": diffs, "results": results,
-            "summary": verdict_summary(results), "accuracy": accuracy(results)}
+            "summary": verdict_summary(results), "accuracy": accuracy(results), "parse_quality": quality}
 
 
 def compare(left_raw: DataFrame, right_raw: DataFrame) -> DataFrame:

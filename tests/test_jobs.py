@@ -42,6 +42,7 @@ def test_end_to_end_and_rerun(spark, tmp_path):
     assert res["row_0001"].our_result == "CASE_C_COLOR_DIFF"
     assert "row_0002" not in res  # second link not stored -> no features -> skipped
     raw = {(r.pair_id, r.link_key): r for r in out["raw_records"].collect()}
+    assert out["parse_quality"].get["records"] == 4 and out["parse_quality"].get["ok"] == 2
     assert raw[("row_0002", "link_1")].error == "blocked_press_hold"
     assert raw[("row_0002", "link_2")].error == "page_not_stored"
     dest = str(tmp_path / "results")
