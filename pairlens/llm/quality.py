@@ -60,37 +60,37 @@ def measure(docs: DataFrame, text: str = "text") -> DataFrame:
     are the gaps between their start positions, three at most each.
     """
     d = docs.drop(*MEASURES)
-    d = bound(d, _w=word_array(F.col(text)))
+    d = bound(d, __w=word_array(F.col(text)))
     d = d.withColumns({
-        "n_words": F.size("_w").cast("bigint"),
-        "word_chars": F.length(F.array_join("_w", "")).cast("bigint"),
+        "n_words": F.size("__w").cast("bigint"),
+        "word_chars": F.length(F.array_join("__w", "")).cast("bigint"),
         "n_symbols": F.coalesce(F.regexp_count(F.col(text), F.lit(r"[#*$%&|<>]")), F.lit(0)).cast("bigint"),
     })
     lines = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), "\n"), lambda x: x.rlike(WORD_RE))
-    d = bound(d, _lines=lines)
+    d = bound(d, __lines=lines)
     d = d.withColumns({
-        "n_lines": F.size("_lines").cast("bigint"),
-        "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("bigint"),
-    }).drop("_lines")
-    w, n = F.col("_w"), F.size("_w")
+        "n_lines": F.size("__lines").cast("bigint"),
+        "n_dup_lines": (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("bigint"),
+    }).drop("__lines")
+    w, n = F.col("__w"), F.size("__w")
     grams = F.transform(F.slice(w, 1, F.greatest(n - 2, F.lit(0))),
                         lambda x, i: F.xxhash64(x, F.get(w, i + 1), F.get(w, i + 2)))
-    d = bound(d, _g=grams).drop("_w")
-    d = bound(d, _s=F.sort_array("_g"))
-    twice = F.zip_with("_s", F.slice("_s", 2, F.greatest(F.size("_s"), F.lit(1))), lambda a, b: F.when(a == b, a))
+    d = bound(d, __g=grams).drop("__w")
+    d = bound(d, __s=F.sort_array("__g"))
+    twice = F.zip_with("__s", F.slice("__s", 2, F.greatest(F.size("__s"), F.lit(1))), lambda a, b: F.when(a == b, a))
     # most texts repeat no window; the positions are sorted only where one is
-    d = d.withColumn("_g", F.when(F.size(F.array_compact(twice)) > 0, F.col("_g")).otherwise(
-        F.array().cast("array<bigint>"))).drop("_s")
-    d = bound(d, _s=F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).drop("_g")
-    s = F.col("_s")
+    d = d.withColumn("__g", F.when(F.size(F.array_compact(twice)) > 0, F.col("__g")).otherwise(
+        F.array().cast("array<bigint>"))).drop("__s")
+    d = bound(d, __s=F.sort_array(F.transform("__g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))).drop("__g")
+    s = F.col("__s")
     same = lambda x, k: F.coalesce(F.get(s, k)["h"] == x["h"], F.lit(False))
     repeated = F.filter(s, lambda x, k: same(x, k - 1) | same(x, k + 1))
-    d = bound(d, _p=F.sort_array(F.transform(repeated, lambda x: x["i"]))).drop("_s")
-    p = F.col("_p")
+    d = bound(d, __p=F.sort_array(F.transform(repeated, lambda x: x["i"]))).drop("__s")
+    p = F.col("__p")
     covered = F.aggregate(
         F.transform(p, lambda x, k: F.least(F.lit(3), F.coalesce(F.get(p, k + 1) - x, F.lit(3)))),
         F.lit(0), lambda a, x: a + x)
-    return d.withColumn("n_repeat_words", covered.cast("bigint")).drop("_p")
+    return d.withColumn("n_repeat_words", covered.cast("bigint")).drop("__p")
 
 
 def mask(names: list[str]) -> int:
