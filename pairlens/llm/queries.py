@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import linededup, mixing, quality
+from . import bpe, hyperminhash, linededup, mixing, quality
 from .common import read_table
 
 
@@ -20,10 +20,22 @@ def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.op7_mixing(read_table(spark, sf_dir, "documents"))
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+    return bpe.op8_bpe(read_table(spark, sf_dir, "documents"),
+                       public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hyperminhash.op9_minhash(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op7_mixing": op7_mixing,
+    "op8_bpe": op8_bpe,
+    "op9_minhash": op9_minhash,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -88,7 +100,24 @@ SELECT d.doc_id, coalesce(len(gone), 0)::BIGINT AS removed_lines, length(CASE WH
 FROM documents d LEFT JOIN gone USING (doc_id) LEFT JOIN kt ON kt.doc_id = d.doc_id
 """
 
+OP9_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                             '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) = 1 THEN w ELSE [w[i], w[i + 1]] END AS g
+      FROM (SELECT doc_id, w, unnest(generate_series(1, greatest(len(w) - 1, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+i AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS inter FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT a, b FROM i JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * inter >= 80 * (x.n + y.n - inter)),
+e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT a, b FROM e UNION SELECT r.a, e.b FROM r JOIN e ON r.b = e.a),
+c AS (SELECT a AS doc_id, min(b) AS b FROM r GROUP BY a)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesce(c.b, d.doc_id)) AS component_id,
+       d.doc_id = least(d.doc_id, coalesce(c.b, d.doc_id)) AS kept
+FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
 SQL = {
+    "op9_minhash": OP9_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
 }
