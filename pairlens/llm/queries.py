@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hyperminhash, linededup, mixing, quality
+from . import bpe, hmm, hyperminhash, linededup, mixing, pii, quality
 from .common import read_table
 
 
+def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hmm.op1_hmm_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -30,12 +34,18 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.op9_minhash(read_table(spark, sf_dir, "documents"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.op10_pii(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
+    "op1_hmm_scores": op1_hmm_scores,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
+    "op10_pii": op10_pii,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
