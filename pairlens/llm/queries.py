@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hmm, hyperminhash, linededup, mixing, pii, quality
+from . import bpe, hmm, hyperminhash, linededup, mixing, pii, quality, topk
 from .common import read_table
 
 
@@ -34,6 +34,10 @@ def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hyperminhash.op9_minhash(read_table(spark, sf_dir, "documents"))
 
 
+def op6_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.op6_topk(read_table(spark, sf_dir, "embeddings"))
+
+
 def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(read_table(spark, sf_dir, "documents"))
 
@@ -42,6 +46,7 @@ QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
+    "op6_topk": op6_topk,
     "op7_mixing": op7_mixing,
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
@@ -126,7 +131,18 @@ SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(d.doc_id, coalesc
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
 """
 
+OP6_SQL = """
+WITH v AS (SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT q.vec_id AS query_id, p.vec_id, list_dot_product(q.v, p.v)::BIGINT AS score
+      FROM v q JOIN v p ON q.vec_id <> p.vec_id WHERE q.vec_id % 50 = 0)
+SELECT query_id, rank::INTEGER AS rank, vec_id, score
+FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
+"""
+
 SQL = {
+    "op6_topk": OP6_SQL,
     "op9_minhash": OP9_SQL,
     "op4_quality_rules": OP4_SQL,
     "op5_line_dedup": OP5_SQL,
