@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, hmm, hyperminhash, linededup, mixing, pii, quality, topk
+from . import bpe, chat, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
 from .common import read_table
 
 
@@ -12,6 +12,14 @@ def op1_hmm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return hmm.op1_hmm_scores(read_table(spark, sf_dir, "documents"))
 
 
+def op2_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shards.op2_shards(read_table(spark, sf_dir, "documents"))
+
+
+def op3_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.op3_chat(spark, read_table(spark, sf_dir, "conversations"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.op4_quality_rules(read_table(spark, sf_dir, "documents"))
 
@@ -44,6 +52,8 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
+    "op2_shards": op2_shards,
+    "op3_chat": op3_chat,
     "op4_quality_rules": op4_quality_rules,
     "op5_line_dedup": op5_line_dedup,
     "op6_topk": op6_topk,
@@ -141,7 +151,21 @@ SELECT query_id, rank::INTEGER AS rank, vec_id, score
 FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s) WHERE rank <= 5
 """
 
+OP3_SQL = r"""
+WITH t AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+           UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'),
+e AS (SELECT *, length(text) + len(regexp_extract_all(text, '\\|<\|im_start\|>|<\|im_end\|>|<\|endoftext\|>|<s>|</s>|\[INST\]|\[/INST\]')) AS chars FROM t)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+       sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END)::BIGINT AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY turn, role, text)) AS loss_sha256,
+       sum(12 + length(role) + 1 + chars + 10 + 1)::BIGINT AS formatted_chars,
+       regexp_full_match(string_agg(CASE role WHEN 'system' THEN 's' WHEN 'user' THEN 'u' WHEN 'assistant' THEN 'a' ELSE 'x' END, ''
+                                    ORDER BY turn, role, text), 's?(u(au)*a?)?') AS valid
+FROM e GROUP BY conv_id
+"""
+
 SQL = {
+    "op3_chat": OP3_SQL,
     "op6_topk": OP6_SQL,
     "op9_minhash": OP9_SQL,
     "op4_quality_rules": OP4_SQL,
