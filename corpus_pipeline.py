@@ -1,21 +1,72 @@
-"""The corpus job: documents through the training-data operators, one stored table per stage."""
+"""The corpus job: documents through five training-data operators, one stored table per stage.
+
+Each stage works on all that the one before kept, and returns the columns of
+``documents`` (the last adds the tokens). Columns beside doc_id, text, source and
+n_chars are carried as they are, whatever their names.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from pairlens.llm import bpe, hyperminhash, linededup, mixing, quality
+from pairlens.llm.common import WORD_RE, n_words, read_table, stored
+
+_ROW = "__doc"
 
-from pairlens.llm import quality
-from pairlens.llm.common import read_table, stored
+
+def _packed(docs: DataFrame) -> Column:
+    """The whole row as one column, so that no operator's column can clash with one of it."""
+    return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the production policy of the rule ledger."""
-    return quality.ledger(docs).where(~quality.failed(quality.PRODUCTION)).select(*docs.columns)
+    book = quality.ledger(docs.select("text", _packed(docs)))
+    return book.where(~quality.failed(quality.PRODUCTION)).select(f"{_ROW}.*")
+
+
+def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without later repeated passages; one of which no word is left goes."""
+    rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__")).alias(_ROW)
+    d = linededup.dedup_lines(docs.select("doc_id", "text", rest))
+    d = d.where((F.col("removed_lines") == 0) | F.coalesce(F.col("text").rlike(WORD_RE), F.lit(False)))
+    chars = F.when(F.col("removed_lines") > 0, F.length("text")).otherwise(F.col(f"{_ROW}.n_chars")) if "n_chars" in docs.columns else None
+    return d.select(*[F.col(c) if c in ("doc_id", "text") else chars.cast(docs.schema[c].dataType).alias(c) if c == "n_chars"
+                      else F.col(f"{_ROW}.`{c}`").alias(c) for c in docs.columns])
+
+
+def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
+    return hyperminhash.one_of_each(docs, k=5, percent=80)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Every document as often as the mix of the sources takes it."""
+    d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _packed(docs))
+    return mixing.replicated(mixing.mix(d, size="size"), [f"{_ROW}.*"])
+
+
+def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents with ``ids`` (packed tokens), ``n_tokens``, and whether the ids decode to the text."""
+    import public_tokenizers
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    d = docs.drop("ids", "n_tokens", "decodes")
+    coded = bpe.decode(bpe.encode(d, path, public_tokenizers.PATTERN), path, out="__bytes")
+    return coded.select(*[F.col(f"`{c}`") for c in d.columns], "ids", F.floor(F.length("ids") / 4).cast("bigint").alias("n_tokens"),
+                        (F.col("__bytes") == F.coalesce("text", F.lit("")).cast("binary")).alias("decodes"))
 
 
-STAGES = [("quality_rules", quality_stage)]
+STAGES = [
+    ("quality_rules", quality_stage),
+    ("line_dedup", line_stage),
+    ("minhash_near_dedup", near_duplicate_stage),
+    ("mixing", mixing_stage),
+    ("bpe", token_stage),
+]
 
-# BPE encoding has no SQL form; tests/llm holds the job against a brute-force version.
+# BPE encoding and the random mix have no SQL form; tests/llm holds the job against a brute-force version.
 ORACLE_SQL = None
 
 

@@ -4,9 +4,9 @@ Sources, by code point and nulls last, take the weights in turn and share
 ``rate`` times all words; a source gets at most ``limit`` times its own words, and
 the excess goes to the others by weight. A document of a source is then wanted
 target / words times: the whole part is certain, the fraction is a copy
-probability. Pivotal rounding pairs two fractions, moves mass at random until one
-is 0 or 1, and goes on with the other, so the copies of a source stay within one
-of their expectation, and pairing documents of like size keeps the words close.
+probability. Pivotal rounding pairs two fractions, moves mass (words) at random
+until one is 0 or 1, and goes on with the other. The words of a source stay what
+they were, but for its last document, which is drawn.
 
 The pairing is a reduction tree. Documents fall into strata of source and size,
 strata into hashed blocks of about ``block`` documents; each block is folded by
@@ -43,7 +43,7 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float =
 
     Everything after the first aggregate works on one row per source. A source is
     at its limit if, with the sources of a lower limit per weight at theirs, the
-    rest still gives it that much.
+    rest still gives it that much; the first source below its limit sets the level.
     """
     s = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
     order = Window.orderBy(F.col("source").asc_nulls_last())
@@ -56,38 +56,48 @@ def targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, rate: float =
     s = s.withColumn("mass", F.lit(float(rate)) * F.sum("source_size").over(whole))
     s = s.withColumn("share", (F.col("mass") - F.coalesce(F.sum("most").over(before), F.lit(0.0))) / F.sum("w").over(after))
     s = s.withColumn("full", F.col("most") <= F.col("share") * F.col("w"))
-    s = s.withColumn("level", F.min(F.when(~F.col("full"), F.col("share"))).over(whole))
+    s = s.withColumn("level", F.max(F.when(~F.col("full"), F.col("share"))).over(whole))
     s = s.withColumn("target", F.when(F.col("full"), F.col("most")).otherwise(F.col("level") * F.col("w")))
     return s.select("source", "source_no", "source_size", "target")
 
 
 def _fold(items: Column) -> Column:
-    """Pivotal rounding along an array of struct(key, p): array of struct(i, bit, p).
+    """Pivotal rounding along an array of struct(size, key, p): array of struct(i, bit, p).
 
-    Every entry gets a bit but one, which keeps its remaining probability ``p``.
+    Two fractions a and b of documents of s and t words exchange words, so that
+    a * s + b * t stays: up, a grows until it is 1 or b is 0; down, a falls until it
+    is 0 or b is 1. The odds of up and down keep both expectations. Every entry gets
+    a bit but one, which keeps its remaining probability ``p``.
     """
     none = F.array().cast("array<struct<i:int,bit:int,p:double>>")
-    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("p"), F.lit(0).cast("bigint").alias("key"), none.alias("out"))
+    start = F.struct(F.lit(-1).alias("i"), F.lit(0.0).alias("p"), F.lit(0).cast("bigint").alias("key"),
+                     F.lit(1.0).alias("s"), none.alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        a, b = acc["p"], x["p"]
-        total = a + b
+        a, b, s, t = acc["p"], x["p"], acc["s"], x["s"]
+        most_up, most_down = b * t / s, (1 - b) * t / s
+        up, down = F.least(1 - a, most_up), F.least(a, most_down)
         u = unit_random(F.lit(SEED), acc["key"], x["key"], x["i"])
-        up = total > 1
-        # which of the two goes on: below 1 by its share, above 1 by the other's distance from 1
-        newcomer = (acc["i"] < 0) | F.when(up, u * (2 - total) < (1 - b)).otherwise(u * total < b)
-        rest = F.when(up, total - 1).otherwise(total)
-        settled = F.struct(F.when(newcomer, acc["i"]).otherwise(x["i"]).alias("i"),
-                           F.when(up, 1).otherwise(0).alias("bit"), F.lit(None).cast("double").alias("p"))
-        out = F.when(acc["i"] < 0, acc["out"]).otherwise(F.concat(acc["out"], F.array(settled)))
-        return F.struct(F.when(newcomer, x["i"]).otherwise(acc["i"]).alias("i"), rest.alias("p"),
-                        F.when(newcomer, x["key"]).otherwise(acc["key"]).alias("key"), out.alias("out"))
+        first, still = acc["i"] < 0, up + down <= 0
+        rise = u * (up + down) < down
+        a_ends = first | still | F.when(rise, 1 - a <= most_up).otherwise(a <= most_down)  # otherwise b ends
+        b_now = F.when(first | still, b).otherwise(F.when(rise, b - up * s / t).otherwise(b + down * s / t))
+        a_now = F.when(rise, a + up).otherwise(a - down)
+        bit = F.when(still, F.round(a).cast("int")).when(a_ends == rise, 1).otherwise(0)
+        settled = F.struct(F.when(a_ends, acc["i"]).otherwise(x["i"]).alias("i"), bit.cast("int").alias("bit"),
+                           F.lit(None).cast("double").alias("p"))
+        out = F.when(first, acc["out"]).otherwise(F.concat(acc["out"], F.array(settled)))
+        rest = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.when(a_ends, b_now).otherwise(a_now)))
+        return F.struct(F.when(a_ends, x["i"]).otherwise(acc["i"]).alias("i"), rest.alias("p"),
+                        F.when(a_ends, x["key"]).otherwise(acc["key"]).alias("key"),
+                        F.when(a_ends, x["s"]).otherwise(acc["s"]).alias("s"), out.alias("out"))
 
     def finish(acc: Column) -> Column:
         left = F.struct(acc["i"].alias("i"), F.lit(None).cast("int").alias("bit"), acc["p"].alias("p"))
         return F.sort_array(F.concat(acc["out"], F.array(left)))
 
-    indexed = F.transform(items, lambda x, i: F.struct(i.alias("i"), x["key"].alias("key"), x["p"].alias("p")))
+    indexed = F.transform(items, lambda x, i: F.struct(
+        i.alias("i"), x["key"].alias("key"), x["p"].alias("p"), F.greatest(x["size"], F.lit(1)).cast("double").alias("s")))
     return F.aggregate(indexed, start, step, finish)
 
 
