@@ -12,8 +12,10 @@ so copies are never paired. In a bucket, the least member is compared with all
 others, not all with all: pairs grow with the members. After the components of
 these links, only buckets that still hold several components are searched further,
 in blocks, and only for pairs between components, which is all that can change the
-result. Candidates must pass the Jaccard estimate, corrected for chance collisions
-of registers, within six standard deviations; then the full sets decide.
+result; a pair is looked at in the first band that its members share, in the task
+that holds both full sets, and only links leave the task. Candidates must pass the
+Jaccard estimate, corrected for chance collisions of registers, within six standard
+deviations; then the full sets decide.
 
 Sets are kept as 64-bit hashes of shingles, classes as 128-bit digests of the sets.
 
@@ -41,7 +43,7 @@ from .components import components
 BUCKETS = 384
 ROWS = 6
 MANTISSA = 10
-BLOCK = 256
+BLOCK = 128
 WORD_CACHE = 300_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -220,61 +222,87 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """Rows (key, node): every band key of every node."""
+    """Rows (band, key, node): every band key of every node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [band_keys(np.frombuffer(x.as_buffer(), np.uint16)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "keys"])
 
     return nodes.select("node", "sketch").mapInArrow(run, "node bigint, keys array<bigint>").select(
-        F.explode("keys").alias("key"), "node")
+        F.posexplode("keys").alias("band", "key"), "node")
 
 
-def _between(members: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Likely pairs between components inside buckets. ``members``: key, node, comp, count.
+def _between(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links between components inside buckets. ``members``: band, key, node, comp, count.
 
     A bucket is cut into blocks of about BLOCK members, and every two blocks of it
-    meet once; a task holds two blocks at a time.
+    meet once; a task holds the sets of two blocks at a time. Of the links of a node
+    to one component, one is enough.
     """
+    wanted = members.select("node").distinct().join(nodes.select(F.col("node").alias("nn"), "doc_id", "h"),
+                                                    F.col("node") == F.col("nn")).drop("nn")
+    sets = _full_sets(docs, wanted, k).withColumnRenamed("node", "sn")
+    held = stored(nodes.select("node", "sketch", "n").join(sets, F.col("node") == F.col("sn")).drop("sn"), "block-sets")
     least = lowest(percent)
-    m = members.join(nodes.select(F.col("node").alias("nn"), "sketch", "n"), F.col("node") == F.col("nn"))
     n_blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    m = m.select("key", n_blocks.alias("blocks"), "node", "comp", "sketch", "n")
+    m = members.select("band", "key", n_blocks.alias("blocks"), F.col("node").alias("mn"), "comp")
+    m = m.join(held, F.col("mn") == F.col("node"))
     m = m.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = m.groupBy("key", "blocks", "blk").agg(F.collect_list(F.struct("node", "comp", "n", "sketch")).alias("xs"))
-    meet = blocks.select("key", "blk", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meet = (meet.groupBy("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    blocks = m.groupBy("band", "key", "blocks", "blk").agg(
+        F.collect_list(F.struct("node", "comp", "n", "sketch", "shingles")).alias("xs"))
+    meet = blocks.select("band", "key", "blk", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    meet = (meet.groupBy("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
             .agg(F.collect_list("xs").alias("sides")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for row in b.column(0):
-                sides = row.as_py()
-                if len(sides) == 1:
-                    sides = sides * 2
-                x, y = sides
-                same = sides[0] is sides[1]
-                ys = np.stack([np.frombuffer(v["sketch"], np.uint16) for v in y])
-                yn, yc = np.array([v["n"] for v in y]), np.array([v["comp"] for v in y])
-                out_a, out_b = [], []
-                for i, u in enumerate(x):
-                    fit = (yc != u["comp"]) & (100 * np.minimum(yn, u["n"]) >= percent * np.maximum(yn, u["n"]))
-                    if same:
-                        fit[:i + 1] = False
-                    at = np.flatnonzero(fit)
-                    if not len(at):
-                        continue
-                    f = (ys[at] == np.frombuffer(u["sketch"], np.uint16)).mean(axis=1)
-                    for j in at[f >= least]:  # chance agreement only lowers an estimate
-                        v = y[j]
-                        s, t = (np.frombuffer(z["sketch"], np.uint16) for z in (u, v))
-                        if estimate(s, t, u["n"], v["n"]) >= least:
-                            out_a.append(min(u["node"], v["node"]))
-                            out_b.append(max(u["node"], v["node"]))
-                if out_a:
-                    yield pa.RecordBatch.from_arrays([pa.array(out_a, pa.int64()), pa.array(out_b, pa.int64())], ["a", "b"])
-
-    return meet.select("sides").mapInArrow(run, "a bigint, b bigint").distinct()
+            for band, row in zip(b.column(0).to_pylist(), b.column(1)):
+                sides = [_side(x) for x in row.as_py()]
+                links = _links(sides[0], sides[-1], len(sides) == 1, band, least, percent)
+                if links:
+                    lo, hi = zip(*links)
+                    yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
+
+    return meet.select("band", "sides").mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _side(members: list[dict]) -> tuple:
+    """A block as arrays: nodes, components, sizes, sketches, and the sets."""
+    return (np.array([m["node"] for m in members]), np.array([m["comp"] for m in members]), np.array([m["n"] for m in members]),
+            np.stack([np.frombuffer(m["sketch"], np.uint16) for m in members]),
+            [np.frombuffer(m["shingles"], np.uint64) for m in members])
+
+
+def _links(x: tuple, y: tuple, same: bool, band: int, least: float, percent: int) -> list[tuple[int, int]]:
+    """Links between members of different components of two blocks of a bucket (or of one, if the same)."""
+    nodes, comps, sizes, sketches, sets = y
+    out = []
+    for i in range(len(x[0])):
+        n = x[2][i]
+        fit = (comps != x[1][i]) & (100 * np.minimum(sizes, n) >= percent * np.maximum(sizes, n))
+        if same:
+            fit[:i + 1] = False
+        at = np.flatnonzero(fit)
+        if not len(at):
+            continue
+        equal = sketches[at] == x[3][i]
+        ok = equal.mean(axis=1) >= least  # the correction for chance agreement only lowers an estimate
+        at, equal = at[ok], equal[ok]
+        ok = equal.reshape(len(at), BUCKETS // ROWS, ROWS).all(axis=2).argmax(axis=1) == band  # no earlier band holds the pair
+        at = [j for j in at[ok] if estimate(x[3][i], sketches[j], n, sizes[j]) >= least]
+        if not at:
+            continue
+        own, others = x[4][i], np.concatenate([sets[j] for j in at])
+        hit = own[np.minimum(np.searchsorted(own, others), len(own) - 1)] == others
+        lens = sizes[at]
+        both = np.add.reduceat(hit.astype(np.int64), np.concatenate([[0], np.cumsum(lens)[:-1]]))
+        linked = 100 * both >= percent * (n + lens - both)
+        done = set()
+        for j, good in zip(at, linked):
+            if good and comps[j] not in done:
+                done.add(comps[j])
+                out.append((int(min(x[0][i], nodes[j])), int(max(x[0][i], nodes[j]))))
+    return out
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
@@ -297,11 +325,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame
     roots = components(links)
     comp = F.coalesce("root", "node").alias("comp")
     m = shared.where("count > 2").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left")
-    m = m.select("key", "node", comp, "count")
+    m = m.select("band", "key", "node", comp, "count")
     split = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
-    more = _between(m.join(split, "key", "left_semi"), nodes, percent).join(tried, ["a", "b"], "left_anti")
-    more = stored(more, "cross-pairs")
-    links = links.unionByName(stored(_verified(more, docs, nodes, k, percent), "cross-links"))
+    m = stored(m.join(split, "key", "left_semi"), "split-buckets")
+    links = links.unionByName(stored(_between(m, docs, nodes, k, percent), "cross-links"))
     roots = components(links)
 
     of = nodes.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(
