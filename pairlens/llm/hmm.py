@@ -263,7 +263,7 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     sent = docs.sparkSession.sparkContext.broadcast((model, frequent, below))
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
               T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
-              T.StructField("rare", T.ArrayType(T.BinaryType())), T.StructField("times", T.ArrayType(T.LongType()))]
+              T.StructField("__rare", T.ArrayType(T.BinaryType())), T.StructField("__times", T.ArrayType(T.LongType()))]
     schema = T.StructType([*d.schema.fields, *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -304,15 +304,15 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
                  pa.array(np.array(word) + hidden if word else [], pa.float64()), pa.array(rare, pa.list_(pa.binary())),
                  pa.array(times, pa.list_(pa.int64()))], schema.names)
 
-    scored = stored(d.mapInArrow(run, schema).withColumn("uid", F.monotonically_increasing_id()).drop("text"), "hmm-scored")
-    pairs = scored.select("uid", F.explode(F.arrays_zip(F.col("rare").alias("word"), F.col("times").alias("times"))).alias("z"))
-    hit = (pairs.select("uid", "z.word", "z.times").join(counts, "word")
-           .groupBy("uid").agg(F.sum("times").alias("k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("add")))
-    out = scored.drop("rare", "times").join(hit, "uid", "left")
-    add = F.coalesce("add", F.lit(0.0))
+    scored = stored(d.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()).drop("text"), "hmm-scored")
+    pairs = scored.select("__uid", F.explode(F.arrays_zip(F.col("__rare").alias("word"), F.col("__times").alias("times"))).alias("z"))
+    hit = (pairs.select("__uid", "z.word", "z.times").join(counts, "word").groupBy("__uid")
+           .agg(F.sum("times").alias("__k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("__add")))
+    out = scored.drop("__rare", "__times").join(hit, "__uid", "left")
+    add = F.coalesce("__add", F.lit(0.0))
     return out.select(
         *[F.col(f"`{c}`") for c in keep], (~in_training(F.col("doc_id"))).alias("held_out"), "n_tokens",
-        (F.col("n_known") + F.coalesce("k", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
+        (F.col("n_known") + F.coalesce("__k", F.lit(0))).alias("n_known"), F.lit(total).cast("bigint").alias("train_tokens"),
         (F.col("base_score") + add).alias("base_score"), (F.col("score") + add).alias("score"))
 
 
