@@ -43,7 +43,7 @@ from .components import components
 BUCKETS = 384
 ROWS = 6
 MANTISSA = 10
-BLOCK = 128
+BLOCK = 64
 WORD_CACHE = 300_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
@@ -257,7 +257,7 @@ def _between(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for band, row in zip(b.column(0).to_pylist(), b.column(1)):
-                sides = [_side(x) for x in row.as_py()]
+                sides = [_side(x) for x in row.values]
                 links = _links(sides[0], sides[-1], len(sides) == 1, band, least, percent)
                 if links:
                     lo, hi = zip(*links)
@@ -266,11 +266,12 @@ def _between(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perc
     return meet.select("band", "sides").mapInArrow(run, "a bigint, b bigint").distinct()
 
 
-def _side(members: list[dict]) -> tuple:
-    """A block as arrays: nodes, components, sizes, sketches, and the sets."""
-    return (np.array([m["node"] for m in members]), np.array([m["comp"] for m in members]), np.array([m["n"] for m in members]),
-            np.stack([np.frombuffer(m["sketch"], np.uint16) for m in members]),
-            [np.frombuffer(m["shingles"], np.uint64) for m in members])
+def _side(members: pa.ListScalar) -> tuple:
+    """A block as arrays over the batch's own memory: nodes, components, sizes, sketches, and the sets."""
+    m = members.values
+    return (*[m.field(c).to_numpy(zero_copy_only=False) for c in ("node", "comp", "n")],
+            np.stack([np.frombuffer(x.as_buffer(), np.uint16) for x in m.field("sketch")]),
+            [np.frombuffer(x.as_buffer(), np.uint64) for x in m.field("shingles")])
 
 
 def _links(x: tuple, y: tuple, same: bool, band: int, least: float, percent: int) -> list[tuple[int, int]]:
