@@ -6,12 +6,12 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import rules
-from .text import col, collapse_ws, contains_any, let, py_strip
+from .text import col, collapse_ws, contains_any, exact_round, let, py_strip
 
 
 def money(x: Column) -> Column:
-    """``f"${x:.2f}"`` from a half-even rounded value (H4)."""
-    return F.concat(F.lit("$"), F.format_string("%.2f", F.bround(x, 2)))
+    """``f"${x:.2f}"``: rounded by the exact binary value (H4)."""
+    return F.when(x.isNotNull(), F.concat(F.lit("$"), F.format_string("%.2f", exact_round(x, 2))))
 
 
 def clean_price(c, inr_rate: float = rules.INR_PER_USD, bind: bool = True) -> Column:
@@ -20,8 +20,8 @@ def clean_price(c, inr_rate: float = rules.INR_PER_USD, bind: bool = True) -> Co
     ``bind=False`` inlines the stages instead of binding them in lambdas."""
     p0 = col(c)
     spaced = F.regexp_replace(py_strip(F.replace(p0, F.lit("\u00a0"), F.lit(" "))), "(?U)\\s+", " ")
-    body = (_price_from_text(_undouble(spaced), inr_rate) if not bind else
-            let(spaced, lambda p: let(_undouble(p), lambda q: _price_from_text(q, inr_rate))))
+    body = (_price_from_text(_undouble(spaced), inr_rate, False) if not bind else
+            let(spaced, lambda p: let(_undouble(p), lambda q: _price_from_text(q, inr_rate, True))))
     return F.when(p0.isNull() | (p0 == ""), F.lit("N/A")).otherwise(body)
 
 
@@ -35,15 +35,15 @@ def _undouble(p: Column) -> Column:
     return F.when((n % 2 == 0) & (half == second), half).otherwise(p)
 
 
-def _price_from_text(p: Column, inr_rate: float) -> Column:
+def _price_from_text(p: Column, inr_rate: float, bind: bool) -> Column:
     is_inr = p.rlike("(?i)(inr|rs\\.?|₹)")
     num_txt = F.replace(F.regexp_extract(p, "([0-9,]+\\.[0-9]+|[0-9,]+)", 1), F.lit(","), F.lit(""))
     num = F.when(num_txt != "", num_txt.try_cast("double"))
     fallback = F.regexp_replace(p, "(?i)\\b(inr|rs\\.?)\\s*", "\\$")
     fallback = py_strip(F.regexp_replace(fallback, "(?i)\\busd\\s*", "\\$"))
-    return (F.when(num.isNotNull() & is_inr, money(num / F.lit(inr_rate)))
-            .when(num.isNotNull(), money(num))
-            .otherwise(fallback))
+    usd = F.when(is_inr, num / F.lit(inr_rate)).otherwise(num)
+    shown = money(usd) if not bind else let(usd, money)
+    return F.coalesce(shown, fallback)
 
 
 def price_usd(price_text: Column) -> Column:

@@ -101,3 +101,19 @@ def memo_column(build):
             cache[key] = build(*args)
         return cache[key]
     return get
+
+
+def exact_round(x: Column, places: int) -> Column:
+    """Round a non-negative double by its exact binary value, ties to even.
+
+    ``bround`` rounds the shortest decimal form, which differs where that form looks
+    like a tie. Here ``x`` is split into two halves whose products with ``2 * 10^places``
+    are exact, so the comparison with the midpoint is exact too.
+    """
+    p = float(10 ** places)
+    k = F.floor(x * p).cast("double")
+    big = x * 134217729.0
+    hi = big - (big - x)
+    over = (hi * (2 * p) - (2 * k + 1)) + (x - hi) * (2 * p)
+    up = (over > 0) | ((over == 0) & (k % 2 == 1))
+    return F.when(x < 1e11, (k + F.when(up, 1.0).otherwise(0.0)) / p).otherwise(F.bround(x, places))

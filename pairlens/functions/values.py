@@ -14,7 +14,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from .keys import PACK_WORD_RE
-from .text import col, contains_any, digits_dots_number, let, py_float, py_strip
+from .text import col, contains_any, digits_dots_number, exact_round, let, py_float, py_strip
 
 VALUE_TYPE = T.StructType([
     T.StructField("kind", T.StringType()),
@@ -67,7 +67,7 @@ def unit_convert_unrolled(val: Column, table: dict[str, float], also_remove: str
         rest = F.replace(v, F.lit(unit), F.lit(""))
         if also_remove:
             rest = F.replace(rest, F.lit(also_remove), F.lit(""))
-        branches.append(F.when(F.instr(v, unit) > 0, F.bround(digits_dots_number(rest) * F.lit(factor), 4)))
+        branches.append(F.when(F.instr(v, unit) > 0, exact_round(digits_dots_number(rest) * F.lit(factor), 4)))
     return F.coalesce(*branches)
 
 
@@ -80,7 +80,7 @@ def unit_convert(val: Column, table: dict[str, float], also_remove: str | None =
         rest = F.replace(v, u["unit"], F.lit(""))
         if also_remove:
             rest = F.replace(rest, F.lit(also_remove), F.lit(""))
-        hit = F.when(F.instr(v, u["unit"]) > 0, F.bround(digits_dots_number(rest) * u["factor"], 4))
+        hit = F.when(F.instr(v, u["unit"]) > 0, let(digits_dots_number(rest) * u["factor"], lambda x: exact_round(x, 4)))
         return F.coalesce(acc, hit)
 
     return F.aggregate(unit_table(table), F.lit(None).cast("double"), try_unit)

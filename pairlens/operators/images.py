@@ -13,12 +13,14 @@ from pyspark.sql import functions as F
 
 
 def sign_code(vec: Column, bits: int = 64) -> Column:
-    """Bit ``i`` set when ``vec[i] > 0`` (first ``bits`` entries) as a bigint."""
+    """Bit ``i`` set when ``vec[i] > 0`` as a bigint; a vector of another length than ``bits`` raises."""
     one = F.lit(1).cast("bigint")
-    return F.aggregate(
+    whole = F.assert_true(F.size(vec) == bits, F.lit(f"a code needs vectors of {bits} entries"))
+    code = F.aggregate(
         F.sequence(F.lit(0), F.lit(bits - 1)), F.lit(0).cast("bigint"),
         lambda acc, i: acc.bitwiseOR(F.when(F.get(vec, i) > 0, F.call_function("shiftleft", one, i))
                                      .otherwise(F.lit(0).cast("bigint"))))
+    return F.when(whole.isNull(), code)
 
 
 def long_to_hex(code: Column) -> Column:
@@ -109,13 +111,14 @@ def image_hashes(images: DataFrame) -> DataFrame:
     return images.select("image").mapInPandas(_hash_batches, HASH_SCHEMA)
 
 
-def attach_image_hashes(records: DataFrame, hashes: DataFrame, url_of=None, max_images: int = 3) -> DataFrame:
-    """Add ``image_hashes`` (first ``max_images`` image URLs that hashed, in page
-    order) to raw records. ``url_of`` maps an image URL to the stored file's
-    origin (identity by default). Groups hold at most ``max_images`` rows."""
+def attach_image_hashes(records: DataFrame, hashes: DataFrame, url_of=None, max_images: int | None = None) -> DataFrame:
+    """Add ``image_hashes`` (all image URLs that hashed, in page order; with
+    ``max_images``, of the first so many) to raw records. ``url_of`` maps an image
+    URL to the stored file's origin (identity by default)."""
     from pyspark.sql import functions as F
     key = ["pair_id", "link_key"]
-    imgs = records.select(*key, F.posexplode(F.slice(F.col("raw.image_urls"), 1, max_images)).alias("pos", "url"))
+    imgs = records.select(*key, F.posexplode(
+        F.slice(F.col("raw.image_urls"), 1, max_images) if max_images else F.col("raw.image_urls")).alias("pos", "url"))
     if url_of is not None:
         imgs = imgs.withColumn("origin", url_of(F.col("url")))
     else:

@@ -21,21 +21,8 @@ from .fixtures import part_pairs
 # ---------------------------------------------------------------------------
 
 
-# The checkpointed pair table is the step boundary of the catalog job (like the
-# files between the reference's steps): built once per application and data
-# folder, then shared by every query over the part catalog.
-_PAIRS: dict[tuple[str, str], DataFrame] = {}
-
-
-def shared_part_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _PAIRS:
-        _PAIRS[key] = part_pairs(spark, sf_dir)
-    return _PAIRS[key]
-
-
 def part_results(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return classify(compute_diff(shared_part_pairs(spark, sf_dir)))
+    return classify(compute_diff(part_pairs(spark, sf_dir)))
 
 
 def flagship_verdict_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -612,8 +599,7 @@ QUERIES["value_match_rules"] = value_match_rules
 
 
 def _pages(spark, sf_dir):
-    from ..sources.pages import spread
-    return spread(spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html"), "page_id")
+    return spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
 
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -688,12 +674,21 @@ QUERIES["source_quality"] = source_quality
 # ---------------------------------------------------------------------------
 
 
+def _in_files(spark: SparkSession, sf_dir: str, table: str, files: int) -> str:
+    """A table copied to the shared folder as several files (written once), so that a stream reads it in batches."""
+    import zlib
+
+    from ..session import ensure_checkpoint_dir
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{table}-files-{zlib.crc32(sf_dir.encode()):08x}"
+    spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(files).write.mode("ignore").parquet(path)
+    return path
+
+
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST2: events read as a stream, duplicates of (user, type) dropped within
-    the watermark; the kept keys equal the batch distinct set."""
-    from ..streaming.jobs import dedup_stream, run_available_now, stream_table
-    ev = stream_table(spark, f"{sf_dir}/events.parquet")
-    out = run_available_now(dedup_stream(ev, ["user_id", "event_type"], "ts"), "stream_dedup")
+    """ST2: events arriving in four batches, each key of (user, type) kept once over all of them."""
+    from ..streaming.jobs import dedup_available_now, stream_table
+    path = _in_files(spark, sf_dir, "events", 4)
+    out = dedup_available_now(stream_table(spark, path, files_per_batch=1), ["user_id", "event_type"], "stream_dedup", path)
     return out.select("user_id", "event_type")
 
 
@@ -702,19 +697,17 @@ QUERIES["stream_dedup"] = stream_dedup
 
 
 def stream_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: orders and line items as two streams, joined when both sides have
-    arrived (key equality and a 180-day ship window)."""
+    """ST3: orders and line items as two streams, a pair emitted once both sides have arrived."""
     from ..streaming.jobs import pair_join_stream, run_available_now, stream_table
     o = stream_table(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
     li = stream_table(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
     j = pair_join_stream(o, li, "o_orderkey", "l_orderkey", "o_orderdate", "l_shipdate")
-    return run_available_now(j, "stream_pair_join").select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
+    return run_available_now(j, "stream_pair_join", sf_dir).select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
 
 
 SQL["stream_pair_join"] = """
 SELECT o_orderkey, l_linenumber, o_orderdate, l_shipdate
-FROM orders JOIN lineitem ON o_orderkey = l_orderkey
- AND l_shipdate >= o_orderdate AND l_shipdate <= o_orderdate + INTERVAL 180 DAYS"""
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey"""
 QUERIES["stream_pair_join"] = stream_pair_join
 
 
@@ -726,7 +719,7 @@ def stream_verdict_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/results-{uuid.uuid4().hex[:8]}"
     part_results(spark, sf_dir).select("pair_id", "our_result").write.parquet(path)
-    return run_available_now(running_counts(stream_table(spark, path)), "stream_verdict_counts", mode="complete")
+    return run_available_now(running_counts(stream_table(spark, path)), "stream_verdict_counts", path, mode="complete")
 
 
 SQL["stream_verdict_counts"] = PART_VERDICT_SQL + "SELECT our_result, count(*) AS n FROM v GROUP BY our_result"
@@ -740,7 +733,7 @@ def stream_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..streaming.jobs import run_available_now, stream_table
     pages = stream_table(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
     out = run_available_now(extract_records(pages).drop("raw").withColumn("scraped_at", F.col("scraped_at")),
-                            "stream_page_extract")
+                            "stream_page_extract", sf_dir)
     return out.select("page_id", "parser", "status")
 
 

@@ -20,10 +20,10 @@ from ..sources.pages import extract_records, latest_page_per_url, parse_quality_
 
 
 def scrape_records(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Link rows joined to their parsed page; each URL parsed once (J6, PX13)."""
-    pages_by_url = latest_page_per_url(pages)
-    records = extract_records(pages_by_url).drop("page_id")
+    """Link rows joined to their parsed page (J6, PX13). Only linked pages are parsed, each URL once."""
     links = link_rows(pairs)
+    linked = pages.join(links.select("url").distinct(), "url", "left_semi")
+    records = extract_records(latest_page_per_url(linked)).drop("page_id")
     joined = links.join(records, "url", "left")
     return joined.select(
         "pair_id", "link_key", "url",
@@ -35,7 +35,7 @@ def scrape_records(pairs: DataFrame, pages: DataFrame) -> DataFrame:
 def extract(raw_records: DataFrame, pairs: DataFrame, done: DataFrame | None = None,
             images: DataFrame | None = None) -> DataFrame:
     """AT5: in-scope, not yet done, status ok -> feature records; with stored
-    ``images`` (``sources.images.read_images``), up to 3 hashes per record (IMG1)."""
+    ``images`` (``sources.images.read_images``), the hashes of its images (IMG1)."""
     r = in_scope(raw_records, pairs, ["pair_id"]).where(F.col("status") == "ok")
     if done is not None:
         r = skip_done(r, done, ["pair_id", "link_key"])

@@ -15,8 +15,7 @@ JOB_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
-    # Page parsing ships whole HTML documents to Python: 1,000 pages per Arrow
-    # batch keeps a worker's batch near 100 MB for 100 KB pages (default 10,000).
+    # Rows with whole texts or blocks of vectors go to Python; Spark also limits a batch by bytes.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
     # The matching expressions are large (nested higher-order functions);
     # constraint inference over them costs seconds of planning and prunes nothing.
@@ -81,8 +80,8 @@ def ship_package(spark: SparkSession) -> None:
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder (``spark.checkpoint.dir``).
 
-    When the session has none (local tests), a fresh scratch folder is made and
-    set; on a cluster the configured shared folder is used as it is.
+    Where it is unset, a session in one local process (tests) gets a fresh scratch
+    folder; on a cluster, whose machines share no local folder, that is an error.
     """
     current = spark.sparkContext.getCheckpointDir()
     if current:
@@ -91,6 +90,8 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if conf_dir:
         spark.sparkContext.setCheckpointDir(conf_dir)
         return spark.sparkContext.getCheckpointDir()
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     local = tempfile.mkdtemp(prefix="pairlens-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.sparkContext.setCheckpointDir(local)
     return spark.sparkContext.getCheckpointDir()

@@ -74,8 +74,8 @@ def read_jsonl(spark: SparkSession, path: str, schema: T.StructType) -> DataFram
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)
 
 
-def write_jsonl(df: DataFrame, path: str, mode: str = "append") -> None:
-    """JSONL sink with nulls written (IO3)."""
+def write_jsonl(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """JSONL sink with nulls written (IO3); a rerun replaces its rows."""
     df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 

@@ -1,11 +1,8 @@
 """Stored product pages -> raw product records (PX1-PX13, PF3-PF6, J6).
 
-Routing, blocked-page predicates, caps and reject rules are native column
-expressions. Walking the HTML and the embedded JSON islands needs a real
-parser, so that one step is a ``mapInPandas`` pass: each task parses its own
-pages with the standard library (``html.parser``, ``json``), batch by batch.
-Pages are deduplicated by URL first, so a URL shared by many pairs is parsed
-once (the URL cache of the reference, J6).
+Routing, blocked-page predicates, field rules (``site_rules``) and reject rules are
+native column expressions, evaluated in the tasks that scan the pages: no Python,
+no shuffle, and a malformed page is a reject, never a failed job.
 """
 
 from __future__ import annotations
@@ -16,6 +13,7 @@ from pyspark.sql import types as T
 
 from .. import rules
 from ..functions.text import contains_any
+from .site_rules import with_raw
 
 SPEC_T = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", T.StringType())]))
 RAW_T = T.StructType([
@@ -29,15 +27,6 @@ RAW_T = T.StructType([
     T.StructField("breadcrumb", T.ArrayType(T.StringType())),
     T.StructField("source", T.StringType()),
 ])
-PARSED_SCHEMA = T.StructType([
-    T.StructField("page_id", T.LongType()),
-    T.StructField("url", T.StringType()),
-    T.StructField("parser", T.StringType()),
-    T.StructField("amazon_blocked", T.BooleanType()),
-    T.StructField("press_hold_blocked", T.BooleanType()),
-    T.StructField("raw", RAW_T),
-])
-
 
 def route(url) -> Column:
     """Parser choice by URL (PX1)."""
@@ -75,26 +64,13 @@ def reject_reason(url: Column, parser: Column, amazon_block: Column, press_hold:
             .when(empty, F.lit("empty_record")))
 
 
-def _parse_batches_keep(keep):
-    def run(batches):
-        from . import html_parse
-        cols = ["page_id", "url", "parser", "amazon_blocked", "press_hold_blocked", *keep]
-        for pdf in batches:
-            out = [html_parse.parse_page(p, u, h) for p, u, h in zip(pdf["parser"], pdf["url"], pdf["html"])]
-            pdf = pdf[cols].copy()
-            pdf["raw"] = out
-            yield pdf
-    return run
-
-
 def parse_pages(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
-    """``pages(page_id, url, html)`` -> ``(page_id, url, parser, raw)`` (PX2-PX12);
-    ``keep`` columns pass through the parse pass unchanged."""
+    """``pages(page_id, url, html)`` -> ``(page_id, url, parser, raw)`` (PX2-PX11), all in the
+    scan's own tasks; ``keep`` columns pass through unchanged."""
     routed = pages.select("page_id", "url", route("url").alias("parser"),
                           amazon_blocked("html").alias("amazon_blocked"),
                           press_hold_blocked("html").alias("press_hold_blocked"), *keep, "html")
-    fields = list(PARSED_SCHEMA.fields[:5]) + [pages.schema[k] for k in keep] + [PARSED_SCHEMA["raw"]]
-    return routed.mapInPandas(_parse_batches_keep(tuple(keep)), T.StructType(fields))
+    return with_raw(routed).drop("html")
 
 
 def extract_records(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -128,19 +104,9 @@ def parse_quality_observed(records: DataFrame, name: str = "parse_quality"):
 
 def latest_page_per_url(pages: DataFrame) -> DataFrame:
     """One stored snapshot per URL (the highest page_id): the URL cache (J6, AG6).
-    A partial aggregate, so a hot URL does not gather in one task."""
-    best = F.max_by(F.struct("page_id", "html"), F.col("page_id"))
-    return pages.groupBy("url").agg(best.alias("_p")).select(F.col("_p.page_id").alias("page_id"), "url",
-                                                             F.col("_p.html").alias("html"))
-
-
-def spread(df: DataFrame, key: str) -> DataFrame:
-    """Hash-spread rows over the task slots when the scan yields fewer
-    partitions than slots (one small file); large scans keep their splits."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < slots:
-        return df.repartition(slots * 2, key)
-    return df
+    The newest id is found on two columns, combined on the map side; only the chosen pages are then read on."""
+    best = pages.groupBy("url").agg(F.max("page_id").alias("page_id"))
+    return pages.join(best, ["url", "page_id"], "left_semi").select("page_id", "url", "html")
 
 
 def host(url) -> Column:

@@ -1,44 +1,22 @@
 """SQL entry points.
 
 ``register_sql(spark)`` registers the scalar rules ``norm_key``, ``norm_value``, ``clean_brand``,
-``clean_price``, ``classify_key``, ``result_label`` and ``hamming_pct`` as SQL
-functions, and ``extract_page`` as a Python table function (Arrow-backed UDTF)
-so SQL users can run the page parse step:
+``clean_price``, ``classify_key``, ``result_label`` and ``hamming_pct``, and the similarity
+functions, as SQL functions. ``create_page_records_view(spark, pages, view)`` makes the page
+step a view, so SQL users can write
 
-    SELECT * FROM extract_page(TABLE(SELECT page_id, url, html FROM pages))
-
-Each input row (one stored page) yields one parsed record; rows are parsed in
-the tasks that hold them, exactly as in ``sources.pages.parse_pages``.
+    SELECT title, brand FROM records WHERE status = 'ok'
 """
 
 from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
-EXTRACT_PAGE_SCHEMA = ("page_id bigint, url string, parser string, title string, brand string, "
-                       "description string, bullet_points array<string>, "
-                       "spec_table array<struct<key:string,value:string>>, image_urls array<string>, "
-                       "price_raw string, source string")
-
-def _route(url: str) -> str:
-    """Same routing as ``sources.pages.route`` (rules.SITE_ROUTES)."""
-    from . import rules
-    for marker, name in rules.SITE_ROUTES:
-        if marker in (url or ""):
-            return name
-    return "generic"
-
-
-class ExtractPage:
-    """Table function: one parsed product record per stored page row."""
-
-    def eval(self, row):
-        from .sources import html_parse
-        url = row["url"]
-        parser = _route(url)
-        r = html_parse.parse_page(parser, url, row["html"] or "")
-        yield (row["page_id"], url, parser, r["title"], r["brand"], r["description"], r["bullet_points"],
-               [(s["key"], s["value"]) for s in r["spec_table"]], r["image_urls"], r["price_raw"], r["source"])
+def create_page_records_view(spark: SparkSession, pages: str, view: str) -> None:
+    """Register ``view``: the product records of the stored-page table ``pages`` (page_id, url, html)."""
+    from .sources.pages import extract_records
+    r = extract_records(spark.table(pages))
+    r.select("page_id", "url", "parser", "status", "error", "raw.*").createOrReplaceTempView(view)
 
 
 def _sql_text(spark: SparkSession, expr, schema: str) -> str:
@@ -128,12 +106,7 @@ def register_sql(spark: SparkSession) -> list[str]:
     Spark, so the two cannot drift). The similarity functions loop over
     characters with lambdas, which Spark cannot render back to SQL text; they
     stay DataFrame functions."""
-    from pyspark.sql.functions import udtf
-
-    from .session import ship_package
-    ship_package(spark)
-    spark.udtf.register("extract_page", udtf(ExtractPage, returnType=EXTRACT_PAGE_SCHEMA, useArrow=True))
-    names = ["extract_page"]
+    names = []
     for name, (build, schema, ret) in _scalar_functions().items():
         params = ", ".join(f"{p.split()[0]} {p.split()[1].upper()}" for p in schema.split(", "))
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {ret} "

@@ -1,91 +1,144 @@
-"""Site parsers on synthetic layouts (PX2-PX5, PX7-PX11), pure Python helper."""
+"""Page rules on synthetic layouts (PX2-PX5, PX7-PX11): values, omitted tags, nulls, no limits."""
 
 import json
 
-from pairlens.sources import html_parse as H
+import pytest
 
+SITES = {"generic": "https://shop.example/x", "walmart": "https://www.walmart.com/ip/1", "target": "https://www.target.com/p/x",
+         "flipkart": "https://www.flipkart.com/x", "myntra": "https://www.myntra.com/x"}
 
-def test_generic_page():
-    html = ("<html><head><title> Tee &amp; Co </title><meta property='og:brand' content='Acme'></head><body>"
-            "<nav><li>Size: nav</li></nav><table><tr><th>Color</th><td>Blue</td></tr></table>"
-            "<dl><dt>Fit</dt><dd>Slim</dd></dl><div class='spec-row'><span>Material</span><span>Cotton</span></div>"
-            "<li>Care: Machine wash</li><li>Note: ignore</li>"
-            "<div id='feature-bullets'><ul><li>Soft</li><li></li></ul></div>"
-            "<span class='price'>$9.99</span><img src='http://x/a.jpg' width='300'></body></html>")
-    r = H.parse_generic(html)
+
+class _Recorded(Exception):
+    """Ends the recording pass of a test once its pages are known."""
+
+
+def _pages_of(check):
+    """The pages that a test asks for."""
+    found = []
+
+    def record(*pages):
+        found.extend(pages)
+        raise _Recorded
+    try:
+        check(record)
+    except _Recorded:
+        pass
+    return found
+
+
+@pytest.fixture(scope="module")
+def parse(spark):
+    """Records of pages; the pages of all tests are parsed in one job."""
+    from pairlens.sources.pages import extract_records
+    pages = list(dict.fromkeys(x for check in PARSE_TESTS for x in _pages_of(check)))
+    df = spark.createDataFrame([(i, SITES[s], h) for i, (s, h) in enumerate(pages)], "page_id long, url string, html string")
+    records = {}
+    for r in extract_records(df).collect():
+        raw = r.raw.asDict(recursive=True)
+        records[pages[r.page_id]] = raw | {"specs": [(e["key"], e["value"]) for e in raw["spec_table"]], "status": r.status,
+                                           "error": r.error}
+
+    def answer(*asked):
+        out = [records[x] for x in asked]
+        return out if len(out) > 1 else out[0]
+    return answer
+
+
+def island(data):
+    return f'<script id="__NEXT_DATA__" type="application/json">{json.dumps(data)}</script>'
+
+
+def test_generic_page(parse):
+    r = parse(("generic", "<html><head><title> Tee &amp; Co </title><meta property='og:brand' content='Acme'></head><body>"
+               "<nav><li>Size: nav</li></nav><table><tr><th>Color</th><td>Blue</td></tr></table><dl><dt>Fit</dt><dd>Slim</dd></dl>"
+               "<li>Care: Machine wash</li><li>Note: ignore</li>"
+               "<div id='feature-bullets'><ul><li>Soft</li><li></li></ul></div>"
+               "<span class='price'>$9.99</span><img src='http://x/a.jpg' width='300'></body></html>"))
     assert r["title"] == "Tee & Co" and r["brand"] == "Acme" and r["price_raw"] == "$9.99"
-    specs = [(s["key"], s["value"]) for s in r["spec_table"]]
-    assert specs[:3] == [("Color", "Blue"), ("Fit", "Slim"), ("Material", "Cotton")]
-    assert ("Care", "Machine wash") in specs and all(k != "Note" and k != "Size" for k, _ in specs)
+    assert r["specs"] == [("Color", "Blue"), ("Fit", "Slim"), ("Care", "Machine wash")]
     assert r["bullet_points"] == ["Soft"] and r["image_urls"] == ["http://x/a.jpg"]
 
 
-def test_walmart_island():
-    data = {"props": {"pageProps": {"initialData": {"data": {
-        "idml": {"specifications": [{"name": "Color", "value": "Red"}, {"name": "Color", "value": "Blue"}],
-                 "shortDescription": "<ul><li>Fit: Slim</li></ul>"},
-        "product": {"name": "Tee", "brand": "Acme", "specifications": [{"specifications": [{"name": "Color", "value": "X"},
-                    {"name": "Size", "value": "M"}]}], "imageInfo": {"allImages": [{"url": "u1"}]},
-                    "priceInfo": {"currentPrice": {"priceString": "$5.00"}}}}}}}}
-    html = f'<script id="__NEXT_DATA__" type="application/json">{json.dumps(data)}</script>'
-    r = H.parse_page("walmart", "https://www.walmart.com/ip/1", html)
-    assert r["source"] == "next_data" and r["title"] == "Tee"
-    assert [(s["key"], s["value"]) for s in r["spec_table"]] == [("Color", "Blue"), ("Size", "M")]
-    assert r["bullet_points"] == ["Fit: Slim"] and r["price_raw"] == "$5.00"
+def test_omitted_end_tags_and_unclosed_boilerplate(parse):
+    a, b, c, d = parse(("generic", "<title>t</title><table><tr><td>Color<td>Red<tr><td>Size<td>M</table>"),
+                       ("generic", "<title>t</title><dl><dt>Color<dd>Red<dt>Size<dd>M</dl>"),
+                       ("generic", "<title>t</title><ul><li>Fit: Slim<li>Color: Red</ul>"),
+                       ("generic", "<nav><h1>Name</h1><p>" + "<p>" * 3000))
+    assert a["specs"] == b["specs"] == [("Color", "Red"), ("Size", "M")] and c["specs"] == [("Fit", "Slim"), ("Color", "Red")]
+    assert d["title"] == "Name"
+
+
+def test_nothing_is_cut_off(parse):
+    html = ("<title>t</title><meta property='og:description' content='" + "d" * 5000 + "'><div id='feature-bullets'><ul>"
+            + "".join(f"<li>b{i}</li>" for i in range(40)) + "</ul></div>" + "".join(f"<img src='i{i}.jpg'>" for i in range(12)))
+    r = parse(("generic", html))
+    assert len(r["description"]) == 5000 and len(r["bullet_points"]) == 40 and len(r["image_urls"]) == 12
 
 
-def test_target_island_and_ghost():
+def test_walmart_island(parse):
+    block = {"idml": {"specifications": [{"name": "Color", "value": "Red"}, {"name": "Color", "value": "Blue"}, {"name": "N", "value": 5}],
+                      "shortDescription": "<ul><li>Fit: Slim</li></ul>"},
+             "product": {"name": "Tee", "brand": "Acme", "specifications": [{"specifications": [{"name": "Color", "value": "X"},
+                         {"name": "Size", "value": "M"}]}], "imageInfo": {"allImages": [{"url": f"u{i}"} for i in range(8)]},
+                         "specificationSection": {"specifications": [{"specifications": [{"name": "Size", "value": "Z"},
+                                                                                       {"name": "Fit", "value": "S"}]}]},
+                         "priceInfo": {"currentPrice": {"priceString": "$5.00"}}}}
+    data = {"props": {"pageProps": {"initialData": {"data": block}}}}
+    r = parse(("walmart", island(data)))
+    assert r["source"] == "next_data" and r["title"] == "Tee" and r["brand"] == "Acme"
+    assert r["specs"] == [("Color", "Blue"), ("N", "5"), ("Size", "M"), ("Fit", "S")]
+    assert r["bullet_points"] == ["Fit: Slim"] and r["price_raw"] == "$5.00" and len(r["image_urls"]) == 8
+
+
+def test_target_island_and_ghost(parse):
     item = {"product": {"item": {"product_description": {"title": "Tee", "bullet_descriptions": ["<b>Fit:</b> Slim"]},
                                  "primary_brand": {"name": "Acme"},
                                  "enrichment": {"images": {"primary_image_url": "p", "alternate_image_urls": ["p", "q"]}}}}}
-    data = {"props": {"dehydratedState": {"queries": [{"state": {"data": [item]}}]}}}
-    html = f'<script id="__NEXT_DATA__">{json.dumps(data)}</script>'
-    r = H.parse_page("target", "https://www.target.com/p/x", html)
-    assert r["source"] == "target_next_data" and r["spec_table"] == [{"key": "Fit", "value": "Slim"}]
-    assert r["image_urls"] == ["p", "q"]
-    ghost = '<script id="__NEXT_DATA__">{"props": {"pageProps": {"statusCode": 404}}}</script>'
-    assert H.parse_page("target", "https://www.target.com/p/x", ghost)["source"] == "html_parse"
+    data = {"props": {"dehydratedState": {"queries": [{"product": {"other": 1}}, {"state": {"data": [{"x": item}]}}]}}}
+    r, ghost = parse(("target", island(data)), ("target", island({"props": {"pageProps": {"statusCode": 404}}})))
+    assert r["source"] == "target_next_data" and r["specs"] == [("Fit", "Slim")] and r["image_urls"] == ["p", "q"]
+    assert ghost["source"] == "html_rules" and ghost["error"] == "missing_specs"
 
 
-def test_flipkart_blob_and_myntra():
+def test_flipkart_blob_and_header(parse):
     blob = "BrandJOCKEYTypeRound NeckSleeveHalf SleeveFitRegularFabric CareMachine washColorBlackGeneralxx" * 2
-    html = f"<h1>Jockey Tee</h1><span>₹1,299</span><div class='grid-formation'>{blob}</div>"
-    r = H.parse_page("flipkart", "https://www.flipkart.com/x", html)
-    specs = {s["key"]: s["value"] for s in r["spec_table"]}
+    r = parse(("flipkart", f"<header><h1>Jockey Tee</h1></header><span>₹1,299</span><div class='a grid-formation'>{blob}</div>"))
+    specs = dict(r["specs"])
     assert specs["Brand"] == "JOCKEY" and specs["Type"] == "Round Neck"
     assert "Fabric" not in specs and specs["Care"] == "Machine wash"  # "Fabric Care" never matches whole
-    assert r["price_raw"] == "₹1299" and r["brand"] == "Jockey"
+    assert r["title"] == "Jockey Tee" and r["price_raw"] == "₹1299" and r["brand"] == "Jockey"
+
+
+def test_myntra_island(parse):
     myx = {"pdpData": {"brand": {"name": "HRX"}, "name": "Tee", "mrp": 999,
-                       "articleAttributes": {"Fit": "Slim", "Neck": "NA"}, "sizes": [{"label": "M", "available": True}],
+                       "articleAttributes": {"Fit": "Slim", "Neck": "NA", "Weight": 5}, "sizes": [{"label": "M", "available": True}],
                        "productDetails": [{"title": "Material & Care", "description": "Cotton<br>Wash: Cold"}]}}
-    r = H.parse_page("myntra", "https://www.myntra.com/x", f"<script>window.__myx = {json.dumps(myx)};</script>")
+    r = parse(("myntra", f"<script>window.__myx = {json.dumps(myx)};</script>"))
     assert r["title"] == "HRX Tee" and r["price_raw"] == "₹999" and r["bullet_points"] == ["Available Size: M"]
-    assert [(s["key"], s["value"]) for s in r["spec_table"]] == [("Fit", "Slim"), ("Wash", "Cold")]
+    assert r["specs"] == [("Fit", "Slim"), ("Weight", "5"), ("Wash", "Cold")] and r["description"] == "Cotton Wash: Cold"
 
 
-def test_myntra_dom_fallback():
-    script = ('{"x": {"title": "Size & Fit", "description": "Regular fit<br>Model wears M"}, '
-              '"y": {"title": "Material & Care", "description": "Cotton\\u003Cbr\\u003EWash: Machine wash"}}')
-    html = ("<html><head><meta property='og:image' content='https://assets.myntassets.com/h_720,w_540,c_fill,g_auto/a.jpg'>"
-            f"</head><body><h1 class='pdp-title'>HRX</h1><h1 class='pdp-name'>Men Tee</h1>"
-            "<div class='pdp-price'><strong>₹ 1,299</strong></div>"
-            f"<script>window.data = {script}</script>"
-            "<img src='https://assets.myntassets.com/h_720,w_540,c_fill,g_auto/b.jpg'></body></html>")
-    r = H.parse_page("myntra", "https://www.myntra.com/x", html)
-    assert r["source"] == "myntra_dom_parser" and r["title"] == "HRX Men Tee" and r["price_raw"] == "₹1299"
-    assert r["spec_table"] == [{"key": "Wash", "value": "Machine wash"}]
-    assert r["image_urls"] == ["https://assets.myntassets.com/a.jpg", "https://assets.myntassets.com/b.jpg"]
-    assert r["description"] == "Cotton Wash: Machine wash"
+def test_bad_pages_never_fail_the_job(parse):
+    pages = [("myntra", 'window.__myx = {"pdpData": {"brand": null, "price": null, "sizes": null, "articleAttributes": {"a": 1, "b": null}}};'),
+             ("myntra", "window.__myx = {broken"), ("walmart", island({"props": None})), ("walmart", '<script id="__NEXT_DATA__">{{</script>'),
+             ("target", island({"props": {"dehydratedState": None}})), ("target", island([1, 2])), ("flipkart", "<"), ("generic", ""),
+             ("generic", None), ("walmart", island({"props": {"pageProps": {"initialData": {"data": {"idml": None, "product": 3}}}}}))]
+    out = parse(*pages)
+    assert len(out) == len(pages) and out[0]["specs"] == [("a", "1")]
+    assert all(r["status"] in ("ok", "failed") and (r["status"] == "ok") == (r["error"] is None) for r in out)
 
 
-def test_extract_page_sql(spark):
+PARSE_TESTS = [test_generic_page, test_omitted_end_tags_and_unclosed_boilerplate, test_nothing_is_cut_off, test_walmart_island,
+               test_target_island_and_ghost, test_flipkart_blob_and_header, test_myntra_island, test_bad_pages_never_fail_the_job]
+
+
+def test_page_records_view(spark):
     from pairlens.sources.pages import extract_records
-    from pairlens.sql import register_sql
-    register_sql(spark)
+    from pairlens.sql import create_page_records_view
     pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
     pages.createOrReplaceTempView("pages_sql_test")
-    got = {r.page_id: (r.parser, r.title) for r in
-           spark.sql("SELECT * FROM extract_page(TABLE(SELECT page_id, url, html FROM pages_sql_test))").collect()}
+    create_page_records_view(spark, "pages_sql_test", "records_sql_test")
+    got = {r.page_id: (r.parser, r.title) for r in spark.sql("SELECT * FROM records_sql_test").collect()}
     want = {r.page_id: (r.parser, r.raw.title) for r in extract_records(pages).collect()}
     assert got == want and len(got) == pages.count()
 
