@@ -43,7 +43,7 @@ from .components import components
 BUCKETS = 384
 ROWS = 6
 MANTISSA = 10
-BLOCK = 64
+BLOCK = 128
 WORD_CACHE = 300_000
 
 _M1, _M2 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53)
