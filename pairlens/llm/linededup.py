@@ -7,12 +7,20 @@ line; the least gram hash of each window is a fingerprint. So no match under
 ``noise_words`` words is ever reported, and of every repeated run of whole lines
 with ``guarantee_words`` words or more, some fingerprint is. Fingerprints meet
 their first occurrence (by doc_id, nulls last, then position), each match is
-extended line by line both ways, and the later run goes. An extension reaches
-``guarantee_words`` words each way: farther lines of the same run lie in further
-windows, which have fingerprints of their own.
+extended line by line both ways, and the later run goes. That settles the runs
+under ``guarantee_words`` words.
 
-Only the first occurrence of a fingerprint is joined, so a passage that a third
-of all documents share costs one row per occurrence, not one per pair.
+Longer runs are found whole, wherever their parts occur first and however long
+their lines are. From every line the least run forward, and to every line the
+least run backward, that holds ``guarantee_words`` words is a span. Every span
+within a repeated run is repeated, and every line of a repeated run of
+``guarantee_words`` words lies in such a span: in the one that ends at the line,
+or, near the run's start, in the one that begins at its first line. So the lines
+of spans that occurred before are just the lines of those runs, and nothing needs
+to be extended or paired.
+
+Only the first occurrence of a fingerprint or span is joined, so a passage that a
+third of all documents share costs one row per occurrence, not one per pair.
 
 Defined results: a null text stays null and an empty one empty; lines without a
 word are never counted, matched or deleted; rows alike in doc_id and text are one
@@ -45,20 +53,23 @@ def _content_lines(docs: DataFrame) -> DataFrame:
             .select("__id", "__h", "idx", "l.pos", "l.m", F.col("l.n").cast("bigint").alias("n")))
 
 
+def _measured_lines(docs: DataFrame) -> DataFrame:
+    """Content lines with the words before them (``cum``) and in their document (``total``)."""
+    doc = Window.partitionBy("__id", "__h")
+    before = F.sum("n").over(doc.orderBy("idx").rowsBetween(Window.unboundedPreceding, -1))
+    return _content_lines(docs).withColumns({"cum": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(doc)})
+
+
 def fingerprints(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """The selected grams: document, line index, gram hash and length, lines around it."""
-    doc = Window.partitionBy("__id", "__h")
-    by_line, by_word = doc.orderBy("idx"), doc.orderBy("cum")
+    by_word = Window.partitionBy("__id", "__h").orderBy("cum")
     ahead = by_word.rangeBetween(0, noise_words - 1)
     span = guarantee_words - noise_words
-    d = _content_lines(docs)
-    d = d.withColumn("cum", F.coalesce(F.sum("n").over(by_line.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    d = d.withColumns({
-        "total": F.sum("n").over(doc),
+    d = _measured_lines(docs).withColumns({
         "gram": F.md5(F.concat_ws(",", F.collect_list("m").over(ahead))),
         "lines": F.count("*").over(ahead).cast("int"),
         "around": F.collect_list(F.struct("pos", F.substring("m", 1, 16).alias("m"), "idx")).over(
-            by_word.rangeBetween(-guarantee_words, noise_words + guarantee_words)),
+            by_word.rangeBetween(-span, guarantee_words - 1)),  # all that a run under guarantee_words can reach
     })
     least = F.min(F.struct("gram", "idx")).over(by_word.rangeBetween(0, span))
     d = d.withColumn("pick", F.when(F.col("cum") + guarantee_words <= F.col("total"), least["idx"]))
@@ -94,15 +105,46 @@ def repeated_runs(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_wor
                     F.col("f.id").alias("first_id"), F.col("f.idx").alias("first_line"))
 
 
+def repeated_spans(docs: DataFrame, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
+    """Least runs of ``guarantee_words`` words that occurred before: document, first and last raw line number."""
+    doc = Window.partitionBy("__id", "__h")
+    ahead = doc.orderBy("cum").rangeBetween(0, guarantee_words - 1)
+    back = doc.orderBy("end").rangeBetween(1 - guarantee_words, 0)
+
+    def span(over, a, b):
+        return F.struct(F.unhex(F.md5(F.concat_ws(",", F.collect_list("m").over(over)))).alias("key"), a.alias("a"), b.alias("b"))
+    d = _measured_lines(docs).withColumn("end", F.col("cum") + F.col("n"))
+    d = d.withColumns({
+        "f": F.when(F.col("cum") + guarantee_words <= F.col("total"), span(ahead, F.col("pos"), F.max("pos").over(ahead))),
+        # one that is also the least run forward from its first line is there already
+        "b": F.when((F.col("end") >= guarantee_words) & (F.col("cum") >= F.min("cum").over(back) + guarantee_words),
+                    span(back, F.min("pos").over(back), F.col("pos"))),
+    })
+    d = d.select("__id", "__h", F.explode(F.array_compact(F.array("f", "b"))).alias("s")).select("__id", "__h", "s.*")
+    first = d.groupBy("key").agg(
+        F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__h").alias("h"),
+                       F.col("a"))).alias("f"), F.count("*").alias("times")).where("times > 1").drop("times")
+    same = F.col("__id").eqNullSafe(F.col("f.id")) & (F.col("__h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))
+    return d.join(first, "key").where(~same).select("__id", "__h", "a", "b")
+
+
+def _merged(parts: DataFrame) -> DataFrame:
+    """The lines from ``a`` to ``b``, parts that overlap made disjoint."""
+    before = Window.partitionBy("__id", "__h").orderBy("a", "b").rowsBetween(Window.unboundedPreceding, -1)
+    d = parts.withColumn("a", F.greatest("a", F.max("b").over(before) + 1)).where(F.col("a") <= F.col("b"))
+    return d.groupBy("__id", "__h").agg(F.flatten(F.collect_list(F.sequence("a", "b"))).alias("__gone"))
+
+
 def dedup_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """The documents with later repeated runs deleted from ``text``; ``removed_lines`` counts them."""
     runs = repeated_runs(docs, noise_words, guarantee_words)
-    gone = (runs.select("__id", "__h", F.explode("lines").alias("pos")).distinct()
-            .groupBy("__id", "__h").agg(F.collect_list("pos").alias("__gone")))
+    runs = runs.select("__id", "__h", F.get("lines", F.lit(0)).alias("a"), F.element_at("lines", -1).alias("b"))
+    gone = _merged(runs.unionByName(repeated_spans(docs, guarantee_words)))
     d = docs.drop("removed_lines", "__h", "__id").withColumn("__h", F.xxhash64("text"))
     d = d.join(gone, d["doc_id"].eqNullSafe(gone["__id"]) & (d["__h"] == gone["__h"]), "left").drop("__id", "__h")
     none = F.col("__gone").isNull()
     d = bound(d, __l=F.when(none, F.array().cast("array<string>")).otherwise(F.split("text", "\n")))
+    d = d.withColumn("__gone", F.filter("__gone", lambda i: F.get(F.col("__l"), i).rlike(WORD_RE)))
     keep = F.array_except(F.sequence(F.lit(0), F.size("__l") - 1), "__gone")
     text = F.array_join(F.transform(keep, lambda i: F.get(F.col("__l"), i)), "\n")
     return d.withColumns({

@@ -104,6 +104,43 @@ def test_line_dedup_edges(spark):
     assert all(r.spans == "mine" for r in out)
 
 
+def _removed(spark, rows):
+    out = linededup.dedup_lines(docs_table(spark, rows)).collect()
+    return {r.doc_id: (r.removed_lines, r.text) for r in out}
+
+
+def test_line_dedup_takes_whole_runs_with_long_lines(spark):
+    rng = random.Random(4)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    a, b, c = [[line(n) for n in sizes] for sizes in ((10, 22, 93, 2), (5, 360, 7), (3, 120, 4, 90, 1, 1))]
+    rows = [(0, "\n".join(a)), (1, "\n".join(a)), (2, "\n".join(b)), (3, "\n".join(["", *b, " "])),
+            (4, "\n".join(c + [line(30)])), (5, "\n".join([line(8), *c[:3], "", *c[3:], line(9)]))]
+    got = _removed(spark, rows)
+    assert got[1] == (4, "") and got[3] == (3, "\n ") and got[5][0] == 6
+    assert [x for x in got[5][1].split("\n")] == [rows[5][1].split("\n")[i] for i in (0, 4, 8)]
+    assert all(got[d] == (0, rows[d][1]) for d in (0, 2, 4))
+
+
+def test_line_dedup_random_line_lengths(spark):
+    rng = random.Random(21)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    shared = [[line(rng.choice([1, 2, 5, 12, 20, 60, 130])) for _ in range(rng.randint(1, 9))] for _ in range(8)]
+    rows = []
+    for i in range(50):
+        body = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(shared)
+            k = rng.randrange(len(p))
+            body += p[k:k + rng.randint(1, 9)] + [line(rng.randint(1, 40))] * rng.randint(0, 1)
+        rows.append((i, "\n".join(body)))
+    got, must = _removed(spark, rows), brute_lines(rows)
+    assert sum(map(len, must.values())) > 100
+    for d, text in rows:
+        # shorter runs and repeats within a document may go too
+        kept = Counter(x for x in got[d][1].split("\n") if x)
+        assert not kept - Counter(x for p, x in enumerate(text.split("\n")) if p not in must[d]), d
+
+
 def brute_targets(sizes, weights=(5, 2, 1), rate=1.5, limit=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
