@@ -141,6 +141,18 @@ def test_line_dedup_random_line_lengths(spark):
         assert not kept - Counter(x for p, x in enumerate(text.split("\n")) if p not in must[d]), d
 
 
+def test_line_dedup_longest_earlier_run(spark):
+    rng = random.Random(6)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    # p alone comes first; p and r together, 54 words, only in the later documents
+    for _ in range(4):
+        p, r = [line(15), line(15)], [line(12), line(12)]
+        rows = [(1, "\n".join(p + [line(40)])), (2, "\n".join([line(30)] + p + r + [line(30)])),
+                (3, "\n".join([line(35)] + p + r + [line(35)]))]
+        got = _removed(spark, rows)
+        assert got[3][0] == 4 and not any(x in got[3][1] for x in p + r)
+
+
 def brute_targets(sizes, weights=(5, 2, 1), rate=1.5, limit=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
