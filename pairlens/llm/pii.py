@@ -9,14 +9,22 @@ information over documents as a share of the entity's information content:
 
 n(t, e) counts documents in which t and e meet, at most ``WINDOW`` words apart in
 a line; 1 means that whoever
-reads t knows e. Where term and entity meet in at least ``SUPPORT`` different
-lines (copies of one line prove nothing), a term that reveals ``REMOVE`` or more
-goes, and one that reveals ``GENERALISE`` or more becomes a placeholder, in the
-lines that hold the entity. All counts cover all documents.
+reads t knows e. A term that reveals ``REMOVE`` or more goes, and one that reveals
+``GENERALISE`` or more becomes a placeholder, in all documents, whether or not
+they hold the entity. All counts cover all documents.
+
+Copies of one line prove nothing, so only different lines count as evidence. The
+first line in which a term meets an entity names the pair, and every further one
+tests it: ``SUPPORT`` different lines are enough, and fewer are if chance would
+bring the further ones about with a probability of ``CHANCE`` at most (bounded by
+the divergence of the term's share of documents with the entity from that of all
+documents). So a rare entity is tested from its second line on.
 
 The counts of terms are combined in the tasks and then by term; co-occurrences
 are rows (entity, term, line) of documents that hold an entity, counted in two
-steps, so a common entity or term is spread.
+steps, so a common entity or term is spread. Places of revealing terms are found
+by a second pass over all texts, joined by term; a bitmap of fixed size over the
+terms' hashes keeps most other words out of that join.
 
 Defined results: a null or empty text has no spans; rows alike in doc_id and text
 get the same spans; spans of different kinds may overlap, of one kind never; with
@@ -26,6 +34,7 @@ names of added columns are replaced where they clash.
 
 from __future__ import annotations
 
+import math
 import re
 import zlib
 from bisect import bisect_left, bisect_right
@@ -41,10 +50,15 @@ from .common import stored
 
 KINDS = ["email", "ip", "card", "phone"]
 SUPPORT = 3
+CHANCE = 0.05
 WINDOW = 20
 GENERALISE = 0.7
 REMOVE = 0.9
 
+# Bits of the filter over terms, a multiple of the bits that Spark's bitmap functions put in one bucket.
+FILTER_BITS = 1 << 22
+BUCKET_BITS = 1 << 15
+
 # The patterns of the four kinds. The first two are matched in
 # linear time: an address around its @, groups of digits in fours.
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -115,6 +129,22 @@ def value(kind: str, s: str) -> str:
     return f"{kind}:" + (s.lower() if kind in ("email", "ip") else "".join(DIGIT.findall(s)))
 
 
+def bare(text: str, a: int, b: int) -> tuple[str, int, int]:
+    """A word's term and where it stands."""
+    word = text[a:b]
+    term = word.strip(PUNCTUATION)
+    head = a + len(word) - len(word.lstrip(PUNCTUATION))
+    return term.lower(), head, head + len(term)
+
+
+def touched(starts: list[int], spans: list[tuple[str, int, int]]) -> set[int]:
+    """The words, given by their starts, that a base span touches."""
+    out = set()
+    for _, a, b in spans:
+        out.update(range(max(bisect_right(starts, a) - 1, 0), bisect_left(starts, b)))
+    return out
+
+
 def terms_beside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str, str, int, int, int]]:
     """(entity, term, start, end, hash of the line) for the words within WINDOW words of an entity in its line."""
     out, spans = [], sorted(spans, key=lambda s: s[1])
@@ -129,25 +159,30 @@ def terms_beside(text: str, spans: list[tuple[str, int, int]]) -> list[tuple[str
             mark = zlib.crc32(line.encode("utf-8", "surrogatepass"))
             words = [(at + m.start(), at + m.end()) for m in re.finditer(r"\S+", line)]
             starts = [a for a, _ in words]
-            inside = set()  # words that a base span touches
-            for _, a, b in here:
-                inside.update(range(max(bisect_right(starts, a) - 1, 0), bisect_left(starts, b)))
+            inside = touched(starts, here)
             for kind, a, b in here:
                 e = value(kind, text[a:b])
                 for j in range(max(0, bisect_left(starts, a) - WINDOW), min(len(words), bisect_left(starts, b) + WINDOW)):
-                    word = text[words[j][0]:words[j][1]]
-                    term = word.strip(PUNCTUATION)
+                    term, head, tail = bare(text, *words[j])
                     if term and j not in inside:
-                        head = words[j][0] + len(word) - len(word.lstrip(PUNCTUATION))
-                        out.append((e, term.lower(), head, head + len(term), mark))
+                        out.append((e, term, head, tail, mark))
         at = end + 1
     return out
 
 
+def meetings(text: str, spans: list[tuple[str, int, int]]) -> list[dict]:
+    """Each (entity, term, line) of the text once; ``new`` is 1 in the first line of a pair."""
+    out, pairs = [], set()
+    for e, t, line in dict.fromkeys((e, t, line) for e, t, _, _, line in terms_beside(text, spans)):
+        out.append({"e": e, "t": t, "line": line, "new": int((e, t) not in pairs)})
+        pairs.add((e, t))
+    return out
+
+
 def scan(docs: DataFrame) -> DataFrame:
-    """Per row: doc_id, h (hash of the text), counts and spans of each kind, entities, terms beside them."""
+    """Per row: doc_id, h (hash of the text), counts and spans of each kind, entities, terms beside them by line."""
     src = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
-    beside = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("a", pa.int64()), ("b", pa.int64()), ("line", pa.int64())]))
+    beside = pa.list_(pa.struct([("e", pa.string()), ("t", pa.string()), ("line", pa.int64()), ("new", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -161,7 +196,7 @@ def scan(docs: DataFrame) -> DataFrame:
                     n[k].append(kinds[k])
                 base.append(joined(spans))
                 entities.append(sorted({value(k, text[a:b]) for k, a, b in spans}))
-                near.append([dict(zip("etab", z[:4]), line=z[4]) for z in terms_beside(text, spans)] if spans else [])
+                near.append(meetings(text, spans) if spans else [])
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(1), *[pa.array(n[k], pa.int64()) for k in KINDS], pa.array(base, pa.string()),
                  pa.array(entities, pa.list_(pa.string())), pa.array(near, beside)],
@@ -170,7 +205,7 @@ def scan(docs: DataFrame) -> DataFrame:
     return src.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, h bigint, "
                           + ", ".join(f"n_{k} bigint" for k in KINDS)
                           + ", base string, entities array<string>, "
-                            "beside array<struct<e:string,t:string,a:bigint,b:bigint,line:bigint>>")
+                            "beside array<struct<e:string,t:string,line:bigint,new:bigint>>")
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
@@ -194,29 +229,90 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def revealing(docs: DataFrame, found: DataFrame, support: int = SUPPORT, generalise: float = GENERALISE,
-              remove: float = REMOVE) -> DataFrame:
+              remove: float = REMOVE, chance: float = CHANCE) -> DataFrame:
     """(e, t, reveals, action): the terms that give an entity away."""
     n = float(found.count())
-    meet = found.select("beside").where(F.size("beside") > 0).select(
-        F.explode(F.array_distinct(F.transform("beside", lambda x: F.struct(x["e"].alias("e"), x["t"].alias("t"))))).alias("p"),
-        F.col("beside").alias("z"))
-    first = F.get(F.filter("z", lambda x: (x["e"] == F.col("p.e")) & (x["t"] == F.col("p.t"))), F.lit(0))["line"]
-    by_line = meet.select("p.e", "p.t", first.alias("line")).groupBy("e", "t", "line").agg(F.count("*").alias("n"))
+    by_line = found.select(F.explode("beside").alias("z")).groupBy("z.e", "z.t", "z.line").agg(F.sum("z.new").alias("n"))
     pairs = by_line.groupBy("e", "t").agg(F.sum("n").alias("n_te"), F.count("*").alias("lines")).where(
-        F.col("lines") >= support)
+        F.col("lines") >= min(support, 2))
     of_e = found.select(F.explode("entities").alias("e")).groupBy("e").agg(F.count("*").alias("n_e"))
     j = pairs.join(of_e, "e").join(term_counts(docs), "t")
     reveals = F.log(F.col("n_te") * n / (F.col("n_t") * F.col("n_e"))) / F.log(F.lit(n) / F.col("n_e"))
     j = j.where(F.col("n_e") < n).withColumn("reveals", reveals).where(F.col("reveals") >= generalise)
+    # Chernoff bound, per line that holds both: share of the term's documents with the entity against that of all documents
+    share, base = F.col("n_te") / F.col("n_t"), F.col("n_e") / F.lit(n)
+    rest = F.when(share < 1, (1 - share) / share * F.log((1 - share) / (1 - base))).otherwise(0.0)
+    proof = (F.col("lines") - 1) * (F.log(share / base) + rest)
+    j = j.where((F.col("lines") >= support) | (proof >= -math.log(chance)))
     return j.select("e", "t", "reveals", F.when(F.col("reveals") >= remove, "remove").otherwise("generalise").alias("action"))
 
 
+def term_filter(terms: DataFrame) -> bytes:
+    """A bitmap with the bit of every term's hash set."""
+    at = F.crc32("t") % FILTER_BITS + 1
+    out = bytearray(FILTER_BITS // 8)
+    for r in terms.groupBy(F.bitmap_bucket_number(at).alias("bucket")).agg(
+            F.bitmap_construct_agg(F.bitmap_bit_position(at)).alias("bits")).collect():
+        first = (r.bucket - 1) * BUCKET_BITS // 8
+        out[first:first + len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def places(docs: DataFrame, terms: DataFrame) -> DataFrame:
+    """(doc_id, h, a, b, t): the words that are terms of ``terms`` or share a bit of its filter, outside base spans."""
+    bits = term_filter(terms)
+    kind = docs.schema["doc_id"].dataType.simpleString()
+
+    def passes(word: str) -> bool:
+        i = zlib.crc32(word.strip(PUNCTUATION).lower().encode("utf-8", "surrogatepass")) % FILTER_BITS
+        return bool(bits[i >> 3] >> (i & 7) & 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: dict[str, bool] = {}
+        for batch in batches:
+            rows, at = [], []
+            for i, x in enumerate(batch.column(2)):
+                text = x.as_py() or ""
+                if len(known) > 300_000:
+                    known.clear()
+                hits = set()
+                for w in set(text.split()):
+                    hit = known.get(w)
+                    if hit is None:
+                        hit = known[w] = passes(w)
+                    if hit:
+                        hits.add(w)
+                if not hits:
+                    continue
+                words = [m.span() for m in re.finditer(r"\S+", text)]
+                inside = touched([a for a, _ in words], find(text))
+                for j, (a, b) in enumerate(words):
+                    if text[a:b] in hits and j not in inside:
+                        term, head, tail = bare(text, a, b)
+                        if term:
+                            rows.append((term, head, tail))
+                            at.append(i)
+                if len(rows) > 100_000:
+                    yield placed(batch, at, rows)
+                    rows, at = [], []
+            yield placed(batch, at, rows)
+
+    def placed(batch: pa.RecordBatch, at: list[int], rows: list[tuple[str, int, int]]) -> pa.RecordBatch:
+        i = pa.array(at, pa.int64())
+        return pa.RecordBatch.from_arrays(
+            [batch.column(0).take(i), batch.column(1).take(i), pa.array([a for _, a, _ in rows], pa.int64()),
+             pa.array([b for _, _, b in rows], pa.int64()), pa.array([t for t, _, _ in rows], pa.string())],
+            ["doc_id", "h", "a", "b", "t"])
+
+    src = docs.select("doc_id", F.xxhash64("text").alias("h"), "text")
+    return src.mapInArrow(run, f"doc_id {kind}, h bigint, a bigint, b bigint, t string")
+
+
 def detect(docs: DataFrame) -> DataFrame:
     """Per row of ``docs``: doc_id, h, counts, ``base`` spans, ``spans`` of all kinds and the term ``actions``."""
     found = stored(scan(docs), "pii-scan")
-    terms = revealing(docs, found)
-    rows = found.select("doc_id", "h", F.explode("beside").alias("z")).select("doc_id", "h", "z.e", "z.t", "z.a", "z.b")
-    hit = (rows.join(terms, ["e", "t"]).groupBy("doc_id", "h", "a", "b").agg(F.max("action").alias("action"))
+    terms = stored(revealing(docs, found).groupBy("t").agg(F.max("action").alias("action")), "pii-terms")
+    hit = (places(docs, terms).join(terms, "t").groupBy("doc_id", "h", "a", "b").agg(F.max("action").alias("action"))
            .groupBy(F.col("doc_id").alias("i"), F.col("h").alias("g"))
            .agg(F.sort_array(F.collect_list(F.struct("a", "b", "action"))).alias("actions")))
     out = found.drop("beside", "entities").join(

@@ -223,3 +223,25 @@ def test_pii_query_and_revealing_terms(spark):
     assert clean[2].text == "line\ntext 2 call  number2 at [EMAIL] please " and clean[80].text is None
     assert clean[11].text == rows[6][1] and clean[2]["size"] == "mine" and clean[None].text == "[EMAIL] [IP]"
     assert pii.op10_pii(spark.createDataFrame([], DOCS)).collect() == []
+
+
+def test_pii_terms_of_rare_entities_and_in_every_line(spark):
+    rows = [(0, "ask Quill for this at q.f@mail.example.com"), (1, "send all of it to q.f@mail.example.com or Quill, now"),
+            (2, "Quill was here before\nand (quill) left"), (3, "one Oddword by r.s@mail.example.com"),
+            (4, "x Twice o@p.qq\ny twice again o@p.qq\n" + "far " * 40 + "Twice"), (5, "z@z.zz Flat"), (6, "z@z.zz Flat")]
+    rows += [(20 + i, f"ask for this {i} send all of it to or at now one by x y again far was here before and left") for i in range(200)]
+    got = {r.doc_id: r.spans for r in pii.op10_pii(docs_table(spark, rows)).collect()}
+    texts = dict(rows)
+    terms = {d: [texts[d][int(s.split(":")[1]):int(s.split(":")[2])] for s in got[d].split(",") if s.startswith("term")] for d in got}
+    # two different lines are enough for a rare entity; one line, or copies of it, is not; the term goes from every line
+    assert terms[0] == terms[1] == ["Quill"] and terms[2] == ["Quill", "quill"] and terms[4] == ["Twice", "twice", "Twice"]
+    assert not any(terms[d] for d in terms if d not in (0, 1, 2, 4))
+    clean = {r.doc_id: r.text for r in pii.sanitise(docs_table(spark, rows)).collect()}
+    assert "uill" not in clean[0] + clean[1] + clean[2] and clean[25] == texts[25]
+
+
+def test_pii_term_filter_holds_every_term(spark):
+    names = [f"é{i}" for i in range(5000)] + ["a", "0", "日本", "\ud7ff"]
+    bits = pii.term_filter(spark.createDataFrame([(x,) for x in names], "t string"))
+    on = [zlib.crc32(x.encode()) % pii.FILTER_BITS for x in names]
+    assert all(bits[i >> 3] >> (i & 7) & 1 for i in on) and sum(map(int.bit_count, bits)) == len(set(on))
