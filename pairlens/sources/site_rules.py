@@ -270,9 +270,14 @@ def myntra(html: Column, page: Column) -> dict[str, Column]:
         return F.when(at > 0, pair(trimmed(F.substring(t, F.lit(1), at - 1)), trimmed(F.substring(t, at + 1, F.length(t)))))
     care = F.filter(F.transform(lines, split), lambda e: e.isNotNull() & F.length(e["key"]).between(*rules.CARE_KEY_CHARS))
     price = _first_at(page, p["price"])
-    images = F.concat(*[F.coalesce(F.transform(_list_at(page, path, f"array<struct<{name}:string>>"), lambda x: x[name]),  # noqa: B023
-                                   F.array().cast("array<string>")) for path, name in p["images"]])
-    clean = F.array_distinct(F.transform(texts_of(images), lambda u: F.regexp_replace(u, r"h_\d+,w_\d+,c_fill,g_auto/", "")))
+    image = "struct<imageURL:string>"
+    colours = F.transform(_list_at(page, p["colours"], "array<struct<image:string>>"), lambda x: x["image"])
+    albums = F.flatten(F.filter(F.transform(_list_at(page, p["albums"], f"array<struct<images:array<{image}>>>"), lambda x: x["images"]),
+                                lambda x: x.isNotNull()))
+    named = F.concat(texts_of(colours), texts_of(F.transform(albums, lambda x: x["imageURL"])))
+    loose = texts_of(F.transform(_list_at(page, p["images"], f"array<{image}>"), lambda x: x["imageURL"]))
+    images = F.when(F.size(named) > 0, named).otherwise(loose)
+    clean = F.array_distinct(F.transform(images, lambda u: F.regexp_replace(u, r"h_\d+,w_\d+,c_fill,g_auto/", "")))
     about = F.element_at(F.filter(details, lambda d: d["description"].isNotNull()), -1)["description"]
     return record("myntra_json_parser", trimmed(F.concat_ws(" ", brand, _at(page, p["title"]))), brand,
                   F.when(F.size(details) > 0, plain(about, " ")),

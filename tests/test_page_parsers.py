@@ -118,6 +118,18 @@ def test_myntra_island(parse):
     assert r["specs"] == [("Fit", "Slim"), ("Weight", "5"), ("Wash", "Cold")] and r["description"] == "Cotton Wash: Cold"
 
 
+def test_myntra_images_of_all_albums(parse):
+    def page(**more):
+        return ("myntra", f"<script>window.__myx = {json.dumps({'pdpData': {'name': 'Tee', 'articleAttributes': {'Fit': 'Slim'}, **more}})};</script>")
+    shots = lambda *names: [{"imageURL": f"http://x/h_1,w_2,c_fill,g_auto/{n}.jpg"} for n in names]
+    full, loose, none = parse(
+        page(colours=[{"image": "http://x/red.jpg"}, {"image": None}], media={"images": shots("loose"), "albums": [
+            {"images": shots("a", "b")}, {"images": None}, {"name": "empty"}, None, {"images": shots("c", "a")}, {"images": [{"imageURL": ""}, *shots("d")]}]}),
+        page(media={"images": shots("loose"), "albums": [{"images": []}]}), page(media=None))
+    assert full["image_urls"] == [f"http://x/{n}.jpg" for n in ("red", "a", "b", "c", "d")]
+    assert loose["image_urls"] == ["http://x/loose.jpg"] and none["image_urls"] == []
+
+
 def test_bad_pages_never_fail_the_job(parse):
     pages = [("myntra", 'window.__myx = {"pdpData": {"brand": null, "price": null, "sizes": null, "articleAttributes": {"a": 1, "b": null}}};'),
              ("myntra", "window.__myx = {broken"), ("walmart", island({"props": None})), ("walmart", '<script id="__NEXT_DATA__">{{</script>'),
@@ -129,7 +141,8 @@ def test_bad_pages_never_fail_the_job(parse):
 
 
 PARSE_TESTS = [test_generic_page, test_omitted_end_tags_and_unclosed_boilerplate, test_nothing_is_cut_off, test_walmart_island,
-               test_target_island_and_ghost, test_flipkart_blob_and_header, test_myntra_island, test_bad_pages_never_fail_the_job]
+               test_target_island_and_ghost, test_flipkart_blob_and_header, test_myntra_island, test_myntra_images_of_all_albums,
+               test_bad_pages_never_fail_the_job]
 
 
 def test_page_records_view(spark):
