@@ -675,12 +675,30 @@ QUERIES["source_quality"] = source_quality
 
 
 def _in_files(spark: SparkSession, sf_dir: str, table: str, files: int) -> str:
-    """A table copied to the shared folder as several files (written once), so that a stream reads it in batches."""
-    import zlib
+    """A table copied to the shared folder as several files, so that a stream reads it in batches.
+
+    There is one copy per version of the table (names, lengths and times of its files), so a rerun over an unchanged
+    table resumes its stream and one over a changed table reads all of it. A copy without its success mark is never
+    used; the next run writes another.
+    """
+    import hashlib
+    import uuid
 
     from ..session import ensure_checkpoint_dir
-    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{table}-files-{zlib.crc32(sf_dir.encode()):08x}"
-    spark.read.parquet(f"{sf_dir}/{table}.parquet").repartition(files).write.mode("ignore").parquet(path)
+    conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
+    source = f"{sf_dir}/{table}.parquet"
+    found, state = hadoop.Path(source).getFileSystem(conf).listFiles(hadoop.Path(source), True), []
+    while found.hasNext():
+        f = found.next()
+        state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
+    version = hashlib.sha256("\n".join([str(files), *sorted(state)]).encode()).hexdigest()[:16]
+    base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{table}-files-{version}"
+    marks = hadoop.Path(base).getFileSystem(conf).globStatus(hadoop.Path(f"{base}-*/_SUCCESS"))
+    whole = sorted(str(m.getPath().getParent()) for m in marks or [])
+    if whole:
+        return whole[0]
+    path = str(hadoop.Path(base).getFileSystem(conf).makeQualified(hadoop.Path(f"{base}-{uuid.uuid4().hex[:8]}")))
+    spark.read.parquet(source).repartition(files).write.parquet(path)
     return path
 
 

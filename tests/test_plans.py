@@ -44,6 +44,36 @@ def test_stream_rerun_adds_nothing(spark, tmp_path):
     assert spark.read.parquet(out).count() == 2
 
 
+def test_stream_dedup_covers_a_table_that_grows(spark, tmp_path):
+    from pathlib import Path
+    from pairlens.plans.catalog import stream_dedup
+    from pairlens.session import ensure_checkpoint_dir
+    folder, table = str(tmp_path), str(tmp_path / "events.parquet")
+
+    def rows(ids):
+        return spark.createDataFrame([(i, "ab"[i % 2]) for i in ids], "user_id long, event_type string").coalesce(1)
+
+    def copies():
+        base = Path(ensure_checkpoint_dir(spark).removeprefix("file:")) / "streams"
+        return set(base.glob("events-files-*"))
+
+    def keys():
+        return sorted(tuple(r) for r in stream_dedup(spark, folder).collect())
+    want = lambda n: [(i, "ab"[i % 2]) for i in range(n)]
+    before = copies()
+    rows([0, 1, 1, 2]).write.parquet(table)
+    assert keys() == want(3) and keys() == want(3) and len(copies() - before) == 1
+    rows([2, 3, 4, 4]).write.mode("append").parquet(table)
+    assert keys() == want(5) and keys() == want(5) and len(copies() - before) == 2
+    rows(range(9)).write.mode("overwrite").parquet(table)
+    assert keys() == want(9)
+    for path in copies() - before:  # copies that broke off
+        (path / "_SUCCESS").unlink()
+        for part in sorted(path.glob("part-*"))[1:]:
+            part.unlink()
+    assert keys() == want(9)
+
+
 def test_parse_pass_keeps_columns_without_shuffle(spark):
     from pairlens.sources.pages import extract_records
     pages = spark.createDataFrame([(1, "https://a.example/x", "<title>T</title>", "a.example")],
