@@ -11,8 +11,9 @@ unknown word. States, transitions and class emissions have a fixed size, so they
 are broadcast; word counts grow with the corpus and stay a distributed table.
 
 Baum-Welch runs on classes: every task runs scaled forward and backward passes over
-its training texts in segments of ``SEGMENT`` tokens, many at a time, and returns
-its expected counts; Spark adds them up, and the driver holds only the parameters.
+its training texts, whole and many of like length at a time, and returns its
+expected counts; Spark adds them up, and the driver holds only the parameters. A
+pass keeps some 200 bytes a token, of one batch or one longer text.
 Scoring runs the scaled forward recursion over whole texts, so the likelihood is
 that of the full sequence. The word part is a sum over tokens and needs only
 counts: frequent words come with the task (at most ``FREQUENT`` of them), all
@@ -43,7 +44,6 @@ from .common import stored
 STATES = 6
 CLASSES = 4096
 ITERATIONS = 4
-SEGMENT = 256
 BATCH_TOKENS = 400_000
 FREQUENT = 50_000
 PRIOR = 0.1  # pseudo-count of every transition and emission
@@ -150,16 +150,18 @@ def expected(model: Model, seqs: list[np.ndarray]):
 
 
 def _batches(seqs: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
-    """Sequences in lists of about BATCH_TOKENS tokens."""
-    held, size = [], 0
+    """Sequences of like length (within a factor of two) in lists of about BATCH_TOKENS tokens."""
+    lanes: dict[int, tuple[list[np.ndarray], int]] = {}
     for s in seqs:
+        lane = len(s).bit_length()
+        held, size = lanes.pop(lane, ([], 0))
         held.append(s)
         size += len(s)
         if size >= BATCH_TOKENS:
             yield held
-            held, size = [], 0
-    if held:
-        yield held
+        else:
+            lanes[lane] = held, size
+    yield from (held for held, _ in lanes.values())
 
 
 def in_training(doc_id: Column) -> Column:
@@ -211,14 +213,12 @@ def train(table: DataFrame, iterations: int = ITERATIONS) -> Model:
             start, moves = np.zeros(STATES), np.zeros((STATES, STATES))
             emits = np.zeros((STATES, CLASSES + 1))
 
-            def segments():
+            def texts():
                 for b in batches:
                     for x in b.column(0):
-                        s = np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
-                        for i in range(0, len(s), SEGMENT):
-                            yield s[i:i + SEGMENT]
+                        yield np.frombuffer(x.as_buffer(), np.uint16).astype(np.int64)
 
-            for held in _batches(segments()):
+            for held in _batches(texts()):
                 s, m, e, _ = expected(model, held)
                 start, moves, emits = start + s, moves + m, emits + e
             # rows: one per class, then one per state of origin, then the start

@@ -176,6 +176,16 @@ def test_topk_small_tables(spark):
     assert [(r.rank, r.vec_id, r.score) for r in sorted(got, key=lambda r: r.rank)] == [(1, 3, 256 * 128), (2, 9, 256 * 128)]
 
 
+def test_training_counts_whole_texts(spark):
+    rng = np.random.default_rng(8)
+    seqs = [np.append(rng.integers(0, hmm.CLASSES, n), hmm.CLASSES) for n in (0, 3, 255, 256, 257, 700, 3000)]
+    table = spark.createDataFrame([(bytearray(s.astype(np.uint16).tobytes()),) for s in seqs], "classes binary").repartition(2)
+    start, moves, emits, _ = hmm.expected(hmm.first_model(), seqs)
+    got = hmm.train(table, 1)
+    for mine, counts in ((got.start, start), (got.move, moves), (got.emit, emits)):
+        assert np.allclose(mine, (counts + hmm.PRIOR) / (counts + hmm.PRIOR).sum(-1, keepdims=True), rtol=1e-9)
+
+
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
