@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
+from . import bpe, chat, fim, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
 from .common import read_table
 
 
@@ -50,6 +50,10 @@ def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.op10_pii(read_table(spark, sf_dir, "documents"))
 
 
+def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.op11_fim(read_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_shards": op2_shards,
@@ -61,6 +65,7 @@ QUERIES = {
     "op8_bpe": op8_bpe,
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
+    "op11_fim": op11_fim,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -164,7 +169,23 @@ SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text |
 FROM e GROUP BY conv_id
 """
 
+OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS u,
+                  sha256('1:' || coalesce(doc_id::VARCHAR, '')) AS x FROM documents),
+h AS (SELECT doc_id, t, u, len(u)::BIGINT AS n, [('0x' || substr(x, 8 * i + 1, 8))::BIGINT FOR i IN range(4)] AS h FROM d),
+c AS (SELECT *, least(h[1] % (n + 1), h[2] % (n + 1)) AS a, greatest(h[1] % (n + 1), h[2] % (n + 1)) AS b FROM h),
+p AS (SELECT doc_id, t, n, array_to_string(u[1:a], '') AS pre, array_to_string(u[a + 1:b], '') AS mid, array_to_string(u[b + 1:], '') AS suf,
+             CASE WHEN t = '' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h[3] % 100 >= 90 THEN 'plain'
+                  WHEN h[4] % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(mid) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid
+                        ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256, sha256(t) AS restored_sha256
+FROM p
+"""
+
 SQL = {
+    "op11_fim": OP11_SQL,
     "op3_chat": OP3_SQL,
     "op6_topk": OP6_SQL,
     "op9_minhash": OP9_SQL,
