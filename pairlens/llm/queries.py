@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, fim, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
+from . import bpe, chat, decontaminate, fim, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
 from .common import read_table
 
 
@@ -54,6 +54,10 @@ def op11_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fim.op11_fim(read_table(spark, sf_dir, "documents"))
 
 
+def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.op12_decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_shards": op2_shards,
@@ -66,6 +70,7 @@ QUERIES = {
     "op9_minhash": op9_minhash,
     "op10_pii": op10_pii,
     "op11_fim": op11_fim,
+    "op12_decontaminate": op12_decontaminate,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -184,7 +189,25 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END::BIGINT A
 FROM p
 """
 
+OP12_SQL = r"""
+WITH low AS (SELECT row_number() OVER () AS uid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents),
+d AS (SELECT uid, doc_id, regexp_extract_all(t, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM low),
+i AS (SELECT coalesce(item_id::VARCHAR, '') AS item,
+             regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w
+      FROM benchmark),
+g AS (SELECT DISTINCT item, w[k:k + 9] AS gram FROM (SELECT item, w, unnest(generate_series(1, greatest(len(w) - 9, 1))) AS k FROM i WHERE len(w) > 0)),
+z AS (SELECT DISTINCT len(gram) AS size FROM g),
+p AS (SELECT uid, k, size, w[k:k + size - 1] AS gram FROM (SELECT uid, w, unnest(generate_series(1, len(w))) AS k FROM d), z WHERE k + size - 1 <= len(w)),
+h AS (SELECT DISTINCT uid, k, size, item FROM p JOIN g USING (gram)),
+n AS (SELECT uid, count(DISTINCT k + o) AS n_hit FROM (SELECT uid, k, unnest(generate_series(0, size - 1)) AS o FROM h) GROUP BY uid),
+o AS (SELECT uid, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT uid, item FROM h) GROUP BY uid)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN n USING (uid) LEFT JOIN o USING (uid)
+"""
+
 SQL = {
+    "op12_decontaminate": OP12_SQL,
     "op11_fim": OP11_SQL,
     "op3_chat": OP3_SQL,
     "op6_topk": OP6_SQL,
