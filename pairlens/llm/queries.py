@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, chat, decontaminate, fim, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
+from . import bpe, chat, decontaminate, fim, hardnegatives, hmm, hyperminhash, linededup, mixing, pii, quality, shards, topk
 from .common import read_table
 
 
@@ -58,6 +58,10 @@ def op12_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.op12_decontaminate(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
+def op13_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hardnegatives.op13_hard_negatives(read_table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_hmm_scores": op1_hmm_scores,
     "op2_shards": op2_shards,
@@ -71,6 +75,7 @@ QUERIES = {
     "op10_pii": op10_pii,
     "op11_fim": op11_fim,
     "op12_decontaminate": op12_decontaminate,
+    "op13_hard_negatives": op13_hard_negatives,
 }
 
 _WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
@@ -206,7 +211,22 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN n USING (uid) LEFT JOIN o USING (uid)
 """
 
+OP13_SQL = """
+WITH v AS (SELECT row_number() OVER () AS uid, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                  [floor(256 * x::DOUBLE) FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL
+             AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+s AS (SELECT a.uid, a.vec_id AS anchor_id, r.uid AS row_uid, r.vec_id, a.label = r.label AS same, list_dot_product(a.v, r.v)::BIGINT AS score
+      FROM v a JOIN v r ON a.vec_id <> r.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY uid ORDER BY score DESC, vec_id, row_uid) AS k FROM s WHERE same) WHERE k <= 5),
+n AS (SELECT p.anchor_id, p.vec_id AS positive_id, s.vec_id AS negative_id, p.score AS positive_score, s.score AS negative_score,
+             row_number() OVER (PARTITION BY p.uid, p.row_uid ORDER BY s.score DESC, s.vec_id, s.row_uid) AS rank
+      FROM p JOIN s ON s.uid = p.uid AND NOT s.same AND 80 * p.score <= 100 * s.score AND s.score <= p.score)
+SELECT anchor_id, positive_id, rank::INTEGER AS rank, negative_id, positive_score, negative_score FROM n WHERE rank <= 5
+"""
+
 SQL = {
+    "op13_hard_negatives": OP13_SQL,
     "op12_decontaminate": OP12_SQL,
     "op11_fim": OP11_SQL,
     "op3_chat": OP3_SQL,
