@@ -28,6 +28,27 @@ def first_by_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataF
     return df.groupBy(*keys).agg(best.alias("_row")).select(*keys, *[F.col("_row")[c].alias(c) for c in others])
 
 
+def winner_by_key(df: DataFrame, keys: list[str], order_cols: list[str]) -> DataFrame:
+    """The rows with the greatest ``order_cols`` of each key (SO1: put the rank of the source first).
+
+    Only keys and order columns are aggregated, partially on the map side; the rows are
+    then picked by a join on them, so a wide payload is never sorted or buffered. Rows equal in
+    keys and order columns are all kept: make the order columns unique for one row per key.
+    NULL keys are left out, as are rows with a NULL order column (they never win).
+    """
+    best = df.groupBy(*keys).agg(F.max(F.struct(*order_cols)).alias("_best")).select(*keys, "_best.*")
+    return df.join(best, [*keys, *order_cols], "left_semi")
+
+
+def union_by_precedence(sources: list[DataFrame], keys: list[str], order_cols: list[str]) -> DataFrame:
+    """Union of sources of one schema where the later source wins a key, and ``order_cols`` decide within it (SO1)."""
+    ranked = [s.withColumn("_rank", F.lit(i)) for i, s in enumerate(sources)]
+    every = ranked[0]
+    for s in ranked[1:]:
+        every = every.unionByName(s)
+    return winner_by_key(every, keys, ["_rank", *order_cols]).drop("_rank")
+
+
 def done_keys(done: DataFrame, keys: list[str]) -> DataFrame:
     """Distinct finished keys; rows with a NULL key part are ignored (AG7)."""
     cond = None

@@ -1,8 +1,11 @@
 """End-to-end jobs (CL10, CL11, CL12, AT5, DF2).
 
-``run`` chains extract -> match -> classify over stored pages for a pair list;
-each step can write its table (the step boundary of the reference), which
-cuts lineage and lets a rerun skip finished keys (J3).
+``run_job`` is the resumable job: four steps, each writing its table under a root
+(``step_tables``) and reading the tables of the steps before it, never their plans.
+A step anti-joins what it could do with what it has published (J3, AG7), so a job
+that was killed anywhere continues where it stopped, a longer pair list or more
+stored pages add only what is new, and one more run over the same input adds nothing.
+``run`` chains the same steps lazily, as DataFrames, without any table.
 """
 
 from __future__ import annotations
@@ -13,15 +16,22 @@ from pyspark.sql import functions as F
 from ..operators.attributes import extract_features
 from ..operators.diff import compute_diff
 from ..operators.evaluate import accuracy, verdict_summary
-from ..operators.relational import in_scope, skip_done
+from ..operators.relational import in_scope, skip_done, winner_by_key
 from ..operators.verdict import build_results, classify
-from ..sources.files import link_rows
+from ..sources.files import link_rows, load_pairs
 from ..sources.pages import extract_records, latest_page_per_url, parse_quality_observed
+from .step_tables import StepTable, increment_number
+
+STEPS = ("scrape", "extract", "match", "classify")
 
 
 def scrape_records(pairs: DataFrame, pages: DataFrame) -> DataFrame:
-    """Link rows joined to their parsed page (J6, PX13). Only linked pages are parsed, each URL once."""
-    links = link_rows(pairs)
+    """Link rows of all pairs joined to their parsed page (J6, PX13)."""
+    return scrape_links(link_rows(pairs), pages)
+
+
+def scrape_links(links: DataFrame, pages: DataFrame) -> DataFrame:
+    """Link rows joined to their parsed page. Only linked pages are parsed, each URL once."""
     linked = pages.join(links.select("url").distinct(), "url", "left_semi")
     records = extract_records(latest_page_per_url(linked)).drop("page_id")
     joined = links.join(records, "url", "left")
@@ -69,6 +79,65 @@ def run(pairs: DataFrame, pages: DataFrame, images: DataFrame | None = None) ->
             "summary": verdict_summary(results), "accuracy": accuracy(results), "parse_quality": quality}
 
 
+def url_cache(published: DataFrame) -> DataFrame:
+    """(url, raw): one usable record per URL among the published ones; link_2 wins over
+    link_1, a later increment over an earlier one, then the greater pair_id (J6, SO1)."""
+    ok = published.where((F.col("status") == "ok") & F.col("raw").isNotNull() & (F.coalesce(F.col("url"), F.lit("")) != ""))
+    ok = ok.select("url", "raw", "pair_id", "link_key", increment_number().alias("increment"))
+    return winner_by_key(ok, ["url"], ["link_key", "increment", "pair_id"]).select("url", "raw")
+
+
+def scrape_step(pairs: DataFrame, pages: DataFrame, published: DataFrame | None) -> DataFrame:
+    """Records of the links that have none yet: from the URL cache, else from the stored pages."""
+    links = link_rows(pairs)
+    if published is None:
+        return scrape_links(links, pages)
+    links = skip_done(links, published, ["pair_id", "link_key"])
+    cache = in_scope(url_cache(published), links.distinct(), ["url"])
+    new = scrape_links(links.join(cache.select("url"), "url", "left_anti").select(*links.columns), pages)
+    hits = links.join(cache, "url").select("pair_id", "link_key", "url", F.lit("ok").alias("status"), F.lit(None).cast("string").alias("error"),
+                                           "raw", F.current_timestamp().alias("scraped_at"))
+    return new.unionByName(hits)
+
+
+def run_job(pairs: DataFrame | str, pages: DataFrame, root: str, step: str = "all", limit: int | None = None,
+            images: DataFrame | None = None) -> dict:
+    """CL11: run one step, or all, over a pair list and stored pages; return the job's tables.
+
+    ``pairs`` is a pair table or the path of a pair CSV; ``limit`` takes its first pairs
+    (in file order, or by pair_id). A step whose input no run has published is skipped.
+    A link counts as done whatever its status was, as a failed page is a result too; rows of pairs
+    outside the list stay in the tables but are not returned. ``parse_quality`` holds the AG8 counters of this run's
+    new records, ``summary`` and ``accuracy`` are over all results in scope.
+    """
+    if step != "all" and step not in STEPS:
+        raise ValueError(f"step must be all or one of {', '.join(STEPS)}")
+    spark = pages.sparkSession
+    if isinstance(pairs, str):
+        pairs = load_pairs(spark, pairs, limit)
+    elif limit:
+        pairs = pairs.orderBy("pair_id").limit(limit)
+    raw, features, diffs, results = tables = [StepTable(spark, root, t) for t in ("raw_records", "features", "diffs", "results")]
+    quality: dict = {}
+    for s in STEPS if step == "all" else (step,):
+        if s == "scrape":
+            new, counters = parse_quality_observed(scrape_step(pairs, pages, raw.read()))
+            raw.publish(new)
+            quality = counters.get
+        elif s == "extract" and raw.parts():
+            features.publish(extract(raw.read(), pairs, features.read(), images))
+        elif s == "match" and features.parts():
+            todo, done = in_scope(features.read(), pairs, ["pair_id"]), diffs.read()
+            diffs.publish(match(todo if done is None else skip_done(todo, done, ["pair_id"])))
+        elif s == "classify" and diffs.parts():
+            todo, done = in_scope(diffs.read(), pairs, ["pair_id"]), results.read()
+            results.publish(build_results(classify(todo if done is None else skip_done(todo, done, ["pair_id"])), pairs))
+    out = {t.path.rsplit("/", 1)[1]: in_scope(t.read(), pairs, ["pair_id"]) for t in tables if t.parts()} | {"parse_quality": quality}
+    if "results" in out:
+        out |= {"summary": verdict_summary(out["results"]), "accuracy": accuracy(out["results"])}
+    return out
+
+
 def compare(left_raw: DataFrame, right_raw: DataFrame) -> DataFrame:
     """CL12 + IO8: ad-hoc comparison of two raw product records (same path as
     the batch); returns verdict, both products and the comparison block."""
