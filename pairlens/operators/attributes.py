@@ -127,7 +127,9 @@ def extract_features(raw: DataFrame, with_hashes: bool = False, keep: tuple[str,
     """
     r = F.col("raw")
     attrs, price = _record_columns()
-    out = raw.withColumn("attrs", attrs)
+    # one-row generators: the optimizer would copy the record and its attributes into every use below
+    out = raw.select(*[F.explode(F.array("raw")).alias("raw") if c == "raw" else F.col(c) for c in raw.columns])
+    out = out.select("*", F.explode(F.array(attrs)).alias("attrs"))
     a = F.col("attrs")
     brand = F.coalesce(F.when(F.coalesce(r["brand"], F.lit("")) != "", r["brand"]),
                        _truthy_text(attr_lookup(a, "brand")),

@@ -604,8 +604,8 @@ def _pages(spark, sf_dir):
 
 def page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """PX1, PX7, PX12: parser route and title of every stored page."""
-    from ..sources.pages import extract_records
-    r = extract_records(_pages(spark, sf_dir))
+    from ..sources.pages import parse_pages
+    r = parse_pages(_pages(spark, sf_dir))
     return r.select("page_id", "url", "parser", F.col("raw.title").alias("title"))
 
 

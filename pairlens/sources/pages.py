@@ -1,8 +1,10 @@
 """Stored product pages -> raw product records (PX1-PX13, PF3-PF6, J6).
 
 Routing, blocked-page predicates, field rules (``site_rules``) and reject rules are
-native column expressions, evaluated in the tasks that scan the pages: no Python,
-no shuffle, and a malformed page is a reject, never a failed job.
+evaluated in the tasks that scan the pages: one Arrow pass turns HTML into tokens, all
+rules are native expressions over these; no shuffle, and a malformed page is a reject, never a failed job.
+``parse_pages`` leaves the record open to pruning (a query of titles runs the title rules only);
+``extract_records`` computes it whole, once.
 """
 
 from __future__ import annotations
@@ -78,7 +80,9 @@ def extract_records(pages: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
     Output: page_id, url, parser, status, error, raw, scraped_at (+ ``keep``).
     """
+    # a one-row generator: without it the optimizer copies the rules of a field into every use of it below
     parsed = parse_pages(pages, keep)
+    parsed = parsed.select(*[F.explode(F.array("raw")).alias("raw") if c == "raw" else F.col(c) for c in parsed.columns])
     reason = reject_reason(F.col("url"), F.col("parser"), F.col("amazon_blocked"),
                            F.col("press_hold_blocked"), F.col("raw"))
     return parsed.select(

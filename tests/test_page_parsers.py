@@ -70,7 +70,7 @@ def test_omitted_end_tags_and_unclosed_boilerplate(parse):
 
 def test_nothing_is_cut_off(parse):
     html = ("<title>t</title><meta property='og:description' content='" + "d" * 5000 + "'><div id='feature-bullets'><ul>"
-            + "".join(f"<li>b{i}</li>" for i in range(40)) + "</ul></div>" + "".join(f"<img src='i{i}.jpg'>" for i in range(12)))
+            + "".join(f"<li>b{i}</li>" for i in range(40)) + "</ul></div>" + "".join(f"<img src='http://x/i{i}.jpg'>" for i in range(12)))
     r = parse(("generic", html))
     assert len(r["description"]) == 5000 and len(r["bullet_points"]) == 40 and len(r["image_urls"]) == 12
 
@@ -140,9 +140,95 @@ def test_bad_pages_never_fail_the_job(parse):
     assert all(r["status"] in ("ok", "failed") and (r["status"] == "ok") == (r["error"] is None) for r in out)
 
 
+def test_hinted_blocks_detail_tables_and_colon_text(parse):
+    r = parse(("generic", "<title>t</title><div class='product-Spec-row'><b>Weight</b><i>2 kg</i></div><li class='attributes'>Depth|3 cm</li>"
+               "<div class='details'>one<i>two</i><b>three</b></div>"
+               "<div id='productDetails_techSpec_section_1'><table><tr><th>Maker:</th><td>Acme</td></tr></table></div>"
+               "<div>Origin: Peru</div><div>Box: <ul><li>Inner: yes</li></ul></div><div>Volume: 3</div><div>" + "x" * 50 + ": long key</div>"
+               "<table><tr><td>One cell: a</td></tr></table>"))
+    assert r["specs"] == [("Maker:", "Acme"), ("Weight", "2 kg"), ("Depth", "3 cm"), ("Maker", "Acme"), ("Origin", "Peru"), ("Inner", "yes"), ("One cell", "a")]
+
+
+def test_lists_reach_over_inner_end_tags(parse):
+    r = parse(("generic", "<title>t</title><div id='feature-bullets'><div>head</div><ul><li><div>one</div> more</li><li><div></div></li></ul>"
+               "<div><ul><li>two</li></ul></div></div><li>outside</li><div class='x breadcrumb'><div><a>Home</a></div><a>Tees</a></div><a>no</a>"))
+    assert r["bullet_points"] == ["onemore", "two"] and r["breadcrumb"] == ["Home", "Tees"]
+
+
+def test_images_by_rank_size_and_source(parse):
+    main, plain, none = parse(
+        ("generic", "<title>t</title><img src='http://x/logo.png'><img class='a-dynamic-image' data-a-dynamic-image='{&quot;http://x/s.jpg&quot;:[10,10],"
+         "&quot;http://x/l.jpg&quot;:[300,200],&quot;http://x/m.jpg&quot;:[200,300]}' data-old-hires='' src='http://x/thumb.jpg'>"
+         "<div class='main-image'><span><img data-src='http://x/lazy.jpg'></span></div><div class='product-image'><img src='http://x/p.jpg'></div>"
+         "<meta property='og:image' content='http://x/og.jpg'><img src='http://m.media-amazon.com/images/I/9._AC_SR38,50_.jpg'>"
+         "<img src='http://m.media-amazon.com/images/I/sprite.jpg'>"),
+        ("generic", "<title>t</title><img src='http://x/a.jpg' width='50'><img data-src='http://x/b.jpg' width='100%'><img src='/c.jpg'><img src='http://x/d.jpg' width=101>"),
+        ("generic", "<title>t</title><img><img class='a-dynamic-image' data-a-dynamic-image='{broken'>"))
+    assert main["image_urls"] == ["http://x/l.jpg", "http://x/thumb.jpg", "http://x/p.jpg", "http://x/lazy.jpg", "http://x/og.jpg",
+                                  "http://m.media-amazon.com/images/I/9.jpg"]
+    assert plain["image_urls"] == ["http://x/b.jpg", "http://x/d.jpg"] and none["image_urls"] == []
+
+
+def test_flipkart_later_grids_and_two_cell_grids(parse):
+    blob = "BrandJOCKEYTypeRound NeckSleeveHalf SleeveFitRegularFabric CareMachine washColorBlackGeneralxx" * 2
+    cells = "".join(f"<div class='grid-formation x'>{''.join(f'<div>{c}</div>' for c in g)}</div>" for g in (["Fit", "Slim"], ["a", "b", "c"], ["Wash", "<b>Cold</b> only"], ["", "Hue", "Red"], ["one"]))
+    later, two = parse(("flipkart", f"<h1>Tee</h1><div class='grid-formation'>{'no known key here ' * 9}</div><div class='grid-formation'>{blob}</div>" + cells),
+                       ("flipkart", "<h1>Tee</h1>" + cells + "<img data-src='https://rukminim1.flixcart.com/image/1/2/x.jpg?q=1'>"))
+    assert dict(later["specs"])["Brand"] == "JOCKEY" and ("Fit", "Slim") not in later["specs"]
+    assert two["specs"] == [("Fit", "Slim"), ("Wash", "Coldonly"), ("Hue", "Red")]
+    assert two["image_urls"] == ["https://rukminim1.flixcart.com/image/832/832/x.jpg"]
+
+
+def test_myntra_without_its_page_object(parse):
+    scripts = ('<script>x = [{"title":"Size & Fit","id":3,"description":"Model wears M<br>Relaxed"},'
+               '{"title":"Material & Care","note":"title","description":"Cotton\\u003Cbr\\u003EWash: Cold<br/>Iron: No"}]</script>')
+    dom = ("<div class='pdp-title'> HRX </div><h1 class='pdp-name'>Tee</h1><span class='pdp-price'><b>₹ 1,299</b></span>"
+           "<div class='index-rowContainer'><div>Neck</div><div>Round</div></div><div class='pdp-product-description-content'><li>Hem: Straight</li></div>"
+           "<meta property='og:image' content='http://x/h_1,w_2,c_fill,g_auto/a.jpg'><img src='http://assets.myntassets.com/b.jpg'><img src='http://x/c.jpg'>")
+    both, rows, nothing = parse(("myntra", scripts + dom), ("myntra", dom + "<script>window.__myx = {broken</script>"), ("myntra", "<title>Shop</title><li>Fit: Slim</li>"))
+    assert both["source"] == "myntra_dom_parser" and both["title"] == "HRX Tee" and both["brand"] == "HRX" and both["price_raw"] == "₹1299"
+    assert both["specs"] == [("Wash", "Cold"), ("Iron", "No")] and both["description"] == "Cotton Wash: Cold Iron: No"
+    assert both["bullet_points"] == ["Model wears M", "Relaxed"] and both["image_urls"] == ["http://x/a.jpg", "http://assets.myntassets.com/b.jpg"]
+    assert rows["specs"] == [("Neck", "Round"), ("Hem", "Straight")] and rows["bullet_points"] == []
+    assert nothing["source"] == "html_rules" and nothing["title"] == "Shop" and nothing["specs"] == [("Fit", "Slim")]
+
+
+def test_islands_are_read_as_they_are_typed(parse):
+    def walmart(product, idml=None, tail=""):
+        return ("walmart", "<script>var a = 1;</script>" + island({"props": {"pageProps": {"initialData": {"data": {"product": product, "idml": idml}}}}}) + tail)
+    item = lambda t: {"product": {"item": {"product_description": {"title": t, "bullet_descriptions": ["Fit: Slim"]}}}}
+    queries = lambda *q: ("target", island({"product": item("outside")["product"], "props": {"dehydratedState": {"queries": list(q)}}}))
+    named, null, number, own, deep, outside, empty = parse(
+        walmart({"name": "Tee", "brand": {"name": "q"}}, tail="<h1>Page</h1>"), walmart({"name": None, "brand": None, "brandName": " Acme "}),
+        walmart({"name": 7, "specifications": None, "imageInfo": {"allImages": [None, {"url": None}, {"url": "u"}]}}, {"specifications": [{"name": "N", "value": None}, None]}),
+        queries({"a": item("inner"), **item("own")}), queries([{"product": {"x": item("deep")}}], item("late")), queries({"x": 1}), queries({"product": {"item": None}}))
+    assert named["source"] == "html_rules" and named["title"] == "Page" and named["brand"] == ""
+    assert null["source"] == "next_data" and null["title"] == "" and null["brand"] == "Acme"
+    assert number["title"] == "7" and number["specs"] == [] and number["image_urls"] == ["u"]
+    assert own["title"] == "own" and deep["title"] == "deep" and outside["source"] == "html_rules" and empty["title"] == ""
+
+
+def test_a_scan_is_linear_on_hostile_pages():
+    import time
+    from pairlens import rules
+    from pairlens.sources.tokens import Scan
+    shapes = ["<svg ", "<div ", '<a "<a" ', "<!--", "<!", "<li>x", "<table><tr><td>", "<", "<a '", "<b></i>", "<script>", "<p a=b ", "&amp;<", "<div class=spec id=x>"]
+    for shape in shapes:
+        took = []
+        for size in (100_000, 800_000):
+            html, start = shape * (size // len(shape)), time.perf_counter()
+            Scan(html, frozenset(rules.BOILERPLATE), True)
+            took.append(time.perf_counter() - start)
+        assert took[1] < 40 * max(took[0], 0.01), shape
+    page = Scan("<nav><li>gone</li></nav><ul><li>a<li>b</ul><nav>kept", frozenset(rules.BOILERPLATE))
+    assert page.texts == ["a", "b", "kept"] and [t[0] for t in page.tags] == ["li", "li"]
+
+
 PARSE_TESTS = [test_generic_page, test_omitted_end_tags_and_unclosed_boilerplate, test_nothing_is_cut_off, test_walmart_island,
                test_target_island_and_ghost, test_flipkart_blob_and_header, test_myntra_island, test_myntra_images_of_all_albums,
-               test_bad_pages_never_fail_the_job]
+               test_bad_pages_never_fail_the_job, test_hinted_blocks_detail_tables_and_colon_text, test_lists_reach_over_inner_end_tags,
+               test_images_by_rank_size_and_source, test_flipkart_later_grids_and_two_cell_grids, test_myntra_without_its_page_object,
+               test_islands_are_read_as_they_are_typed]
 
 
 def test_page_records_view(spark):
