@@ -957,3 +957,67 @@ SELECT pair_id, sim::DOUBLE AS title_similarity_pct, 0 AS total_features_compare
   END AS our_result
 FROM d"""
 QUERIES["page_pair_verdicts"] = page_pair_verdicts
+
+
+# ---------------------------------------------------------------------------
+# the resumable job (CL11, AT5, DF2, CL10, J1, J6, PF2) over offers made from the stored pages
+# ---------------------------------------------------------------------------
+
+
+def _offer_pages(pages: DataFrame) -> DataFrame:
+    """Two offers per stored page, with its title: a Walmart page with an island, and a shop page in plain HTML."""
+    pid, title = F.col("page_id").cast("string"), F.regexp_extract("html", "(?s)<title[^>]*>(.*?)</title>", 1)
+    size = F.element_at(F.array(F.lit("S"), F.lit("M"), F.lit("L")), (F.col("page_id") % 3 + 1).cast("int"))
+    other = F.element_at(F.array(F.lit("S"), F.lit("M"), F.lit("L")), (F.col("page_id") % 2 + 1).cast("int"))
+
+    def spec(k, v):
+        return F.struct(F.lit(k).alias("name"), v.alias("value"))
+    product = F.struct(title.alias("name"), F.lit("Acme").alias("brand"), F.array(F.struct(F.array(
+        spec("Color", F.lit("Blue")), spec("Size", size), spec("Material", F.lit("Cotton"))).alias("specifications"))).alias("specifications"))
+    data = F.struct(F.struct(F.struct(F.struct(F.struct(product.alias("product")).alias("data")).alias("initialData")).alias("pageProps")).alias("props"))
+    colour = F.when(F.col("page_id") % 4 == 3, "Red").otherwise("Blue")
+    walmart = F.concat(F.lit('<html><script id="__NEXT_DATA__">'), F.to_json(data), F.lit("</script></html>"))
+    shop = F.concat(F.lit("<html><head><title>"), title, F.lit("</title><meta property='og:brand' content='Acme'></head><body><table><tr><th>Colour</th><td>"), colour,
+                    F.lit("</td></tr><tr><th>Size</th><td>"), other, F.lit("</td></tr></table><div id='feature-bullets'><ul><li>Material: Cotton</li><li>Nice</li></ul></div></body></html>"))
+    return pages.select(F.inline(F.array(
+        F.struct((F.col("page_id") * 2).alias("page_id"), F.concat(F.lit("https://www.walmart.com/ip/"), pid).alias("url"), walmart.alias("html")),
+        F.struct((F.col("page_id") * 2 + 1).alias("page_id"), F.concat(F.lit("https://shop.example/"), pid).alias("url"), shop.alias("html")))))
+
+
+def job_resume(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CL11: both offers of every stored page compared by the job: scraped in one run, the rest in a second, which
+    reads the first one's table and scrapes nothing; every fifth pair's second page isn't stored, so it has no verdict."""
+    import uuid
+
+    from ..session import ensure_checkpoint_dir
+    from .jobs import run_job
+    pages = _pages(spark, sf_dir)
+    pid = F.col("page_id").cast("string")
+    meta = F.struct(*[F.lit("").alias(c) for c in ("month", "item_id")], F.when(F.col("page_id") % 2 == 0, "Exact Match").otherwise("Not Sure")
+                    .alias("original_match_type"), *[F.lit("").alias(c) for c in ("super_department", "department", "product_type")])
+    host = F.when(F.col("page_id") % 5 == 4, "https://gone.example/").otherwise("https://shop.example/")
+    pairs = pages.select(F.concat(F.lit("offer-"), pid).alias("pair_id"), F.concat(F.lit("https://www.walmart.com/ip/"), pid).alias("link_1_url"),
+                         F.concat(host, pid).alias("link_2_url"), meta.alias("meta"))
+    offers, root = _offer_pages(pages), f"{ensure_checkpoint_dir(spark).rstrip('/')}/job-{uuid.uuid4().hex}"
+    run_job(pairs, offers, root, step="scrape")
+    out = run_job(pairs, offers, root)
+    return out["results"].select("pair_id", "our_result", "title_similarity_pct", "total_features_compared", "total_matched", "total_mismatched",
+                                 "original_csv_label", F.array_join(F.transform("mismatched_features", lambda e: e["key"]), ",").alias("mismatched_keys"))
+
+
+SQL["job_resume"] = f"""
+WITH p AS (
+  SELECT page_id, {_RAW_TITLE} AS t1, {_DEC.format(_RAW_TITLE)} AS t2, page_id % 4 <> 3 AS color_ok, page_id % 3 = page_id % 2 AS size_ok
+  FROM pages WHERE page_id % 5 <> 4),
+s AS (SELECT page_id, regexp_replace(t1, '^\\s+|\\s+$', '', 'g') AS t1, t2, color_ok, size_ok FROM p),
+tts AS ({O.token_set_cte('s', ['page_id'], 't1', 't2', 'tsr')}),
+v AS (SELECT s.*, CASE WHEN t1 <> '' AND t2 <> '' THEN round_even(tts.tsr, 2) ELSE -1.0 END AS sim FROM s JOIN tts USING (page_id))
+SELECT 'offer-' || page_id::VARCHAR AS pair_id, CASE
+         WHEN t1 = '' OR t2 = '' OR {O.contains_any('lower(t1)', rules.TITLE_INVALID_TERMS)} OR {O.contains_any('lower(t2)', rules.TITLE_INVALID_TERMS)} THEN 'NO_MATCH'
+         WHEN sim < 40 THEN 'NO_MATCH' WHEN color_ok AND size_ok THEN 'CASE_A_EXACT_MATCH' WHEN color_ok THEN 'CASE_B_SIZE_DIFF'
+         WHEN size_ok THEN 'CASE_C_COLOR_DIFF' ELSE 'NO_MATCH' END AS our_result,
+       sim::DOUBLE AS title_similarity_pct, 3 AS total_features_compared, 1 + color_ok::INT + size_ok::INT AS total_matched,
+       2 - color_ok::INT - size_ok::INT AS total_mismatched, CASE WHEN page_id % 2 = 0 THEN 'Exact Match' ELSE 'Not Sure' END AS original_csv_label,
+       concat_ws(',', CASE WHEN NOT color_ok THEN 'color' END, CASE WHEN NOT size_ok THEN 'size' END) AS mismatched_keys
+FROM v"""
+QUERIES["job_resume"] = job_resume
