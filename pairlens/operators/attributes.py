@@ -1,8 +1,8 @@
 """Attribute-list operators (AT1-AT5), all in-row on ordered arrays.
 
 An attribute list is ``array<struct<key string, value string>>`` in page order.
-Working in-row keeps the record whole and avoids an explode + regroup shuffle;
-lists hold tens of entries, so the quadratic position lookups stay small.
+Working in-row keeps the record whole and avoids an explode + regroup shuffle; merges
+sort a record's entries by key, so long lists cost no more than their sort.
 """
 
 from __future__ import annotations
@@ -32,24 +32,29 @@ def _kv(key: Column, value: Column) -> Column:
     return F.struct(key.alias("key"), value.alias("value"))
 
 
+def _first_and_last(entries) -> Column:
+    """Per key, in first-seen order: its place, and its first and last value.
+
+    Entries are sorted once by (key, place); a key's first and last entries are then those
+    whose neighbour has another key. So a record costs n log n, however many attributes it has.
+    """
+    def ends(s):
+        first = F.filter(s, lambda x, j: (j == 0) | ~F.get(s, j - 1)["key"].eqNullSafe(x["key"]))
+        last = F.filter(s, lambda x, j: (j == F.size(s) - 1) | ~F.get(s, j + 1)["key"].eqNullSafe(x["key"]))
+        return F.zip_with(first, last, lambda f, t: F.struct(f["i"].alias("i"), f["key"].alias("key"), f["value"].alias("first"),
+                                                             t["value"].alias("last")))
+    placed = F.transform(col(entries), lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"), e["value"].alias("value")))
+    return F.sort_array(let(F.sort_array(placed), ends))
+
+
 def last_wins(entries) -> Column:
     """Unique keys in first-seen order, each with its LAST value (AT1)."""
-    def body(a):
-        keys = F.transform(a, lambda e: e["key"])
-        return let(F.struct(keys.alias("k"), F.reverse(keys).alias("r")), lambda kr: F.transform(
-            F.filter(F.transform(a, lambda e, i: F.struct(e["key"].alias("key"), i.alias("i"))),
-                     lambda x: F.array_position(kr["k"], x["key"]) == x["i"] + 1),
-            lambda x: _kv(x["key"], F.element_at(
-                a, F.size(kr["k"]) - F.array_position(kr["r"], x["key"]).cast("int") + 1)["value"])))
-    return let(col(entries), body)
+    return F.transform(_first_and_last(entries), lambda x: _kv(x["key"], x["last"]))
 
 
 def first_wins(entries) -> Column:
     """Unique keys in first-seen order, each with its FIRST value (AT2)."""
-    def body(a):
-        return let(F.transform(a, lambda e: e["key"]), lambda keys: F.filter(
-            a, lambda e, i: F.array_position(keys, e["key"]) == i + 1))
-    return let(col(entries), body)
+    return F.transform(_first_and_last(entries), lambda x: _kv(x["key"], x["first"]))
 
 
 def spec_attributes(spec_table) -> Column:

@@ -275,6 +275,30 @@ QUERIES["attr_last_wins"] = attr_last_wins
 QUERIES["attr_first_wins"] = attr_first_wins
 
 
+def record_attr_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AT1, AT2, SO4 inside records: an order's lines as its attribute list (key: its flags, value: part), merged both ways."""
+    from ..operators.attributes import first_wins, last_wins
+    li = spark.read.parquet(f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_returnflag", "l_linestatus", "l_partkey")
+    entry = F.struct("l_linenumber", "l_partkey", F.concat("l_returnflag", "l_linestatus").alias("key"), F.col("l_partkey").cast("string").alias("value"))
+    records = li.groupBy("l_orderkey").agg(F.sort_array(F.collect_list(entry)).alias("attrs"))
+
+    def shown(merged):
+        return F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), e["value"])), ";")
+    return records.select("l_orderkey", F.size("attrs").alias("n_entries"), shown(last_wins("attrs")).alias("last_wins"),
+                          shown(first_wins("attrs")).alias("first_wins"))
+
+
+SQL["record_attr_merge"] = """
+WITH e AS (
+  SELECT l_orderkey, l_returnflag || l_linestatus AS k, l_partkey,
+         row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_returnflag || l_linestatus) AS p FROM lineitem),
+r AS (SELECT l_orderkey, k, min(p) AS p1, arg_min(l_partkey, p) AS f, arg_max(l_partkey, p) AS t, count(*) AS n FROM e GROUP BY l_orderkey, k)
+SELECT l_orderkey, sum(n)::INTEGER AS n_entries, string_agg(k || '=' || t::VARCHAR, ';' ORDER BY p1) AS last_wins,
+       string_agg(k || '=' || f::VARCHAR, ';' ORDER BY p1) AS first_wins
+FROM r GROUP BY l_orderkey"""
+QUERIES["record_attr_merge"] = record_attr_merge
+
+
 # ---------------------------------------------------------------------------
 # image-hash similarity (SIM4) over 64-bit sign codes of the embeddings
 # ---------------------------------------------------------------------------
@@ -715,12 +739,14 @@ QUERIES["stream_dedup"] = stream_dedup
 
 
 def stream_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ST3: orders and line items as two streams, a pair emitted once both sides have arrived."""
-    from ..streaming.jobs import pair_join_stream, run_available_now, stream_table
-    o = stream_table(spark, f"{sf_dir}/orders.parquet").select("o_orderkey", "o_orderdate")
-    li = stream_table(spark, f"{sf_dir}/lineitem.parquet").select("l_orderkey", "l_linenumber", "l_shipdate")
-    j = pair_join_stream(o, li, "o_orderkey", "l_orderkey", "o_orderdate", "l_shipdate")
-    return run_available_now(j, "stream_pair_join", sf_dir).select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
+    """ST3: orders and line items as two streams of several batches, a pair given out once both sides have arrived,
+    however late; no state is kept beside the two stored tables."""
+    from ..streaming.jobs import delta_pair_join, stream_table
+    o_path, l_path = _in_files(spark, sf_dir, "orders", 2), _in_files(spark, sf_dir, "lineitem", 3)
+    o = stream_table(spark, o_path, files_per_batch=1).select("o_orderkey", "o_orderdate")
+    li = stream_table(spark, l_path, files_per_batch=1).select("l_orderkey", "l_linenumber", "l_shipdate")
+    j = delta_pair_join(o, li, "o_orderkey", "l_orderkey", "stream_pair_join", f"{o_path} {l_path}")
+    return j.select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
 
 
 SQL["stream_pair_join"] = """
@@ -749,9 +775,9 @@ def stream_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     is the resume index), records appended."""
     from ..sources.pages import extract_records
     from ..streaming.jobs import run_available_now, stream_table
-    pages = stream_table(spark, f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
-    out = run_available_now(extract_records(pages).drop("raw").withColumn("scraped_at", F.col("scraped_at")),
-                            "stream_page_extract", sf_dir)
+    path = _in_files(spark, sf_dir, "pages", 2)
+    pages = stream_table(spark, path, files_per_batch=1).select("page_id", "url", "html")
+    out = run_available_now(extract_records(pages), "stream_page_extract", path)
     return out.select("page_id", "parser", "status")
 
 

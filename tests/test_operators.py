@@ -75,3 +75,23 @@ def test_verdict_golden(spark):
     df = spark.createDataFrame(rows_, f"t1 string, t2 string, b1 string, b2 string, sim double, n int, fd array<{t}>, want string")
     got = df.select("want", verdict("t1", "t2", "b1", "b2", "sim", "n", "fd").alias("v")).collect()
     assert [r.v for r in got] == [r.want for r in got]
+
+
+def test_attribute_merges_in_linear_time(spark):
+    import random
+    import time
+    from pyspark.sql import functions as F
+    from pairlens.operators.attributes import first_wins, last_wins
+    rng = random.Random(4)
+    lists = [[(rng.choice(["a", "b", "c", "", None, "é"]), rng.choice(["1", "2", None])) for _ in range(n)] for n in (0, 1, 2, 5, 30)]
+    lists.append([(f"k{rng.randint(0, 7000)}", str(i)) for i in range(10000)])
+    df = spark.createDataFrame([(i, x) for i, x in enumerate(lists)], "i int, e array<struct<key:string,value:string>>")
+    start = time.time()
+    got = {r.i: r for r in df.select("i", last_wins("e").alias("l"), first_wins("e").alias("f"), F.size("e")).collect()}
+    assert time.time() - start < 30
+    for i, entries in enumerate(lists):
+        last, first = {}, {}
+        for k, v in entries:
+            last[k] = v
+            first.setdefault(k, v)
+        assert [tuple(x) for x in got[i].l] == list(last.items()) and [tuple(x) for x in got[i].f] == list(first.items())
