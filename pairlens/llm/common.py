@@ -32,7 +32,28 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{ensure_checkpoint_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete tables that ``stored`` wrote, once nothing will read them again, and the shuffle files of ended jobs.
+
+    Spark removes shuffle files when the driver collects the plans that they belong to, which it may
+    otherwise not do for hours; Python lets go of its handles a moment after their last use.
+    """
+    import gc
+    import time
+
+    from pyspark import SparkContext
+    gc.collect()
+    time.sleep(0.5)
+    sc = SparkContext._active_spark_context
+    for t in tables:
+        path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_path)
+        path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+    sc._jvm.System.gc()
 
 
 def bound(df: DataFrame, **cols: Column) -> DataFrame:

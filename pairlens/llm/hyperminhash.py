@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import discard, stored
 from .components import components
 
 BUCKETS = 384
@@ -164,9 +164,15 @@ def sketches(docs: DataFrame, k: int) -> DataFrame:
 
 
 def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
-    """Shingle sets (packed, sorted) of the wanted classes (node, doc_id, h)."""
-    t = docs.select(F.col("doc_id").alias("d"), "text", F.xxhash64("text").alias("th"))
-    j = wanted.join(t, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("th"))).select("node", "text")
+    """Shingle sets (packed, sorted) of the wanted classes (node, doc_id, h).
+
+    A class's text is taken from the row that stands for it; repeated rows are dropped where the
+    join has put them side by side, so that texts are shuffled, but never the sets.
+    """
+    t = docs.select(F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("ti"), "text", F.xxhash64("text").alias("th"))
+    w = wanted.select("node", F.xxhash64("doc_id", F.col("doc_id").isNull()).alias("i"), "h")
+    j = w.join(t, (F.col("i") == F.col("ti")) & (F.col("h") == F.col("th")))
+    j = j.groupBy("i", "h", "node").agg(F.min("text").alias("text")).select("node", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = WordHashes()
@@ -174,7 +180,7 @@ def _full_sets(docs: DataFrame, wanted: DataFrame, k: int) -> DataFrame:
             out = [shingle_set(hashes(x.as_py() or ""), k).tobytes() for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.binary())], ["node", "shingles"])
 
-    return j.mapInArrow(run, "node bigint, shingles binary").groupBy("node").agg(F.min("shingles").alias("shingles"))
+    return j.mapInArrow(run, "node bigint, shingles binary")
 
 
 def _beside(pairs: DataFrame, table: DataFrame, cols: list[str]) -> DataFrame:
@@ -203,10 +209,11 @@ def _likely(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
 
 
 def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Pairs (a, b) whose full sets reach the threshold."""
+    """Pairs (a, b) whose full sets reach the threshold (stored)."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("w")).distinct()
     wanted = wanted.join(nodes.select("node", "doc_id", "h"), F.col("w") == F.col("node")).drop("w")
     sets = stored(_full_sets(docs, wanted, k), "shingle-sets")
+    discard()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -217,53 +224,69 @@ def _verified(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, perce
                 ok.append(100 * both >= percent * (len(s) + len(t) - both))
             yield b.filter(pa.array(ok, pa.bool_())).select(["a", "b"])
 
-    return _beside(pairs, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(
-        run, "a bigint, b bigint")
+    links = stored(_beside(pairs, sets, ["shingles"]).select("a", "b", "shingles_a", "shingles_b").mapInArrow(
+        run, "a bigint, b bigint"), "star-links")
+    discard(sets)
+    return links
 
 
 def _keys(nodes: DataFrame) -> DataFrame:
-    """Rows (band, key, node): every band key of every node."""
+    """Rows (key, node): every band key of every node."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = [band_keys(np.frombuffer(x.as_buffer(), np.uint16)) for x in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int64()))], ["node", "keys"])
 
     return nodes.select("node", "sketch").mapInArrow(run, "node bigint, keys array<bigint>").select(
-        F.posexplode("keys").alias("band", "key"), "node")
+        F.explode("keys").alias("key"), "node")
 
 
 def _between(members: DataFrame, docs: DataFrame, nodes: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links between components inside buckets. ``members``: band, key, node, comp, count.
+    """Links between components inside buckets (stored). ``members``: key, node, comp, count.
 
-    A bucket is cut into blocks of about BLOCK members, and every two blocks of it
-    meet once; a task holds the sets of two blocks at a time. Of the links of a node
-    to one component, one is enough.
+    A bucket is cut into blocks of about BLOCK members: a component of that many members has blocks
+    of its own, the others share blocks. Blocks of one component never meet, as nothing between them can change
+    the result; every two others meet once, and a task holds the sets of two blocks at a time. So a large group is sent
+    as often as the rest of its bucket has blocks. Of the links of a node to one component, one is enough.
     """
     wanted = members.select("node").distinct().join(nodes.select(F.col("node").alias("nn"), "doc_id", "h"),
                                                     F.col("node") == F.col("nn")).drop("nn")
     sets = _full_sets(docs, wanted, k).withColumnRenamed("node", "sn")
     held = stored(nodes.select("node", "sketch", "n").join(sets, F.col("node") == F.col("sn")).drop("sn"), "block-sets")
+    discard()
     least = lowest(percent)
-    n_blocks = F.ceil(F.col("count") / BLOCK).cast("int")
-    m = members.select("band", "key", n_blocks.alias("blocks"), F.col("node").alias("mn"), "comp")
-    m = m.join(held, F.col("mn") == F.col("node"))
-    m = m.withColumn("blk", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    blocks = m.groupBy("band", "key", "blocks", "blk").agg(
+    large = F.col("members") >= BLOCK
+    sizes = members.groupBy("key", "comp").agg(F.count("*").alias("members"))
+    shared = sizes.groupBy("key").agg(F.ceil(F.sum(F.when(large, 0).otherwise(F.col("members"))) / BLOCK).alias("shared"))
+    # the component of a block (-1: several), and its number
+    own = F.struct(F.col("comp").alias("of"), F.pmod(F.xxhash64("node"), F.ceil(F.col("members") / BLOCK)).alias("no"))
+    mixed_ = F.struct(F.lit(-1).cast("bigint").alias("of"), F.pmod(F.xxhash64("comp"), F.col("shared")).alias("no"))
+    m = members.select("key", "node", "comp").join(sizes, ["key", "comp"]).join(shared, "key")
+    m = stored(m.select("key", F.col("node").alias("mn"), "comp", F.when(large, own).otherwise(mixed_).alias("blk")), "block-members")
+    discard()
+    ids = m.select("key", "blk").distinct()
+    others = ids.select("key", F.col("blk").alias("other"))
+    # which blocks meet is found by their names; the sets then join that list where they are
+    meets = ids.join(others, "key").where((F.col("other.of") != F.col("blk.of")) | (F.col("blk.of") == -1))
+    blocks = m.join(held, F.col("mn") == F.col("node")).groupBy("key", "blk").agg(
         F.collect_list(F.struct("node", "comp", "n", "sketch", "shingles")).alias("xs"))
-    meet = blocks.select("band", "key", "blk", "xs", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    meet = (meet.groupBy("band", "key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
+    meet = blocks.join(meets, ["key", "blk"])
+    meet = (meet.groupBy("key", F.least("blk", "other").alias("lo"), F.greatest("blk", "other").alias("hi"))
             .agg(F.collect_list("xs").alias("sides")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for band, row in zip(b.column(0).to_pylist(), b.column(1)):
+            for key, row in zip(b.column(0).to_pylist(), b.column(1)):
                 sides = [_side(x) for x in row.values]
+                band = int(np.flatnonzero(band_keys(sides[0][3][0]) == key)[0])  # keys differ between bands
                 links = _links(sides[0], sides[-1], len(sides) == 1, band, least, percent)
                 if links:
                     lo, hi = zip(*links)
                     yield pa.RecordBatch.from_arrays([pa.array(lo, pa.int64()), pa.array(hi, pa.int64())], ["a", "b"])
 
-    return meet.select("band", "sides").mapInArrow(run, "a bigint, b bigint").distinct()
+    links = stored(meet.select("key", "sides").mapInArrow(run, "a bigint, b bigint").distinct(), "cross-links")
+    discard(held, m)
+    return links
 
 
 def _side(members: pa.ListScalar) -> tuple:
@@ -309,27 +332,34 @@ def _links(x: tuple, y: tuple, same: bool, band: int, least: float, percent: int
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80) -> DataFrame:
     """Per row of ``docs``: doc_id, h (hash of the text), n_shingles, component_id, and the row that stands
     for the component: rep_id and rep_h."""
-    rows = stored(sketches(docs, k), "sketches")
-    classes = rows.where("class IS NOT NULL").groupBy("class").agg(
+    whole = stored(sketches(docs, k), "sketches")
+    classes = whole.where("class IS NOT NULL").groupBy("class").agg(
         F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "h")).alias("r"),
         F.min("n").alias("n"), F.min("sketch").alias("sketch"))
     nodes = stored(classes.select("class", "r.doc_id", "r.h", "n", "sketch",
                                   F.monotonically_increasing_id().alias("node")), "classes")
-    keys = stored(_keys(nodes), "band-keys")
+    rows = stored(whole.select("doc_id", "h", "n", "class"), "rows")
+    discard(whole)
+    keys = _keys(nodes)  # as good as stored: one pass over the sketches gives them again
     buckets = keys.groupBy("key").agg(F.min("node").alias("lead"), F.count("*").alias("count")).where("count > 1")
     shared = stored(keys.join(buckets, "key"), "shared-bands")
+    discard()
     stars = shared.where("node > lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     tried = stored(_likely(stars, nodes, percent), "star-pairs")
-    links = stored(_verified(tried, docs, nodes, k, percent), "star-links")
+    discard()
+    links = _verified(tried, docs, nodes, k, percent)
 
     # buckets that still hold several components: pairs between those
     roots = components(links)
+    discard()
     comp = F.coalesce("root", "node").alias("comp")
     m = shared.where("count > 2").join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left")
-    m = m.select("band", "key", "node", comp, "count")
+    m = m.select("key", "node", comp, "count")
     split = m.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("key")
     m = stored(m.join(split, "key", "left_semi"), "split-buckets")
-    links = links.unionByName(stored(_between(m, docs, nodes, k, percent), "cross-links"))
+    discard(shared)
+    links = links.unionByName(_between(m, docs, nodes, k, percent))
+    discard(m)
     roots = components(links)
 
     of = nodes.join(roots.withColumnRenamed("node", "rn"), F.col("node") == F.col("rn"), "left").select(
