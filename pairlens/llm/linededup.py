@@ -5,28 +5,31 @@ gram runs forward over whole lines until it holds ``noise_words`` words. A windo
 is the gram starts whose grams lie within ``guarantee_words`` words of its first
 line; the least gram hash of each window is a fingerprint. So no match under
 ``noise_words`` words is ever reported, and of every repeated run of whole lines
-with ``guarantee_words`` words or more, some fingerprint is. Fingerprints meet
-their first occurrence (by doc_id, nulls last, then position), each match is
-extended line by line both ways, and the later run goes. That settles the runs
-under ``guarantee_words`` words.
-
-Longer runs are found whole, wherever their parts occur first and however long
-their lines are. From every line the least run forward, and to every line the
-least run backward, that holds ``guarantee_words`` words is a span. Every span
-within a repeated run is repeated, and every line of a repeated run of
-``guarantee_words`` words lies in such a span: in the one that ends at the line,
-or, near the run's start, in the one that begins at its first line. So the lines
-of spans that occurred before are just the lines of those runs, and nothing needs
-to be extended or paired.
-
-Only the first occurrence of a fingerprint or span is joined, so a passage that a
-third of all documents share costs one row per occurrence, not one per pair.
+with ``guarantee_words`` words or more, some fingerprint is.
+
+A fingerprint is extended both ways, line by line, as far as any earlier occurrence
+(by doc_id, nulls last, then position) agrees, and the lines that agree go. To
+that end the occurrences of a fingerprint are grouped by their context: by the hash
+of the gram with its next 0, 1, 2 ... lines, and of the gram with its last 1, 2 ...
+lines. Whatever isn't the first of its group has occurred before. So each extension
+meets the earlier place that goes farthest with it, and a passage that a third of
+all documents share costs some rows per occurrence, not one per pair.
+
+Contexts end where a line begins more than ``guarantee_words - noise_words`` words
+before the gram, or ``guarantee_words - 1`` or more behind its end, and nothing is
+lost by that. Take any line of a repeated run. If ``guarantee_words`` words
+of the run begin with it, its window has a fingerprint within the run that begins at
+most ``guarantee_words - noise_words`` words later, whose backward context reaches
+the line. Else fewer words are left, and the line is reached forward by the
+fingerprint of the last window within the run, whatever the length of its lines. A
+run under ``guarantee_words`` words is shorter than both reaches.
 
 Defined results: a null text stays null and an empty one empty; lines without a
 word are never counted, matched or deleted; rows alike in doc_id and text are one
 document and get the same decision; ties of hash go to the earlier line; an empty
-table gives an empty result. Extra columns are carried; the names of the added
-columns are replaced where they clash.
+table gives an empty result. The lines of one document pass through one task, sorted
+and windowed there with spilling; no array holds more lines than a context. Extra
+columns are carried; the names of the added columns are replaced where they clash.
 """
 
 from __future__ import annotations
@@ -61,71 +64,54 @@ def _measured_lines(docs: DataFrame) -> DataFrame:
 
 
 def fingerprints(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
-    """The selected grams: document, line index, gram hash and length, lines around it."""
-    by_word = Window.partitionBy("__id", "__h").orderBy("cum")
+    """The selected grams: document, line index, gram hash, first and last raw line number, lines before and after."""
+    doc = Window.partitionBy("__id", "__h")
+    by_word = doc.orderBy("cum")
     ahead = by_word.rangeBetween(0, noise_words - 1)
     span = guarantee_words - noise_words
+    line = F.struct(F.unhex("m").alias("m"), "pos")
     d = _measured_lines(docs).withColumns({
-        "gram": F.md5(F.concat_ws(",", F.collect_list("m").over(ahead))),
-        "lines": F.count("*").over(ahead).cast("int"),
-        "around": F.collect_list(F.struct("pos", F.substring("m", 1, 16).alias("m"), "idx")).over(
-            by_word.rangeBetween(-span, guarantee_words - 1)),  # all that a run under guarantee_words can reach
+        "gram": F.unhex(F.md5(F.concat_ws(",", F.collect_list("m").over(ahead)))),
+        "last": F.max("pos").over(ahead),
+        "before": F.collect_list(line).over(by_word.rangeBetween(-span, -1)),
+        "end": F.col("cum") + F.col("n"),
+        "next": F.lead(line).over(by_word),
     })
+    # a line begins where the one before it ends: the lines that begin soon after this one's end
+    d = d.withColumn("after", F.collect_list("next").over(doc.orderBy("end").rangeBetween(0, guarantee_words - 2)))
     least = F.min(F.struct("gram", "idx")).over(by_word.rangeBetween(0, span))
-    d = d.withColumn("pick", F.when(F.col("cum") + guarantee_words <= F.col("total"), least["idx"]))
+    d = d.withColumns({
+        "after": F.last("after").over(ahead),  # behind the gram's last line
+        "pick": F.when(F.col("cum") + guarantee_words <= F.col("total"), least["idx"]),
+    })
+    # a line that any window picked is picked by one that begins at most ``span`` words before it
     picks = F.collect_list("pick").over(by_word.rangeBetween(-span, 0))
     d = d.withColumn("selected", F.array_contains(picks, F.col("idx")))
-    return d.where("selected").select("__id", "__h", "idx", "gram", "lines", "around")
+    return d.where("selected").select("__id", "__h", "idx", "gram", "pos", "last", "before", "after")
 
 
-def _run(a: Column, b: Column) -> Column:
-    """How many leading entries of two arrays agree."""
-    eq = F.zip_with(a, b, lambda x, y: F.coalesce(x == y, F.lit(False)))
-    stop = F.array_position(eq, False)
-    return F.when(stop == 0, F.size(eq).cast("bigint")).otherwise(stop - 1).cast("int")
+def contexts(fp: DataFrame) -> DataFrame:
+    """Each fingerprint with its next 0, 1 ... and its last 1 ... lines: document, index, key, raw lines ``a`` to ``b``."""
+    def key(side: str, lines: Column) -> Column:
+        return F.unhex(F.md5(F.concat(F.lit(side).cast("binary"), F.col("gram"), F.array_join(
+            F.transform(lines, lambda x: F.hex(x["m"])), "").cast("binary")))).alias("key")
+    forward = F.transform(F.sequence(F.lit(0), F.size("after")), lambda r: F.struct(
+        key("R", F.slice("after", F.lit(1), r)), F.col("pos").alias("a"),
+        F.when(r == 0, F.col("last")).otherwise(F.get("after", r - 1)["pos"]).alias("b")))
+    behind = F.transform("before", lambda x, i: F.struct(
+        key("L", F.slice("before", i + 1, F.size("before"))), x["pos"].alias("a"), F.col("last").alias("b")))
+    return fp.select("__id", "__h", "idx", F.explode(F.concat(forward, behind)).alias("c")).select("__id", "__h", "idx", "c.*")
 
 
 def repeated_runs(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
-    """Extended matches: document, raw line numbers of the later run, where it occurred first."""
-    fp = fingerprints(docs, noise_words, guarantee_words)
-    first = fp.groupBy("gram").agg(
-        F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__h").alias("h"),
-                       F.col("idx"), F.col("around"))).alias("f"))
-    m = fp.join(first, "gram").where(
-        ~(F.col("__id").eqNullSafe(F.col("f.id")) & (F.col("__h") == F.col("f.h")) & (F.col("idx") == F.col("f.idx"))))
-    own, other = F.transform("around", lambda x: x["m"]), F.transform("f.around", lambda x: x["m"])
-    at = F.col("idx") - F.get("around", F.lit(0))["idx"]
-    at0 = F.col("f.idx") - F.get("f.around", F.lit(0))["idx"]
-    big = F.lit(1 << 30)
-    right = _run(F.slice(own, at + F.col("lines") + 1, big), F.slice(other, at0 + F.col("lines") + 1, big))
-    left = _run(F.reverse(F.slice(own, F.lit(1), at)), F.reverse(F.slice(other, F.lit(1), at0)))
-    m = m.withColumns({"left": left, "right": right, "at": at})
-    rows = F.slice("around", F.col("at") - F.col("left") + 1, F.col("left") + F.col("lines") + F.col("right"))
-    return m.select("__id", "__h", F.transform(rows, lambda x: x["pos"]).alias("lines"),
-                    F.col("f.id").alias("first_id"), F.col("f.idx").alias("first_line"))
-
-
-def repeated_spans(docs: DataFrame, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
-    """Least runs of ``guarantee_words`` words that occurred before: document, first and last raw line number."""
-    doc = Window.partitionBy("__id", "__h")
-    ahead = doc.orderBy("cum").rangeBetween(0, guarantee_words - 1)
-    back = doc.orderBy("end").rangeBetween(1 - guarantee_words, 0)
-
-    def span(over, a, b):
-        return F.struct(F.unhex(F.md5(F.concat_ws(",", F.collect_list("m").over(over)))).alias("key"), a.alias("a"), b.alias("b"))
-    d = _measured_lines(docs).withColumn("end", F.col("cum") + F.col("n"))
-    d = d.withColumns({
-        "f": F.when(F.col("cum") + guarantee_words <= F.col("total"), span(ahead, F.col("pos"), F.max("pos").over(ahead))),
-        # one that is also the least run forward from its first line is there already
-        "b": F.when((F.col("end") >= guarantee_words) & (F.col("cum") >= F.min("cum").over(back) + guarantee_words),
-                    span(back, F.min("pos").over(back), F.col("pos"))),
-    })
-    d = d.select("__id", "__h", F.explode(F.array_compact(F.array("f", "b"))).alias("s")).select("__id", "__h", "s.*")
-    first = d.groupBy("key").agg(
+    """Extended matches: document, first and last raw line number of the later run, where it occurred first."""
+    c = contexts(fingerprints(docs, noise_words, guarantee_words))
+    first = c.groupBy("key").agg(
         F.min(F.struct(F.col("__id").isNull().alias("last"), F.col("__id").alias("id"), F.col("__h").alias("h"),
-                       F.col("a"))).alias("f"), F.count("*").alias("times")).where("times > 1").drop("times")
-    same = F.col("__id").eqNullSafe(F.col("f.id")) & (F.col("__h") == F.col("f.h")) & (F.col("a") == F.col("f.a"))
-    return d.join(first, "key").where(~same).select("__id", "__h", "a", "b")
+                       F.col("idx"))).alias("f"), F.count("*").alias("times")).where("times > 1").drop("times")
+    same = F.col("__id").eqNullSafe(F.col("f.id")) & (F.col("__h") == F.col("f.h")) & (F.col("idx") == F.col("f.idx"))
+    return c.join(first, "key").where(~same).select("__id", "__h", "a", "b", F.col("f.id").alias("first_id"),
+                                                    F.col("f.idx").alias("first_line"))
 
 
 def _merged(parts: DataFrame) -> DataFrame:
@@ -137,9 +123,7 @@ def _merged(parts: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame, noise_words: int = NOISE_WORDS, guarantee_words: int = GUARANTEE_WORDS) -> DataFrame:
     """The documents with later repeated runs deleted from ``text``; ``removed_lines`` counts them."""
-    runs = repeated_runs(docs, noise_words, guarantee_words)
-    runs = runs.select("__id", "__h", F.get("lines", F.lit(0)).alias("a"), F.element_at("lines", -1).alias("b"))
-    gone = _merged(runs.unionByName(repeated_spans(docs, guarantee_words)))
+    gone = _merged(repeated_runs(docs, noise_words, guarantee_words).select("__id", "__h", "a", "b"))
     d = docs.drop("removed_lines", "__h", "__id").withColumn("__h", F.xxhash64("text"))
     d = d.join(gone, d["doc_id"].eqNullSafe(gone["__id"]) & (d["__h"] == gone["__h"]), "left").drop("__id", "__h")
     none = F.col("__gone").isNull()

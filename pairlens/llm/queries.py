@@ -105,34 +105,30 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
        fail_bits % 4 <> 0 AS base_failed, fail_bits = 0 AS kept, fail_bits FROM b
 """
 
+# Every pair of places of a fingerprint, extended both ways over the whole texts.
 OP5_SQL = r"""
 WITH t AS (SELECT doc_id, text, unnest(string_split(text, chr(10))) AS line,
                   generate_subscripts(string_split(text, chr(10)), 1) - 1 AS pos FROM documents),
-l0 AS (SELECT doc_id, pos, md5(line) AS m, len(regexp_extract_all(line, '[^ 	-
-]+')) AS n FROM t),
+l0 AS (SELECT doc_id, pos, md5(line) AS m, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM t),
 l1 AS (SELECT doc_id, pos, m, n::BIGINT AS n, row_number() OVER (PARTITION BY doc_id ORDER BY pos) - 1 AS idx FROM l0 WHERE n > 0),
 l2 AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY doc_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS cum,
               sum(n) OVER (PARTITION BY doc_id) AS total FROM l1),
-l3 AS (SELECT *, md5(array_to_string(list(m) OVER a, ',')) AS gram, count(*) OVER a AS lines,
-              list({'pos': pos, 'm': substr(m, 1, 16), 'idx': idx}) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN 50 PRECEDING AND 75 FOLLOWING) AS around
+l3 AS (SELECT *, md5(array_to_string(list(m) OVER a, ',')) AS gram, count(*) OVER a AS lines
        FROM l2 WINDOW a AS (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN CURRENT ROW AND 24 FOLLOWING)),
 l4 AS (SELECT *, CASE WHEN cum + 50 <= total THEN
                  (min({'gram': gram, 'idx': idx}) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN CURRENT ROW AND 25 FOLLOWING)).idx END AS pick FROM l3),
-fp AS (SELECT doc_id, idx, gram, lines, around FROM (
-         SELECT *, list(pick) OVER (PARTITION BY doc_id ORDER BY cum RANGE BETWEEN 25 PRECEDING AND CURRENT ROW) AS picks FROM l4)
-       WHERE list_contains(picks, idx)),
-f AS (SELECT gram, min({'id': doc_id, 'idx': idx, 'around': around}) AS f FROM fp GROUP BY gram),
-m AS (SELECT fp.*, f.f.id AS fid, f.f.idx AS fidx, f.f.around AS faround,
-             idx - around[1].idx AS o, f.f.idx - f.f.around[1].idx AS o0
-      FROM fp JOIN f USING (gram) WHERE doc_id <> f.f.id OR idx <> f.f.idx),
-r AS (SELECT doc_id, around, o, lines,
-             [x.m FOR x IN around] AS a, [x.m FOR x IN faround] AS b, o0 FROM m),
-e AS (SELECT *, [coalesce(a[o + lines + k] = b[o0 + lines + k], false) FOR k IN generate_series(1, greatest(len(a) - o - lines, len(b) - o0 - lines))] AS er,
-             [coalesce(CASE WHEN o - k >= 0 AND o0 - k >= 0 THEN a[o - k + 1] = b[o0 - k + 1] END, false) FOR k IN generate_series(1, greatest(o, o0))] AS el FROM r),
-x AS (SELECT *, CASE WHEN list_position(er, false) > 0 THEN list_position(er, false) - 1 ELSE len(er) END AS rt,
-             CASE WHEN list_position(el, false) > 0 THEN list_position(el, false) - 1 ELSE len(el) END AS lt FROM e),
-gone AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM (
-           SELECT doc_id, unnest([z.pos FOR z IN around[o - lt + 1 : o + lines + rt]]) AS pos FROM x) GROUP BY doc_id),
+p AS (SELECT DISTINCT doc_id, pick AS idx FROM l4 WHERE pick IS NOT NULL),
+fp AS (SELECT l4.doc_id, idx, gram, lines FROM l4 JOIN p USING (doc_id, idx)),
+w AS (SELECT doc_id, list(m ORDER BY idx) AS w FROM l1 GROUP BY doc_id),
+m AS (SELECT x.doc_id, x.idx, x.lines, wx.w[x.idx + x.lines + 1:] AS ra, wy.w[y.idx + y.lines + 1:] AS rb,
+             list_reverse(wx.w[1:x.idx]) AS la, list_reverse(wy.w[1:y.idx]) AS lb
+      FROM fp x JOIN fp y ON x.gram = y.gram AND (y.doc_id < x.doc_id OR y.doc_id = x.doc_id AND y.idx < x.idx)
+      JOIN w wx ON wx.doc_id = x.doc_id JOIN w wy ON wy.doc_id = y.doc_id),
+e AS (SELECT doc_id, idx, lines, [ra[k] IS NOT DISTINCT FROM rb[k] AND k <= len(ra) FOR k IN generate_series(1, len(ra) + 1)] AS er,
+             [la[k] IS NOT DISTINCT FROM lb[k] AND k <= len(la) FOR k IN generate_series(1, len(la) + 1)] AS el FROM m),
+x AS (SELECT doc_id, idx, lines, max(list_position(er, false) - 1) AS rt, max(list_position(el, false) - 1) AS lt FROM e GROUP BY ALL),
+gone AS (SELECT doc_id, list(DISTINCT pos) AS gone FROM l1 JOIN (
+           SELECT doc_id, unnest(generate_series(idx - lt, idx + lines - 1 + rt)) AS idx FROM x) USING (doc_id, idx) GROUP BY doc_id),
 k AS (SELECT t.doc_id, t.pos, t.line FROM t LEFT JOIN gone USING (doc_id) WHERE gone IS NULL OR NOT list_contains(gone, t.pos)),
 kt AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) AS text FROM k GROUP BY doc_id)
 SELECT d.doc_id, coalesce(len(gone), 0)::BIGINT AS removed_lines, length(CASE WHEN d.text IS NULL THEN NULL ELSE coalesce(kt.text, '') END)::BIGINT AS kept_chars,

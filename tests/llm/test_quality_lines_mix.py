@@ -153,6 +153,21 @@ def test_line_dedup_longest_earlier_run(spark):
         assert got[3][0] == 4 and not any(x in got[3][1] for x in p + r)
 
 
+def test_line_dedup_hot_passage_and_very_long_text(spark):
+    rng = random.Random(13)
+    line = lambda n: " ".join(f"w{rng.randrange(10**6)}" for _ in range(n))
+    hot = [line(9) for _ in range(8)]
+    rows = [(i, "\n".join([line(11), *hot[:4 + i % 5], line(14)])) for i in range(60)]
+    rows += [(100, "\n".join(line(7) for _ in range(3000)))]
+    rows += [(101, "\n".join([line(3), *rows[100 - 40][1].split("\n")[500:2500], line(3)]))]
+    got, must = _removed(spark, rows), brute_lines(rows)
+    assert len(must[101]) == 2000 and got[101][0] == 2000 and got[100][0] == 0
+    for d, text in rows:
+        kept = Counter(got[d][1].split("\n"))
+        assert not kept - Counter(x for p, x in enumerate(text.split("\n")) if p not in must[d]), d
+        assert all(text.split("\n")[i] in kept for i in (0, -1))
+
+
 def brute_targets(sizes, weights=(5, 2, 1), rate=1.5, limit=2.0):
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [s for s in sizes if s is None]
     w = {s: weights[i % 3] for i, s in enumerate(names)}
