@@ -13,9 +13,10 @@ are broadcast; word counts grow with the corpus and stay a distributed table.
 Baum-Welch runs on classes: every task runs scaled forward and backward passes over
 its training texts, whole and many of like length at a time, and returns its
 expected counts; Spark adds them up, and the driver holds only the parameters. A
-pass keeps some 200 bytes a token, of one batch or one longer text.
+pass keeps some 70 bytes a token, of one batch or one longer text.
 Scoring runs the scaled forward recursion over whole texts, so the likelihood is
-that of the full sequence. The word part is a sum over tokens and needs only
+that of the full sequence. A task scores texts of like length together, out of
+``HELD_TOKENS`` tokens of texts, or one longer text. The word part is a sum over tokens and needs only
 counts: frequent words come with the task (at most ``FREQUENT`` of them), all
 others meet their counts in a join by word.
 
@@ -29,7 +30,7 @@ empty result. Extra columns are carried; names of added columns are replaced.
 from __future__ import annotations
 
 import zlib
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -45,6 +46,9 @@ STATES = 6
 CLASSES = 4096
 ITERATIONS = 4
 BATCH_TOKENS = 400_000
+HELD_TOKENS = 1_600_000  # of texts that a task scores together
+RECENT = 300_000         # words whose classes a task remembers
+SCALE_EVERY = 8
 FREQUENT = 50_000
 PRIOR = 0.1  # pseudo-count of every transition and emission
 STAY = 0.9   # a state follows itself at the start of training
@@ -63,26 +67,56 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:2] + b" " + word[-3:]) % CLASSES
 
 
-class Words:
-    """Class ids of the words of a text and of its end, through a bounded table of recent words."""
+def split(text: str | None) -> list[bytes]:
+    """The lower-cased words of a text."""
+    return (text or "").encode("utf-8", "surrogatepass").lower().split()
 
-    def __init__(self):
-        self.known: dict[bytes, int] = {}
 
-    def split(self, text: str | None) -> list[bytes]:
-        return (text or "").encode("utf-8", "surrogatepass").lower().split()
+class Words(dict):
+    """Class ids of words, through a bounded table of recent words."""
+
+    def __missing__(self, word: bytes) -> int:
+        c = self[word] = class_of(word)
+        return c
 
     def classes(self, words: list[bytes]) -> np.ndarray:
-        known = self.known
-        if len(known) > 300_000:
-            known.clear()
-        for w in set(words).difference(known):
-            known[w] = class_of(w)
+        """The classes of the words and of the end."""
+        if len(self) > RECENT:
+            self.clear()
         out = np.full(len(words) + 1, CLASSES, np.uint16)
-        out[:-1] = np.fromiter(map(known.__getitem__, words), np.uint16, len(words))
+        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
         return out
 
 
+class Scored(dict):
+    """Numbers of words, through a bounded table of recent words, with class and log10(count + 1) by number.
+
+    A word that isn't frequent has 0 there.
+    """
+
+    def __init__(self, frequent: dict[bytes, int]):
+        self.frequent = frequent
+        self.forget()
+
+    def forget(self) -> None:
+        self.clear()
+        self.words: list[bytes] = []
+        self.class_ids, self.logs = np.zeros(RECENT, np.int64), np.zeros(RECENT)
+
+    def __missing__(self, word: bytes) -> int:
+        i = self[word] = len(self.words)
+        if i == len(self.logs):
+            self.class_ids, self.logs = np.resize(self.class_ids, 2 * i), np.resize(self.logs, 2 * i)
+        self.words.append(word)
+        self.class_ids[i], self.logs[i] = class_of(word), np.log10(self.frequent.get(word, 0) + 1)
+        return i
+
+    def numbers(self, words: list[bytes]) -> np.ndarray:
+        if len(self.words) > RECENT:
+            self.forget()
+        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+
+
 def first_model(seed: int = 11) -> Model:
     """States that stay and differ a little in what they emit, so that training can part them."""
     rng = np.random.default_rng(seed)
@@ -106,22 +140,31 @@ def _aligned(seqs: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray
 
 
 def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
-    """Log10 likelihood of every sequence by the scaled forward recursion (and, if kept, the passes)."""
+    """Log10 likelihood of every sequence by the scaled forward recursion (and, if kept, the passes).
+
+    The passes are scaled every ``SCALE_EVERY`` steps and where a sequence ends; one column per token.
+    """
     flat, start, order = _aligned(seqs)
-    emit = np.ascontiguousarray(model.emit.T)
-    alpha = np.empty((len(flat) if keep else 0, len(model.start)))
-    scales = np.empty(len(flat) if keep else 0)
+    emit, move = np.ascontiguousarray(model.emit), np.ascontiguousarray(model.move.T)
+    alpha = np.empty((len(model.start), len(flat) if keep else 0))
+    scales = np.ones(len(flat) if keep else 0)
     log = np.zeros(len(seqs))
+    bounds = [*start.tolist(), int(start[-1])]
     a = None
-    for t in range(len(start) - 1):
-        lo, hi = start[t], start[t + 1]
-        e = emit[flat[lo:hi]]
-        a = e * model.start if t == 0 else (a[:hi - lo] @ model.move) * e
-        c = a.sum(1)
-        a /= c[:, None]
-        log[:hi - lo] += np.log10(c)
+    for t in range(len(bounds) - 2):
+        lo, hi, after = bounds[t:t + 3]
+        e = emit.take(flat[lo:hi], 1)
+        a = np.multiply(e, model.start[:, None], e) if t == 0 else np.multiply(move @ a[:, :hi - lo], e, e)
+        first = 0 if t % SCALE_EVERY == SCALE_EVERY - 1 else after - hi  # of the columns to scale
+        if first < hi - lo:
+            part = a[:, first:]
+            c = part.sum(0)
+            part /= c
+            log[first:hi - lo] += np.log10(c)
+            if keep:
+                scales[lo + first:hi] = c
         if keep:
-            alpha[lo:hi], scales[lo:hi] = a, c
+            alpha[:, lo:hi] = a
     out = np.empty(len(seqs))
     out[order] = log
     return (out, flat, start, alpha, scales) if keep else out
@@ -129,24 +172,24 @@ def forward(model: Model, seqs: list[np.ndarray], keep: bool = False):
 
 def expected(model: Model, seqs: list[np.ndarray]):
     """Expected start, transition and emission counts of the sequences, and their log10 likelihood."""
-    log, flat, start, alpha, scales = forward(model, seqs, keep=True)
-    k, emit = len(model.start), np.ascontiguousarray(model.emit.T)
-    gamma = np.empty_like(alpha)
+    log, flat, start, gamma, scales = forward(model, seqs, keep=True)  # the forward pass becomes gamma in place
+    k, emit = len(model.start), np.ascontiguousarray(model.emit)
     moves = np.zeros((k, k))
-    beta = np.empty((0, k))
-    for t in range(len(start) - 2, -1, -1):
-        lo, hi = start[t], start[t + 1]
-        b = np.ones((hi - lo, k))
-        if t + 2 < len(start):
-            nlo, nhi = start[t + 1], start[t + 2]
-            n = nhi - nlo
-            x = beta * emit[flat[nlo:nhi]] / scales[nlo:nhi, None]
-            b[:n] = x @ model.move.T
-            moves += alpha[lo:lo + n].T @ x
-        gamma[lo:hi] = alpha[lo:hi] * b
-        beta = b
-    emits = np.stack([np.bincount(flat, gamma[:, z], CLASSES + 1) for z in range(k)])
-    return gamma[:start[1]].sum(0), moves * model.move, emits, float(log.sum())
+    bounds = start.tolist()
+    x, n = np.empty((k, 0)), 0  # backward pass times emission of the step behind, and its columns
+    for t in range(len(bounds) - 2, -1, -1):
+        lo, hi = bounds[t], bounds[t + 1]
+        g = gamma[:, lo:hi]
+        b = np.ones((k, hi - lo))
+        if n:
+            moves += g[:, :n] @ x.T
+            b[:, :n] = model.move @ x
+        g *= b
+        x, n = b, hi - lo
+        x *= emit.take(flat[lo:hi], 1)
+        x /= scales[lo:hi]
+    emits = np.stack([np.bincount(flat, gamma[z], CLASSES + 1) for z in range(k)])
+    return gamma[:, :start[1]].sum(1), moves * model.move, emits, float(log.sum())
 
 
 def _batches(seqs: Iterator[np.ndarray]) -> Iterator[list[np.ndarray]]:
@@ -176,7 +219,7 @@ def class_table(docs: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for b in batches:
-            out = [words.classes(words.split(x.as_py())).tobytes() for x in b.column(0)]
+            out = [words.classes(split(x.as_py())).tobytes() for x in b.column(0)]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["classes"])
 
     return stored(src.where("training").select("text").mapInArrow(run, "classes binary"), "hmm-classes")
@@ -187,7 +230,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
     src = docs.where(in_training(F.col("doc_id"))).select("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, counts = Words(), Counter()
+        counts = Counter()
         def flush():
             out = pa.RecordBatch.from_arrays(
                 [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
@@ -195,7 +238,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             return out
         for b in batches:
             for x in b.column(0):
-                counts.update(words.split(x.as_py()))
+                counts.update(split(x.as_py()))
                 if len(counts) > 500_000:
                     yield flush()
         yield flush()
@@ -264,47 +307,62 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     fields = [T.StructField("n_tokens", T.LongType()), T.StructField("n_known", T.LongType()),
               T.StructField("base_score", T.DoubleType()), T.StructField("score", T.DoubleType()),
               T.StructField("__rare", T.ArrayType(T.BinaryType())), T.StructField("__times", T.ArrayType(T.LongType()))]
-    schema = T.StructType([*d.schema.fields, *fields])
+    schema = T.StructType([*[d.schema[c] for c in keep], *fields])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent, below = sent.value
-        words = Words()
-        top = {w: float(np.log10(c + 1)) for w, c in frequent.items()}
+        known = Scored(frequent)
+        end = float(np.log10(end_c + 1))
+        held: list[pa.RecordBatch] = []  # rows that wait for the hidden part of their score
+        seqs: list[np.ndarray] = []
+
+        def flush() -> Iterator[pa.RecordBatch]:
+            hidden = np.zeros(len(seqs))
+            lanes = defaultdict(list)
+            for i, s in enumerate(seqs):
+                lanes[len(s).bit_length()].append(i)
+            for lane in lanes.values():
+                hidden[lane] = forward(model, [seqs[i] for i in lane])
+            done = 0
+            for h in held:
+                at = h.schema.get_field_index("score")
+                total = pa.array(h.column(at).to_numpy() + hidden[done:done + h.num_rows], pa.float64())
+                yield h.set_column(at, "score", total)
+                done += h.num_rows
+            held.clear()
+            seqs.clear()
+
+        size = 0
         for b in batches:
             at = b.schema.get_field_index("text")
-            n_tokens, known, base, word, rare, times, seqs = [], [], [], [], [], [], []
+            n_tokens, seen, base, word, rare, times = [], [], [], [], [], []
             for x in b.column(at):
-                ws = words.split(x.as_py())
-                seq = words.classes(ws)
-                seqs.append(seq.astype(np.int64))
-                n = len(seq)
-                logs = np.fromiter((top.get(w, 0.0) for w in ws), np.float64, n - 1)
-                seen = int((logs > 0).sum())
+                ws = split(x.as_py())
+                n = len(ws) + 1
+                ids = known.numbers(ws)
+                seq = np.full(n, CLASSES, np.uint16)
+                seq[:-1] = known.class_ids[ids]
+                logs = known.logs[ids]
                 # a word that isn't frequent counts as unknown here; the join adds log10(count + 1)
-                part = float(logs.sum()) + float(np.log10(end_c + 1))
-                few = Counter(w for w, g in zip(ws, logs) if g == 0.0)
+                few, often = np.unique(ids[logs == 0.0], return_counts=True)
+                part = float(logs.sum()) + end
                 n_tokens.append(n)
-                known.append(seen + (1 if end_c else 0))
+                seen.append(n - 1 - int(often.sum()) + (1 if end_c else 0))
                 base.append(part - n * base_below)
                 word.append(part - float(below[seq].sum()))
-                rare.append(list(few))
-                times.append(list(few.values()))
-            hidden = np.empty(len(seqs))
-            order = np.argsort([len(s) for s in seqs], kind="stable")
-            i = 0
-            while i < len(order):
-                j, size = i, 0
-                while j < len(order) and (j == i or size + len(seqs[order[j]]) <= 4 * BATCH_TOKENS):
-                    size += len(seqs[order[j]])
-                    j += 1
-                hidden[order[i:j]] = forward(model, [seqs[q] for q in order[i:j]])
-                i = j
-            yield pa.RecordBatch.from_arrays(
-                [*b.columns, pa.array(n_tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base, pa.float64()),
-                 pa.array(np.array(word) + hidden if word else [], pa.float64()), pa.array(rare, pa.list_(pa.binary())),
-                 pa.array(times, pa.list_(pa.int64()))], schema.names)
-
-    scored = stored(d.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()).drop("text"), "hmm-scored")
+                rare.append([known.words[i] for i in few])
+                times.append(often)
+                seqs.append(seq)
+                size += n
+            rows = [pa.array(n_tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
+                    pa.array(word, pa.float64()), pa.array(rare, pa.list_(pa.binary())), pa.array(times, pa.list_(pa.int64()))]
+            held.append(pa.RecordBatch.from_arrays([*b.remove_column(at).columns, *rows], schema.names))
+            if size >= HELD_TOKENS:
+                yield from flush()
+                size = 0
+        yield from flush()
+
+    scored = stored(d.mapInArrow(run, schema).withColumn("__uid", F.monotonically_increasing_id()), "hmm-scored")
     pairs = scored.select("__uid", F.explode(F.arrays_zip(F.col("__rare").alias("word"), F.col("__times").alias("times"))).alias("z"))
     hit = (pairs.select("__uid", "z.word", "z.times").join(counts, "word").groupBy("__uid")
            .agg(F.sum("times").alias("__k"), F.sum(F.col("times") * F.log10(F.col("c") + 1)).alias("__add")))
