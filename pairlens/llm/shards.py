@@ -11,7 +11,8 @@ key can compute any slot, and no shuffle order has to be stored.
 Slots are cut into shards of ``per_shard`` records. A record has the same stride
 everywhere: the token count (4 bytes, little-endian), the tokens, zeros, and a line
 end. So the record of a slot is at (slot mod per_shard) * stride in shard
-slot div per_shard, and a reader resumes at any slot by a seek. Shards are written
+slot div per_shard, and a reader resumes at any slot by a seek. Tasks write ranges
+of shards, of about ``TASK_BYTES`` at most or one shard. Shards are written
 through Spark's text sink, whose commit makes a lost executor's files vanish.
 
 Defined results: a null or empty stream has no sequence; repeated rows have
@@ -36,6 +37,7 @@ from ..session import ensure_checkpoint_dir
 from .common import stored
 
 LENGTH = 512
+TASK_BYTES = 256 << 20  # of shards that one task writes
 PER_SHARD = 8192
 ROUNDS = 8
 KEY = 0x5EED_0F_0DE2
@@ -176,7 +178,9 @@ def materialise(streams: DataFrame, width: int = 1, length: int = LENGTH, per_sh
         layout = Layout(path, n, length, width, per_shard, key)
         if n:
             rows = _sequences(s, layout, firsts, content=True).select("shard", "slot", F.col("record").cast("string").alias("value"))
-            (rows.repartition("shard").sortWithinPartitions("shard", "slot").drop("slot")
+            shards = -(-n // per_shard)
+            tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * layout.stride // TASK_BYTES)))
+            (rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot").drop("slot")
              .write.partitionBy("shard").text(path))
         manifest = stored(_sequences(s, layout, firsts, content=False).drop("record"), "manifest")
     finally:
