@@ -46,7 +46,8 @@ STATES = 6
 CLASSES = 4096
 ITERATIONS = 4
 BATCH_TOKENS = 400_000
-HELD_TOKENS = 1_600_000  # of texts that a task scores together
+HELD_TOKENS = 4_000_000  # of texts that a task scores together
+LANE_ROWS = 2048         # texts of like length in one recursion
 RECENT = 300_000         # words whose classes a task remembers
 SCALE_EVERY = 8
 FREQUENT = 50_000
@@ -212,38 +213,43 @@ def in_training(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 7 != 2
 
 
-def class_table(docs: DataFrame) -> DataFrame:
-    """The documents' class sequences (packed 16-bit) and folds, stored for the passes of training."""
-    src = docs.select("text", in_training(F.col("doc_id")).alias("training"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = Words()
-        for b in batches:
-            out = [words.classes(split(x.as_py())).tobytes() for x in b.column(0)]
-            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["classes"])
-
-    return stored(src.where("training").select("text").mapInArrow(run, "classes binary"), "hmm-classes")
-
-
-def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, c): counts of the training words, combined in the tasks first."""
+def training_pass(docs: DataFrame) -> DataFrame:
+    """One stored pass over the training texts: rows of class sequences (packed 16-bit), rows of counts (word, c) by task."""
     src = docs.where(in_training(F.col("doc_id"))).select("text")
+    names = ["classes", "word", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = Counter()
-        def flush():
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(list(counts), pa.binary()), pa.array(list(counts.values()), pa.int64())], ["word", "c"])
+        known, counts = Words(), Counter()
+
+        def flush() -> pa.RecordBatch:
+            n = len(counts)
+            out = pa.RecordBatch.from_arrays([pa.nulls(n, pa.binary()), pa.array(list(counts), pa.binary()),
+                                              pa.array(list(counts.values()), pa.int64())], names)
             counts.clear()
             return out
         for b in batches:
+            out = []
             for x in b.column(0):
-                counts.update(split(x.as_py()))
+                ws = split(x.as_py())
+                out.append(known.classes(ws).tobytes())
+                counts.update(ws)
                 if len(counts) > 500_000:
                     yield flush()
+            n = len(out)
+            yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.int64())], names)
         yield flush()
 
-    return src.mapInArrow(run, "word binary, c bigint").groupBy("word").agg(F.sum("c").alias("c"))
+    return stored(src.mapInArrow(run, "classes binary, word binary, c bigint"), "hmm-pass")
+
+
+def class_table(docs: DataFrame, both: DataFrame | None = None) -> DataFrame:
+    """The class sequences of the training texts, for the passes of training."""
+    return (training_pass(docs) if both is None else both).where("classes IS NOT NULL").select("classes")
+
+
+def word_counts(docs: DataFrame, both: DataFrame | None = None) -> DataFrame:
+    """(word, c): counts of the training words, combined in the tasks first."""
+    return (training_pass(docs) if both is None else both).where("word IS NOT NULL").groupBy("word").agg(F.sum("c").alias("c"))
 
 
 def train(table: DataFrame, iterations: int = ITERATIONS) -> Model:
@@ -285,7 +291,8 @@ def train(table: DataFrame, iterations: int = ITERATIONS) -> Model:
 
 def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     """The documents with held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    counts = stored(word_counts(docs), "hmm-words")
+    both = training_pass(docs)
+    counts = stored(word_counts(docs, both), "hmm-words")
     ends = docs.where(in_training(F.col("doc_id"))).count()
     by_class = counts.mapInArrow(_class_totals, "class int, n bigint, v bigint").groupBy("class").agg(
         F.sum("n").alias("n"), F.sum("v").alias("v")).collect()  # at most CLASSES rows
@@ -296,7 +303,7 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     types = int(v_class.sum()) + (1 if ends else 0)
     n_class[CLASSES], v_class[CLASSES] = ends, 1 if ends else 0
     frequent = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}
-    model = train(class_table(docs), iterations)
+    model = train(class_table(docs, both), iterations)
 
     below = np.log10(n_class + v_class + 1)
     base_below = float(np.log10(total + types + 1))
@@ -322,7 +329,9 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
             for i, s in enumerate(seqs):
                 lanes[len(s).bit_length()].append(i)
             for lane in lanes.values():
-                hidden[lane] = forward(model, [seqs[i] for i in lane])
+                for i in range(0, len(lane), LANE_ROWS):  # a step's columns stay in the cache
+                    part = lane[i:i + LANE_ROWS]
+                    hidden[part] = forward(model, [seqs[j] for j in part])
             done = 0
             for h in held:
                 at = h.schema.get_field_index("score")
