@@ -29,10 +29,12 @@ empty result. Extra columns are carried; names of added columns are replaced.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter, defaultdict
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +50,7 @@ ITERATIONS = 4
 BATCH_TOKENS = 400_000
 HELD_TOKENS = 4_000_000  # of texts that a task scores together
 LANE_ROWS = 2048         # texts of like length in one recursion
-RECENT = 300_000         # words whose classes a task remembers
+RUN_BYTES = 1 << 20      # of texts whose words are classed together
 SCALE_EVERY = 8
 FREQUENT = 50_000
 PRIOR = 0.1  # pseudo-count of every transition and emission
@@ -68,54 +70,57 @@ def class_of(word: bytes) -> int:
     return zlib.crc32(word[:2] + b" " + word[-3:]) % CLASSES
 
 
-def split(text: str | None) -> list[bytes]:
-    """The lower-cased words of a text."""
-    return (text or "").encode("utf-8", "surrogatepass").lower().split()
+def _crc_table() -> np.ndarray:
+    t = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        t = np.where(t & 1, t >> 1 ^ np.uint32(0xEDB88320), t >> 1)
+    return t
 
 
-class Words(dict):
-    """Class ids of words, through a bounded table of recent words."""
+CRC = _crc_table()
+SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
 
-    def __missing__(self, word: bytes) -> int:
-        c = self[word] = class_of(word)
-        return c
 
-    def classes(self, words: list[bytes]) -> np.ndarray:
-        """The classes of the words and of the end."""
-        if len(self) > RECENT:
-            self.clear()
-        out = np.full(len(words) + 1, CLASSES, np.uint16)
-        out[:-1] = np.fromiter(map(self.__getitem__, words), np.uint16, len(words))
-        return out
+def word_classes(text: bytes) -> np.ndarray:
+    """``class_of`` every word of a lower-cased text, all at once."""
+    b = np.frombuffer(text, np.uint8)
+    edges = np.flatnonzero(np.diff(~SPACE[b], prepend=False, append=False))
+    start, end = edges[::2], edges[1::2]
+    n = end - start
 
+    def step(crc: np.ndarray, byte: np.ndarray | int) -> np.ndarray:
+        return CRC[(crc ^ byte) & 255] ^ crc >> 8
 
-class Scored(dict):
-    """Numbers of words, through a bounded table of recent words, with class and log10(count + 1) by number.
+    crc = step(np.full(len(n), 0xFFFFFFFF, np.uint32), b[start])
+    crc = np.where(n > 1, step(crc, b[np.minimum(start + 1, end - 1)]), crc)
+    crc = step(crc, 32)
+    for k in (3, 2, 1):
+        crc = np.where(n >= k, step(crc, b[np.maximum(end - k, start)]), crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % CLASSES).astype(np.uint16)
 
-    A word that isn't frequent has 0 there.
-    """
 
-    def __init__(self, frequent: dict[bytes, int]):
-        self.frequent = frequent
-        self.forget()
+def classed(texts: Iterable[str | None]) -> Iterator[tuple[list[bytes], np.ndarray]]:
+    """Per text its words and the classes of the words and of the end.
 
-    def forget(self) -> None:
-        self.clear()
-        self.words: list[bytes] = []
-        self.class_ids, self.logs = np.zeros(RECENT, np.int64), np.zeros(RECENT)
+    Texts are classed in runs of about ``RUN_BYTES``, or one longer text.
+    """
+    run, words, size = [], [], 0
 
-    def __missing__(self, word: bytes) -> int:
-        i = self[word] = len(self.words)
-        if i == len(self.logs):
-            self.class_ids, self.logs = np.resize(self.class_ids, 2 * i), np.resize(self.logs, 2 * i)
-        self.words.append(word)
-        self.class_ids[i], self.logs[i] = class_of(word), np.log10(self.frequent.get(word, 0) + 1)
-        return i
+    def flush() -> Iterator[tuple[list[bytes], np.ndarray]]:
+        ids, at = word_classes(b"\n".join(run)), 0
+        for ws in words:
+            yield ws, np.append(ids[at:at + len(ws)], np.uint16(CLASSES))
+            at += len(ws)
 
-    def numbers(self, words: list[bytes]) -> np.ndarray:
-        if len(self.words) > RECENT:
-            self.forget()
-        return np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+    for x in texts:
+        text = (x or "").encode("utf-8", "surrogatepass").lower()
+        run.append(text)
+        words.append(text.split())
+        size += len(text)
+        if size >= RUN_BYTES:
+            yield from flush()
+            run, words, size = [], [], 0
+    yield from flush()
 
 
 def first_model(seed: int = 11) -> Model:
@@ -219,7 +224,7 @@ def training_pass(docs: DataFrame) -> DataFrame:
     names = ["classes", "word", "c"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, counts = Words(), Counter()
+        counts = Counter()
 
         def flush() -> pa.RecordBatch:
             n = len(counts)
@@ -229,9 +234,8 @@ def training_pass(docs: DataFrame) -> DataFrame:
             return out
         for b in batches:
             out = []
-            for x in b.column(0):
-                ws = split(x.as_py())
-                out.append(known.classes(ws).tobytes())
+            for ws, seq in classed(b.column(0).to_pylist()):
+                out.append(seq.tobytes())
                 counts.update(ws)
                 if len(counts) > 500_000:
                     yield flush()
@@ -302,7 +306,7 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
     total = int(n_class.sum()) + ends
     types = int(v_class.sum()) + (1 if ends else 0)
     n_class[CLASSES], v_class[CLASSES] = ends, 1 if ends else 0
-    frequent = {bytes(r["word"]): r["c"] for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}
+    frequent = {bytes(r["word"]): math.log10(r["c"] + 1) for r in counts.orderBy(F.desc("c"), "word").limit(FREQUENT).collect()}
     model = train(class_table(docs, both), iterations)
 
     below = np.log10(n_class + v_class + 1)
@@ -318,7 +322,6 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, frequent, below = sent.value
-        known = Scored(frequent)
         end = float(np.log10(end_c + 1))
         held: list[pa.RecordBatch] = []  # rows that wait for the hidden part of their score
         seqs: list[np.ndarray] = []
@@ -345,22 +348,18 @@ def score(docs: DataFrame, iterations: int = ITERATIONS) -> DataFrame:
         for b in batches:
             at = b.schema.get_field_index("text")
             n_tokens, seen, base, word, rare, times = [], [], [], [], [], []
-            for x in b.column(at):
-                ws = split(x.as_py())
-                n = len(ws) + 1
-                ids = known.numbers(ws)
-                seq = np.full(n, CLASSES, np.uint16)
-                seq[:-1] = known.class_ids[ids]
-                logs = known.logs[ids]
+            for ws, seq in classed(b.column(at).to_pylist()):
+                n = len(seq)
+                logs = np.fromiter(map(frequent.get, ws, repeat(0.0)), np.float64, n - 1)
                 # a word that isn't frequent counts as unknown here; the join adds log10(count + 1)
-                few, often = np.unique(ids[logs == 0.0], return_counts=True)
+                few = Counter(compress(ws, logs == 0.0))
                 part = float(logs.sum()) + end
                 n_tokens.append(n)
-                seen.append(n - 1 - int(often.sum()) + (1 if end_c else 0))
+                seen.append(n - 1 - few.total() + (1 if end_c else 0))
                 base.append(part - n * base_below)
                 word.append(part - float(below[seq].sum()))
-                rare.append([known.words[i] for i in few])
-                times.append(often)
+                rare.append(list(few))
+                times.append(list(few.values()))
                 seqs.append(seq)
                 size += n
             rows = [pa.array(n_tokens, pa.int64()), pa.array(seen, pa.int64()), pa.array(base, pa.float64()),
@@ -387,7 +386,7 @@ def _class_totals(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     """Tokens and types of each class in the word counts of a task."""
     n, v = np.zeros(CLASSES, np.int64), np.zeros(CLASSES, np.int64)
     for b in batches:
-        c = np.fromiter((class_of(w.as_py()) for w in b.column(0)), np.int64, b.num_rows)
+        c = word_classes(b"\n".join(b.column(0).to_pylist()))
         n += np.bincount(c, b.column(1).to_numpy(), CLASSES).astype(np.int64)
         v += np.bincount(c, minlength=CLASSES)
     yield pa.RecordBatch.from_arrays([pa.array(np.arange(CLASSES), pa.int32()), pa.array(n), pa.array(v)], ["class", "n", "v"])

@@ -255,3 +255,12 @@ def test_pii_term_filter_holds_every_term(spark):
     bits = pii.term_filter(spark.createDataFrame([(x,) for x in names], "t string"))
     on = [zlib.crc32(x.encode()) % pii.FILTER_BITS for x in names]
     assert all(bits[i >> 3] >> (i & 7) & 1 for i in on) and sum(map(int.bit_count, bits)) == len(set(on))
+
+
+def test_hmm_word_classes_all_at_once():
+    texts = [None, "", " \n\t", "a", "ab", "abc", "abcd é ü\x0bXY\x85z\xa0w", "  Lead and trail  ", "x " * 5000] * 3
+    for (ws, seq), t in zip(hmm.classed(texts), texts, strict=True):
+        assert ws == (t or "").encode().lower().split()
+        assert seq.tolist() == [*[hmm.class_of(w) for w in ws], hmm.CLASSES]
+    long = [("w%d " % i) * 40_000 for i in range(20)]  # several runs
+    assert [len(seq) for _, seq in hmm.classed(long)] == [40_001] * 20
