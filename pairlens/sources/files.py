@@ -10,6 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .csv_records import read_csv_records
+
 PAIR_CSV_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in
                                 ["Month", "Item_Id", "Comp_Url", "Match_Type", "Super_Department", "Department",
                                  "Product_Type"]])
@@ -35,12 +37,10 @@ def file_order_index(df: DataFrame, name: str = "_n") -> DataFrame:
 def load_pairs(spark: SparkSession, csv_path: str, limit: int | None = None) -> DataFrame:
     """Pair CSV -> ``pairs(pair_id, link_1_url, link_2_url, meta)`` (IO1, PF1, SL1).
 
-    ``pair_id`` is ``row_%04d`` of the 1-based file order (``file_order_index``).
+    ``pair_id`` is ``row_%04d`` of the 1-based file order. Records may span lines; the file is read in splits all the same.
     ``limit`` None or 0 means no limit.
     """
-    raw = (spark.read.schema(PAIR_CSV_SCHEMA).option("header", True).option("escape", '"')
-           .option("encoding", "UTF-8").csv(csv_path))
-    ordered = file_order_index(raw)
+    ordered = read_csv_records(spark, csv_path, PAIR_CSV_SCHEMA)
     if limit:
         ordered = ordered.where(F.col("_n") <= limit)
     item = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("Item_Id"), F.lit("")), "(?U)^\\s+|\\s+$", ""),
