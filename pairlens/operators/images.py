@@ -40,35 +40,41 @@ HASH_SCHEMA = "url string, phash string, dhash string"
 
 
 def _gray(data: bytes, h: int, w: int, c: int):
+    """Grey values in thousandths, as whole numbers."""
     import numpy as np
     a = np.frombuffer(data, dtype=np.uint8)
     if c == 1:
-        return a.reshape(h, w).astype(np.float64)
-    a = a.reshape(h, w, c).astype(np.float64)
+        return a.reshape(h, w) * np.int64(1000)
+    a = a.reshape(h, w, c).astype(np.int64)
     b, g, r = a[..., 0], a[..., 1], a[..., 2]  # image source stores BGR(A)
-    return r * 0.299 + g * 0.587 + b * 0.114
+    return r * 299 + g * 587 + b * 114
 
 
-def _resize(img, out_h: int, out_w: int):
-    """Area-average resize (box filter) to out_h x out_w."""
+def _summed(grey):
+    """Summed-area table: entry (y, x) is the sum above and left of it, exactly."""
     import numpy as np
-    h, w = img.shape
-    ys = np.linspace(0, h, out_h + 1)
-    xs = np.linspace(0, w, out_w + 1)
-    out = np.empty((out_h, out_w))
-    for i in range(out_h):
-        y0, y1 = int(ys[i]), max(int(np.ceil(ys[i + 1])), int(ys[i]) + 1)
-        for j in range(out_w):
-            x0, x1 = int(xs[j]), max(int(np.ceil(xs[j + 1])), int(xs[j]) + 1)
-            out[i, j] = img[y0:y1, x0:x1].mean()
-    return out
+    table = np.zeros((grey.shape[0] + 1, grey.shape[1] + 1), np.int64)
+    table[1:, 1:] = grey.cumsum(0).cumsum(1)
+    return table
+
+
+def _resize(table, out_h: int, out_w: int):
+    """Area-average resize (box filter) to out_h x out_w: every cell from four entries of the summed-area table."""
+    import numpy as np
+
+    def edges(n: int, cells: int):
+        at = np.linspace(0, n, cells + 1)
+        low = at[:-1].astype(np.int64)
+        return low, np.maximum(np.ceil(at[1:]).astype(np.int64), low + 1)
+
+    (y0, y1), (x0, x1) = edges(table.shape[0] - 1, out_h), edges(table.shape[1] - 1, out_w)
+    total = table[np.ix_(y1, x1)] - table[np.ix_(y0, x1)] - table[np.ix_(y1, x0)] + table[np.ix_(y0, x0)]
+    return total / (np.outer(y1 - y0, x1 - x0) * 1000.0)
 
 
 def _bits_hex(bits) -> str:
-    v = 0
-    for b in bits.flatten():
-        v = (v << 1) | int(bool(b))
-    return f"{v:016x}"
+    import numpy as np
+    return np.packbits(bits.flatten()).tobytes().hex()
 
 
 def _dct_matrix(n: int):
@@ -82,7 +88,7 @@ def phash_dhash(data: bytes, h: int, w: int, c: int) -> tuple[str, str]:
     """pHash: 32x32 grey, 2-D DCT-II, top-left 8x8 above its median.
     dHash: 9x8 grey, each pixel brighter than its left neighbour."""
     import numpy as np
-    g = _gray(data, h, w, c)
+    g = _summed(_gray(data, h, w, c))
     small = _resize(g, 32, 32)
     d = _dct_matrix(32)
     coeffs = d @ small @ d.T

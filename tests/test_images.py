@@ -39,3 +39,19 @@ def test_image_hashes(spark, tmp_path):
     rec = rec.select("pair_id", "link_key", F.struct(F.col("urls").alias("image_urls")).alias("raw"))
     out = attach_image_hashes(rec, image_hashes(read_images(spark, str(d)))).first()
     assert [x.phash for x in out.image_hashes] == [h["b.png"].phash, h["a.png"].phash]
+
+
+def test_resize_equals_cell_means():
+    import numpy as np
+
+    from pairlens.operators.images import _gray, _resize, _summed
+    rng = np.random.default_rng(1)
+    for h, w, c in ((3, 5, 3), (64, 64, 1), (97, 33, 4), (200, 301, 3), (1, 1, 1)):
+        data = rng.integers(0, 256, (h, w, c), dtype=np.uint8)
+        grey = data[..., 0] * 1.0 if c == 1 else data[..., 2] * 0.299 + data[..., 1] * 0.587 + data[..., 0] * 0.114
+        ys, xs = np.linspace(0, h, 9), np.linspace(0, w, 10)
+        want = np.array([[grey[int(ys[i]):max(int(np.ceil(ys[i + 1])), int(ys[i]) + 1),
+                               int(xs[j]):max(int(np.ceil(xs[j + 1])), int(xs[j]) + 1)].mean() for j in range(9)] for i in range(8)])
+        assert np.abs(_resize(_summed(_gray(data.tobytes(), h, w, c)), 8, 9) - want).max() < 1e-9
+    flat = np.full((50, 70, 3), 137, np.uint8)
+    assert len(np.unique(_resize(_summed(_gray(flat.tobytes(), 50, 70, 3)), 8, 9))) == 1  # equal areas stay equal
