@@ -34,13 +34,18 @@ def file_order_index(df: DataFrame, name: str = "_n") -> DataFrame:
             .drop("_pid", "_mid", "_cnt", "_first", "_off"))
 
 
-def load_pairs(spark: SparkSession, csv_path: str, limit: int | None = None) -> DataFrame:
+def load_pairs(spark: SparkSession, csv_path: str, limit: int | None = None, multi_line: bool = False) -> DataFrame:
     """Pair CSV -> ``pairs(pair_id, link_1_url, link_2_url, meta)`` (IO1, PF1, SL1).
 
-    ``pair_id`` is ``row_%04d`` of the 1-based file order. Records may span lines; the file is read in splits all the same.
+    ``pair_id`` is ``row_%04d`` of the 1-based file order. ``multi_line`` admits line ends
+    inside quotes, by the record boundary index of ``csv_records``; the file is read in splits either way.
     ``limit`` None or 0 means no limit.
     """
-    ordered = read_csv_records(spark, csv_path, PAIR_CSV_SCHEMA)
+    if multi_line:
+        ordered = read_csv_records(spark, csv_path, PAIR_CSV_SCHEMA)
+    else:
+        ordered = file_order_index(spark.read.schema(PAIR_CSV_SCHEMA).option("header", True).option("escape", '"')
+                                   .option("encoding", "UTF-8").csv(csv_path))
     if limit:
         ordered = ordered.where(F.col("_n") <= limit)
     item = F.regexp_replace(F.regexp_replace(F.coalesce(F.col("Item_Id"), F.lit("")), "(?U)^\\s+|\\s+$", ""),

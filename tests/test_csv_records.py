@@ -58,5 +58,5 @@ def test_pairs_with_quoted_line_ends(spark, tmp_path):
     p = tmp_path / "pairs.csv"
     p.write_text('Month,Item_Id,Comp_Url,Match_Type,Super_Department,Department,Product_Type\n'
                  'Jan,11,https://a.example/1,"Variant\nMatch",S,D,P\nFeb,12,https://a.example/2,M,S,D,P\n')
-    rows = load_pairs(spark, str(p)).orderBy("pair_id").collect()
+    rows = load_pairs(spark, str(p), multi_line=True).orderBy("pair_id").collect()
     assert [(r.pair_id, r.meta.original_match_type) for r in rows] == [("row_0001", "Variant\nMatch"), ("row_0002", "M")]
