@@ -8,6 +8,8 @@ A normalised value is the tagged struct ``struct<kind, s, n>``:
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -53,37 +55,37 @@ def _map(d: dict) -> Column:
     return F.create_map(*kv)
 
 
-def unit_table(table: dict[str, float]) -> Column:
-    """Unit rule table as a literal ``array<struct<unit, factor>>``, longest name first."""
-    return F.array(*[F.struct(F.lit(u).alias("unit"), F.lit(float(f)).alias("factor"))
-                     for u, f in rules.units_longest_first(table)])
-
-
-def unit_convert_unrolled(val: Column, table: dict[str, float], also_remove: str | None = None) -> Column:
-    """``unit_convert`` as a ``coalesce`` of one branch per unit (no lambda)."""
-    v = F.lower(py_strip(val))
-    branches = []
-    for unit, factor in rules.units_longest_first(table):
-        rest = F.replace(v, F.lit(unit), F.lit(""))
-        if also_remove:
-            rest = F.replace(rest, F.lit(also_remove), F.lit(""))
-        branches.append(F.when(F.instr(v, unit) > 0, exact_round(digits_dots_number(rest) * F.lit(factor), 4)))
-    return F.coalesce(*branches)
-
-
-def unit_convert(val: Column, table: dict[str, float], also_remove: str | None = None) -> Column:
+def unit_convert(val: Column, table: dict[str, float], also_remove: str | None = None, bind: bool = True) -> Column:
     """Convert ``val`` with the first unit (longest name first) whose removal
-    leaves a number; ``round(num * factor, 4)``. NULL when no unit applies."""
-    v = F.lower(py_strip(val))
-
-    def try_unit(acc, u):
-        rest = F.replace(v, u["unit"], F.lit(""))
-        if also_remove:
-            rest = F.replace(rest, F.lit(also_remove), F.lit(""))
-        hit = F.when(F.instr(v, u["unit"]) > 0, let(digits_dots_number(rest) * u["factor"], lambda x: exact_round(x, 4)))
-        return F.coalesce(acc, hit)
+    leaves a number; ``round(num * factor, 4)``. NULL when no unit applies.
 
-    return F.aggregate(unit_table(table), F.lit(None).cast("double"), try_unit)
+    Removing a name without digits and dots leaves the number's characters as they are,
+    so all such units share one number and only the factor is chosen by name.
+    """
+    def convert(v: Column) -> Column:
+        tries = []  # (number, [(unit, factor)]), in order
+        for unit, factor in rules.units_longest_first(table):
+            if not re.search("[0-9.]", unit + (also_remove or "")):
+                if not tries or tries[-1][0] is not None:
+                    tries.append((None, []))
+                tries[-1][1].append((unit, factor))
+            else:
+                rest = F.replace(v, F.lit(unit), F.lit(""))
+                if also_remove:
+                    rest = F.replace(rest, F.lit(also_remove), F.lit(""))
+                tries.append((digits_dots_number(rest), [(unit, factor)]))
+        shared = digits_dots_number(v)
+
+        def scaled(number, units):
+            factor = F.coalesce(*[F.when(F.instr(v, u) > 0, F.lit(float(f))) for u, f in units])
+            return factor * (shared if number is None else number)  # the number is read only where a unit occurs
+
+        return F.coalesce(*[scaled(*t) for t in tries])
+
+    low = F.lower(py_strip(val))
+    if not bind:
+        return exact_round(convert(low), 4)
+    return let(let(low, convert), lambda x: exact_round(x, 4))
 
 
 def normalize_size(v: Column) -> Column:
@@ -124,35 +126,35 @@ def norm_value(key, raw, fix_pack_count: bool = False, bind: bool = True) -> Col
     apply the pack-count rule (S13) to it.
     """
     if not bind:  # lambda-free form (renders as a SQL function body)
-        return _norm_value_bound(col(key), col(raw), strip_noise(col(raw)), fix_pack_count, unit_convert_unrolled)
+        return _norm_value_bound(col(key), col(raw), strip_noise(col(raw)), fix_pack_count, bind=False)
     bound = F.struct(col(key).alias("k"), col(raw).alias("raw"), strip_noise(col(raw)).alias("v"))
     return let(bound, lambda b: _norm_value_bound(b["k"], b["raw"], b["v"], fix_pack_count))
 
 
 def _norm_value_bound(key: Column, raw: Column, v: Column, fix_pack_count: bool = False,
-                      convert=None) -> Column:
-    convert = unit_convert if convert is None else convert
-    lv = F.lower(v)
-    weight = convert(v, rules.WEIGHT_TO_G)
-    volume = convert(v, rules.VOLUME_TO_ML, also_remove="fl")
-    length = convert(v, rules.LENGTH_TO_CM)
-    pct_num = F.when(v.endswith("%"), py_float(F.regexp_replace(v, "%$", "")))
+                      bind: bool = True) -> Column:
     is_weight = F.instr(key, "weight") > 0
     is_volume = contains_any(key, ["volume", "capacity"])
     is_length = contains_any(key, ["length", "width", "height", "dimension"])
+    number = F.coalesce(
+        F.when(is_weight, unit_convert(v, rules.WEIGHT_TO_G, bind=bind)),
+        F.when(is_volume, unit_convert(v, rules.VOLUME_TO_ML, also_remove="fl", bind=bind)),
+        F.when(is_length, unit_convert(v, rules.LENGTH_TO_CM, bind=bind)),
+        F.when(v.endswith("%"), py_float(F.regexp_replace(v, "%$", ""))))
+
+    def number_or_text(n: Column) -> Column:
+        return (F.when(n.isNotNull(), float_value(n))
+                .when(F.lower(v).isin(rules.BOOL_TRUE), bool_value(True))
+                .when(F.lower(v).isin(rules.BOOL_FALSE), bool_value(False))
+                .otherwise(str_value(F.lower(py_strip(v)))))
+
     return (
         F.when(raw.isNull(), F.lit(None).cast(VALUE_TYPE))
         .when(v == "", str_value(py_strip(raw)))
         .when(contains_any(key, ["color", "colour", "shade", "tone"]), normalize_color(v))
         .when(key.isin("size", "clothing_size", "product_size"), normalize_size(v))
         .when(key.rlike(PACK_WORD_RE) | (F.lit(fix_pack_count) & (key == "pack_count")), normalize_pack_count(v))
-        .when(is_weight & weight.isNotNull(), float_value(weight))
-        .when(is_volume & volume.isNotNull(), float_value(volume))
-        .when(is_length & length.isNotNull(), float_value(length))
-        .when(pct_num.isNotNull(), float_value(pct_num))
-        .when(lv.isin(rules.BOOL_TRUE), bool_value(True))
-        .when(lv.isin(rules.BOOL_FALSE), bool_value(False))
-        .otherwise(str_value(F.lower(py_strip(v))))
+        .otherwise(let(number, number_or_text) if bind else number_or_text(number))
     )
 
 

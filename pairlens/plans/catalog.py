@@ -14,7 +14,7 @@ from ..operators.diff import compute_diff
 from ..operators.evaluate import verdict_summary
 from ..operators.verdict import classify
 from . import oracle as O
-from .fixtures import part_pairs
+from .fixtures import PART_COLUMNS, part_pairs, spread_table
 
 # ---------------------------------------------------------------------------
 # part catalog: pairs -> diff -> verdict
@@ -408,7 +408,7 @@ VALUE_TEMPLATES = [
 
 
 def _probe(spark, sf_dir, templates, name):
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread_table(spark, sf_dir, "part", *PART_COLUMNS)
     probes = F.array(*[F.struct(F.lit(i + 1).alias("tpl"), t[0]().alias("txt")) for i, t in enumerate(templates)])
     return part.select("p_partkey", F.inline(probes)).withColumnRenamed("txt", name)
 
@@ -443,7 +443,7 @@ def q_clean_price(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_norm_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Value normalisation by key of value texts built from each part."""
     from ..functions import norm_value
-    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    part = spread_table(spark, sf_dir, "part", *PART_COLUMNS)
     probes = F.array(*[F.struct(F.lit(i + 1).alias("tpl"), F.lit(k).alias("attr_key"), t().alias("raw"))
                        for i, (k, t, _) in enumerate(VALUE_TEMPLATES)])
     p = part.select("p_partkey", F.inline(probes)).withColumn("_v", norm_value("attr_key", "raw"))

@@ -21,6 +21,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+ROWS_PER_TASK = 20_000
+
+
+def spread_table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """A table of few bytes and much work a row, dealt evenly over tasks.
+
+    Spark cuts a scan by bytes, so a hundred thousand rows of a small file would be one task. The number of tasks is
+    that of a shuffle, or more where each would get over ``ROWS_PER_TASK`` rows.
+    """
+    rows = read_table(spark, sf_dir, name).select(*columns)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-rows.count() // ROWS_PER_TASK))
+    return rows.repartition(tasks)
+
+
 def part_raw_records(part: DataFrame) -> DataFrame:
     """One raw product record per part (the scrape output shape)."""
     words = F.split(F.col("p_name"), " ")

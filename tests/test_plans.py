@@ -82,3 +82,31 @@ def test_parse_pass_keeps_columns_without_shuffle(spark):
     assert "Exchange" not in _plan(out)
     r = out.first()
     assert (r.host, r.status, r.raw.title) == ("a.example", "ok", "T")
+
+
+def test_value_probes_of_one_small_file_run_in_many_tasks(spark, tmp_path, monkeypatch):
+    from pairlens.plans import catalog, fixtures
+    spark.createDataFrame([(i, f"red tee {i}", "Acme", "COTTON", i % 50, 9.5) for i in range(400)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double") \
+        .coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+
+    def tasks_and_most():
+        out = catalog.QUERIES["norm_value"](spark, str(tmp_path))
+        assert out.count() == 400 * len(catalog.VALUE_TEMPLATES)
+        per_task = [r["count"] for r in out.groupBy(F.spark_partition_id().alias("t")).count().collect()]
+        return len(per_task), max(per_task)
+
+    assert tasks_and_most()[0] >= 8  # as many as a shuffle has
+    monkeypatch.setattr(fixtures, "ROWS_PER_TASK", 20)
+    tasks, most = tasks_and_most()
+    assert tasks == 20 and most <= 40 * len(catalog.VALUE_TEMPLATES)  # and more as the table grows
+
+
+def test_one_number_for_all_plain_units(spark):
+    from pairlens.functions import norm_value
+    cases = [("weight", "2.5 lbs", 1133.98), ("weight", "1.2.3 kg", None), ("weight", "kg", None), ("weight", "7", None),
+             ("capacity", "2 fl oz", 59.147), ("capacity", "2 fl. oz", 59.147), ("capacity", ".5 fl. oz", 14.7867),
+             ("volume", "2. l", 2000.0), ("capacity", "1.5.2 fl. oz", None), ("height", "3 feet", 91.44), ("height", "5%", 5.0)]
+    df = spark.createDataFrame([c[:2] for c in cases], "k string, v string")
+    for bind in (True, False):
+        assert [r.x.n for r in df.select(norm_value("k", "v", bind=bind).alias("x")).collect()] == [c[2] for c in cases]
