@@ -698,9 +698,14 @@ QUERIES["source_quality"] = source_quality
 # ---------------------------------------------------------------------------
 
 
-def _in_files(spark: SparkSession, sf_dir: str, table: str, files: int) -> str:
-    """A table copied to the shared folder as several files, so that a stream reads it in batches.
+STREAM_FILE_ROWS, STREAM_FILE_BYTES = 500_000, 32 << 20
 
+
+def _in_files(spark: SparkSession, sf_dir: str, table: str, batches: int) -> tuple[str, int]:
+    """A table copied to the shared folder as several files, so that a stream reads it in batches: folder, files a batch.
+
+    The number of batches is fixed; each has as many files as keep one, which is one task's, to ``STREAM_FILE_ROWS``
+    rows and ``STREAM_FILE_BYTES`` of the stored table.
     There is one copy per version of the table (names, lengths and times of its files), so a rerun over an unchanged
     table resumes its stream and one over a changed table reads all of it. A copy without its success mark is never
     used; the next run writes another.
@@ -711,26 +716,29 @@ def _in_files(spark: SparkSession, sf_dir: str, table: str, files: int) -> str:
     from ..session import ensure_checkpoint_dir
     conf, hadoop = spark.sparkContext._jsc.hadoopConfiguration(), spark.sparkContext._jvm.org.apache.hadoop.fs
     source = f"{sf_dir}/{table}.parquet"
-    found, state = hadoop.Path(source).getFileSystem(conf).listFiles(hadoop.Path(source), True), []
+    found, state, length = hadoop.Path(source).getFileSystem(conf).listFiles(hadoop.Path(source), True), [], 0
     while found.hasNext():
         f = found.next()
+        length += f.getLen()
         state.append(f"{f.getPath()} {f.getLen()} {f.getModificationTime()}")
-    version = hashlib.sha256("\n".join([str(files), *sorted(state)]).encode()).hexdigest()[:16]
+    rows = spark.read.parquet(source).count()
+    a_batch = max(1, -(-rows // (batches * STREAM_FILE_ROWS)), -(-length // (batches * STREAM_FILE_BYTES)))
+    version = hashlib.sha256("\n".join([str(batches * a_batch), *sorted(state)]).encode()).hexdigest()[:16]
     base = f"{ensure_checkpoint_dir(spark).rstrip('/')}/streams/{table}-files-{version}"
     marks = hadoop.Path(base).getFileSystem(conf).globStatus(hadoop.Path(f"{base}-*/_SUCCESS"))
     whole = sorted(str(m.getPath().getParent()) for m in marks or [])
     if whole:
-        return whole[0]
+        return whole[0], a_batch
     path = str(hadoop.Path(base).getFileSystem(conf).makeQualified(hadoop.Path(f"{base}-{uuid.uuid4().hex[:8]}")))
-    spark.read.parquet(source).repartition(files).write.parquet(path)
-    return path
+    spark.read.parquet(source).repartition(batches * a_batch).write.parquet(path)
+    return path, a_batch
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST2: events arriving in four batches, each key of (user, type) kept once over all of them."""
     from ..streaming.jobs import dedup_available_now, stream_table
-    path = _in_files(spark, sf_dir, "events", 4)
-    out = dedup_available_now(stream_table(spark, path, files_per_batch=1), ["user_id", "event_type"], "stream_dedup", path)
+    path, files = _in_files(spark, sf_dir, "events", 4)
+    out = dedup_available_now(stream_table(spark, path, files_per_batch=files), ["user_id", "event_type"], "stream_dedup", path)
     return out.select("user_id", "event_type")
 
 
@@ -742,9 +750,9 @@ def stream_pair_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """ST3: orders and line items as two streams of several batches, a pair given out once both sides have arrived,
     however late; no state is kept beside the two stored tables."""
     from ..streaming.jobs import delta_pair_join, stream_table
-    o_path, l_path = _in_files(spark, sf_dir, "orders", 2), _in_files(spark, sf_dir, "lineitem", 3)
-    o = stream_table(spark, o_path, files_per_batch=1).select("o_orderkey", "o_orderdate")
-    li = stream_table(spark, l_path, files_per_batch=1).select("l_orderkey", "l_linenumber", "l_shipdate")
+    (o_path, o_files), (l_path, l_files) = _in_files(spark, sf_dir, "orders", 2), _in_files(spark, sf_dir, "lineitem", 3)
+    o = stream_table(spark, o_path, files_per_batch=o_files).select("o_orderkey", "o_orderdate")
+    li = stream_table(spark, l_path, files_per_batch=l_files).select("l_orderkey", "l_linenumber", "l_shipdate")
     j = delta_pair_join(o, li, "o_orderkey", "l_orderkey", "stream_pair_join", f"{o_path} {l_path}")
     return j.select("o_orderkey", "l_linenumber", "o_orderdate", "l_shipdate")
 
@@ -775,8 +783,8 @@ def stream_page_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
     is the resume index), records appended."""
     from ..sources.pages import extract_records
     from ..streaming.jobs import run_available_now, stream_table
-    path = _in_files(spark, sf_dir, "pages", 2)
-    pages = stream_table(spark, path, files_per_batch=1).select("page_id", "url", "html")
+    path, files = _in_files(spark, sf_dir, "pages", 2)
+    pages = stream_table(spark, path, files_per_batch=files).select("page_id", "url", "html")
     out = run_available_now(extract_records(pages), "stream_page_extract", path)
     return out.select("page_id", "parser", "status")
 

@@ -110,3 +110,19 @@ def test_one_number_for_all_plain_units(spark):
     df = spark.createDataFrame([c[:2] for c in cases], "k string, v string")
     for bind in (True, False):
         assert [r.x.n for r in df.select(norm_value("k", "v", bind=bind).alias("x")).collect()] == [c[2] for c in cases]
+
+
+def test_stream_batches_stay_and_files_follow_the_table(spark, tmp_path, monkeypatch):
+    from pathlib import Path
+    from pairlens.plans import catalog
+    spark.createDataFrame([(i, f"2024-01-{1 + i % 28:02d}") for i in range(100)], "o_orderkey long, o_orderdate string") \
+        .coalesce(1).write.parquet(str(tmp_path / "orders.parquet"))
+    spark.createDataFrame([(i % 120, i, "2024-02-02") for i in range(1000)], "l_orderkey long, l_linenumber int, l_shipdate string") \
+        .coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    monkeypatch.setattr(catalog, "STREAM_FILE_ROWS", 100)
+    assert catalog._in_files(spark, str(tmp_path), "orders", 2)[1] == 1
+    path, files = catalog._in_files(spark, str(tmp_path), "lineitem", 3)
+    held = [spark.read.parquet(str(f)).count() for f in Path(path.removeprefix("file:")).glob("*.parquet")]
+    assert files == 4 and len(held) == 12 and max(held) <= 100
+    got = sorted(tuple(r) for r in catalog.QUERIES["stream_pair_join"](spark, str(tmp_path)).collect())
+    assert got == sorted((i % 120, i, f"2024-01-{1 + i % 120 % 28:02d}", "2024-02-02") for i in range(1000) if i % 120 < 100)
