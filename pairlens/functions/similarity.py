@@ -108,6 +108,22 @@ def _lcs_pattern_text(p: Column, t: Column, chars_p: Column, chars_t: Column) ->
     return F.when((m == 0) | (F.length(t) == 0), F.lit(0)).otherwise(m - ones)
 
 
+def _lcs_one_word(p: Column, chars_t: Column) -> Column:
+    """LCS length where the pattern fits in one word. The match mask of a character is the reversed pattern
+    with that character as 1 and all others as 0, read as a binary number: native, no table of masks."""
+    m = F.length(p)
+    bound = F.struct(F.reverse(p).alias("r"), F.rpad(F.lit("1"), m + 1, F.lit("0")).alias("digits"),
+                     (_shl(_one(), m) - 1).alias("full"), chars_t.alias("t"))
+
+    def run(c):
+        def step(v, ch):
+            binary = F.call_function("translate", c["r"], F.concat(ch, c["r"]), c["digits"])  # the first of equal characters counts
+            return let(_band(v, F.conv(binary, 2, 10).cast("bigint")), lambda u: _band(_bor(v + u, v - u), c["full"]))
+        return F.bit_count(F.aggregate(c["t"], c["full"], step))
+
+    return m - let(bound, run)
+
+
 def lcs_len(a, b) -> Column:
     """Length of the longest common subsequence of two strings (code points)."""
     a, b = col(a), col(b)
@@ -116,7 +132,8 @@ def lcs_len(a, b) -> Column:
                     F.when(shorter_first, b).otherwise(a).alias("t"))
     return let(pair, lambda s: let(
         F.struct(s["p"].alias("p"), s["t"].alias("t"), F.split(s["p"], "").alias("cp"), F.split(s["t"], "").alias("ct")),
-        lambda b: _lcs_pattern_text(b["p"], b["t"], b["cp"], b["ct"])))
+        lambda b: F.when((F.length(b["p"]) > 0) & (F.length(b["p"]) <= WORD_BITS), _lcs_one_word(b["p"], b["ct"]))
+        .otherwise(_lcs_pattern_text(b["p"], b["t"], b["cp"], b["ct"]))))
 
 
 def indel_ratio(a, b) -> Column:
@@ -129,31 +146,25 @@ def indel_ratio(a, b) -> Column:
             .otherwise((F.lit(1.0) - dist / total) * 100.0))
 
 
-def _joined_len(tokens: Column) -> Column:
-    """``len(" ".join(tokens))``."""
-    return F.when(F.size(tokens) == 0, F.lit(0)).otherwise(
-        F.aggregate(tokens, F.lit(0), lambda acc, t: acc + F.length(t)) + F.size(tokens) - 1)
-
-
 def _token_set_from_sets(ta: Column, tb: Column) -> Column:
-    inter = F.array_intersect(ta, tb)
-    dab = F.array_sort(F.array_except(ta, tb))
-    dba = F.array_sort(F.array_except(tb, ta))
-    sa = F.array_join(dab, " ")
-    sb = F.array_join(dba, " ")
-    la, lb = F.length(sa), F.length(sb)
-    sect = _joined_len(inter)
-    g = F.when(sect > 0, F.lit(1)).otherwise(F.lit(0))
-    sab = sect + g + la
-    sba = sect + g + lb
-    dist = la + lb - 2 * lcs_len(sa, sb)
-    base = F.lit(100.0) - F.lit(100.0) * dist / (sab + sba)
-    r_ab = F.lit(100.0) - F.lit(100.0) * (g + la) / (sect + sab)
-    r_ba = F.lit(100.0) - F.lit(100.0) * (g + lb) / (sect + sba)
-    return (F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0))
-            .when((F.size(inter) > 0) & ((F.size(dab) == 0) | (F.size(dba) == 0)), F.lit(100.0))
-            .when(sect == 0, base)
-            .otherwise(F.greatest(base, r_ab, r_ba)))
+    bound = F.struct(F.length(F.array_join(F.array_intersect(ta, tb), " ")).alias("sect"),
+                     F.array_join(F.sort_array(F.array_except(ta, tb)), " ").alias("sa"),
+                     F.array_join(F.sort_array(F.array_except(tb, ta)), " ").alias("sb"))
+
+    def score(s):  # tokens are never empty, so an empty join is an empty set
+        sect, la, lb = s["sect"], F.length(s["sa"]), F.length(s["sb"])
+        g = F.when(sect > 0, F.lit(1)).otherwise(F.lit(0))
+        sab = sect + g + la
+        sba = sect + g + lb
+        dist = la + lb - 2 * lcs_len(s["sa"], s["sb"])
+        base = F.lit(100.0) - F.lit(100.0) * dist / (sab + sba)
+        r_ab = F.lit(100.0) - F.lit(100.0) * (g + la) / (sect + sab)
+        r_ba = F.lit(100.0) - F.lit(100.0) * (g + lb) / (sect + sba)
+        return (F.when((sect > 0) & ((la == 0) | (lb == 0)), F.lit(100.0))
+                .when(sect == 0, base)
+                .otherwise(F.greatest(base, r_ab, r_ba)))
+
+    return F.when((F.size(ta) == 0) | (F.size(tb) == 0), F.lit(0.0)).otherwise(let(bound, score))
 
 
 def token_set_ratio(a, b) -> Column:

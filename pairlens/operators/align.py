@@ -30,16 +30,13 @@ def key_score(k1: Column, k2: Column, threshold: float) -> Column:
     l1, l2 = F.length(k1), F.length(k2)
     bound = F.lit(200.0) * F.least(l1, l2) / (l1 + l2)
 
-    def shared(c):
-        a, b = c["a"], c["b"]
-        common = F.least(F.size(F.filter(a, lambda x: F.array_contains(b, x))),
-                         F.size(F.filter(b, lambda x: F.array_contains(a, x))))
-        return F.lit(200.0) * common / (l1 + l2)
+    def shared(a, b):  # translate with nothing to put in deletes the characters that the other key has
+        return F.length(a) - F.length(F.call_function("translate", a, b, F.lit("")))
 
-    chars = F.struct(F.split(k1, "").alias("a"), F.split(k2, "").alias("b"))
+    common = F.least(shared(k1, k2), shared(k2, k1))
     return (F.when(k1 == k2, F.lit(100.0))
             .when(bound < threshold, F.lit(-1.0))
-            .when(let(chars, shared) < threshold, F.lit(-1.0))
+            .when(F.lit(200.0) * common / (l1 + l2) < threshold, F.lit(-1.0))
             .otherwise(indel_ratio(k1, k2)))
 
 

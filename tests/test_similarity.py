@@ -45,3 +45,15 @@ def test_lcs_cross_form_and_properties(spark):
     for r in out:
         assert r.ab == r.want and r.ba == r.want
         assert 0.0 <= r.r <= 100.0 and r.self == 100.0
+
+
+def test_lcs_at_the_word_limit_and_beyond_the_basic_plane(spark):
+    rnd = random.Random(11)
+    data = [("😀a\U0001d54fb", "a😀b\U0001d54f", 2), ("01\x0010", "1\x0001", 3), ("a", "b", 0), ("aaaa", "aa", 2)]
+    for m in (1, 2, 61, 62, 63, 64):
+        for n in (m, m + 1, 130):
+            a, b = ("".join(rnd.choice("01a😀\\") for _ in range(k)) for k in (m, n))
+            data.append((a, b, lcs_dp(a, b)))
+    df = spark.createDataFrame(data, "a string, b string, want int")
+    for r in df.select("a", "b", "want", PF.lcs_len("a", "b").alias("ab"), PF.lcs_len("b", "a").alias("ba")).collect():
+        assert (r.ab, r.ba) == (r.want, r.want), (r.a, r.b)
