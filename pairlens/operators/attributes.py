@@ -97,9 +97,8 @@ def merged_attributes(spec_table, bullets) -> Column:
 def normalize_attributes(attrs) -> Column:
     """Attach the normalised tagged value to each (key, raw) entry."""
     def one(e):
-        v = norm_value(e["key"], e["value"])
-        return F.struct(e["key"].alias("key"), e["value"].alias("raw"), v["kind"].alias("kind"),
-                        v["s"].alias("s"), v["n"].alias("n"))
+        return let(norm_value(e["key"], e["value"]), lambda v: F.struct(
+            e["key"].alias("key"), e["value"].alias("raw"), v["kind"].alias("kind"), v["s"].alias("s"), v["n"].alias("n")))
     return F.transform(col(attrs), one)
 
 

@@ -50,9 +50,10 @@ def verdict(title1, title2, brand1, brand2, title_sim, compared, feature_diff) -
     def rules_body(b):
         has1 = b["b1"].isNotNull() & (b["b1"] != "")
         has2 = b["b2"].isNotNull() & (b["b2"] != "")
-        cb1, cb2 = clean_brand(b["b1"]), clean_brand(b["b2"])
-        both_conflict = ((cb1 != "") & (cb2 != "") & (cb1 != cb2)
-                         & (F.instr(cb2, cb1) == 0) & (F.instr(cb1, cb2) == 0))
+        both_conflict = let(
+            F.struct(clean_brand(b["b1"]).alias("c1"), clean_brand(b["b2"]).alias("c2")),
+            lambda c: ((c["c1"] != "") & (c["c2"] != "") & (c["c1"] != c["c2"])
+                       & (F.instr(c["c2"], c["c1"]) == 0) & (F.instr(c["c1"], c["c2"]) == 0)))
         brand_conflict = (F.when(has1 & has2, both_conflict)
                           .when(has1, _one_brand_rule(b["b1"], t2, b["w1"], b["w2"]))
                           .when(has2, _one_brand_rule(b["b2"], t1, b["w2"], b["w1"]))
@@ -60,16 +61,20 @@ def verdict(title1, title2, brand1, brand2, title_sim, compared, feature_diff) -
         mism = F.transform(
             F.filter(fd, lambda e: e["link_1_key"].isNotNull() & e["link_2_key"].isNotNull() & ~e["match"]),
             lambda e: classify_key(e["key"]))
-        types = F.array_distinct(mism)
+
+        def by_types(types):
+            return (
+                F.when((F.size(types) == 0) & (col(compared) == 0) & (sim < rules.TITLE_EXACT_WITHOUT_ATTRS),
+                       F.lit(rules.NO_MATCH))
+                .when(F.size(types) == 0, F.lit(rules.EXACT_MATCH))
+                .when((F.size(types) == 1) & (types[0] == "size"), F.lit(rules.SIZE_DIFF))
+                .when((F.size(types) == 1) & (types[0] == "color"), F.lit(rules.COLOR_DIFF))
+                .otherwise(F.lit(rules.NO_MATCH)))
+
         return (
             F.when(brand_conflict, F.lit(rules.NO_MATCH))
             .when(sim < rules.TITLE_MIN_SIMILARITY, F.lit(rules.NO_MATCH))
-            .when((F.size(mism) == 0) & (col(compared) == 0) & (sim < rules.TITLE_EXACT_WITHOUT_ATTRS),
-                  F.lit(rules.NO_MATCH))
-            .when(F.size(mism) == 0, F.lit(rules.EXACT_MATCH))
-            .when((F.size(types) == 1) & (types[0] == "size"), F.lit(rules.SIZE_DIFF))
-            .when((F.size(types) == 1) & (types[0] == "color"), F.lit(rules.COLOR_DIFF))
-            .otherwise(F.lit(rules.NO_MATCH))
+            .otherwise(let(F.array_distinct(mism), by_types))
         )
 
     invalid = ((t1 == "") | (t2 == "") | contains_any(t1, rules.TITLE_INVALID_TERMS)

@@ -126,3 +126,20 @@ def test_stream_batches_stay_and_files_follow_the_table(spark, tmp_path, monkeyp
     assert files == 4 and len(held) == 12 and max(held) <= 100
     got = sorted(tuple(r) for r in catalog.QUERIES["stream_pair_join"](spark, str(tmp_path)).collect())
     assert got == sorted((i % 120, i, f"2024-01-{1 + i % 120 % 28:02d}", "2024-02-02") for i in range(1000) if i % 120 < 100)
+
+
+def test_key_alignment_of_one_small_file_runs_in_many_tasks(spark, tmp_path):
+    from pairlens.plans import catalog
+    spark.createDataFrame([(i, f"red tee {i}", "Acme", "COTTON", i % 50, 9.5) for i in range(400)],
+                          "p_partkey long, p_name string, p_brand string, p_type string, p_size int, p_retailprice double") \
+        .coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    out = catalog.QUERIES["key_alignment"](spark, str(tmp_path))
+    assert out.count() == 400 and out.select(F.spark_partition_id()).distinct().count() >= 8
+
+
+def test_matching_work_is_bound_once(spark):
+    from pairlens.functions import token_set_ratio
+    from pairlens.operators.attributes import normalize_attributes
+    df = spark.createDataFrame([("a b", "b c", [("color", "Navy")])], "a string, b string, attrs array<struct<key:string,value:string>>")
+    assert _plan(df.select(normalize_attributes("attrs"))).count("(items?|left|remaining)") == 1
+    assert _plan(df.select(token_set_ratio("a", "b"))).count("array_except") == 2
