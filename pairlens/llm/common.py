@@ -37,11 +37,12 @@ def stored(df: DataFrame, label: str) -> DataFrame:
     return out
 
 
-def discard(*tables: DataFrame) -> None:
+def discard(*tables: DataFrame, rounds: int = 1) -> None:
     """Delete tables that ``stored`` wrote, once nothing will read them again, and the shuffle files of ended jobs.
 
     Spark removes shuffle files when the driver collects the plans that they belong to, which it may
-    otherwise not do for hours; Python lets go of its handles a moment after their last use.
+    otherwise not do for hours; Python lets go of its handles a moment after their last use. The files of the
+    very last job need up to three ``rounds``: one collection frees what holds the next.
     """
     import gc
     import time
@@ -54,6 +55,9 @@ def discard(*tables: DataFrame) -> None:
         path = sc._jvm.org.apache.hadoop.fs.Path(t.stored_path)
         path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
     sc._jvm.System.gc()
+    for _ in range(rounds - 1):
+        time.sleep(0.3)
+        sc._jvm.System.gc()
 
 
 def bound(df: DataFrame, **cols: Column) -> DataFrame:

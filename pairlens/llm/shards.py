@@ -34,10 +34,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ensure_checkpoint_dir
-from .common import stored
+from .common import discard, stored
 
 LENGTH = 512
 TASK_BYTES = 256 << 20  # of shards that one task writes
+PASSES = 2  # the shuffle files of a pass go before the next one, so that they and all shards never lie on disk together
 PER_SHARD = 8192
 ROUNDS = 8
 KEY = 0x5EED_0F_0DE2
@@ -104,8 +105,10 @@ class Layout:
         return slot // self.per_shard, slot % self.per_shard * self.stride
 
 
-def _sequences(streams: DataFrame, layout: Layout, firsts: dict[int, tuple[int, int]], content: bool) -> DataFrame:
-    """One row per sequence: id, seq_no, slot, shard, n_tokens, and the record if ``content``."""
+def _sequences(streams: DataFrame, layout: Layout, firsts: dict[int, tuple[int, int]], content: bool,
+               within: tuple[int, int] | None = None) -> DataFrame:
+    """One row per sequence (of the shards from ``within[0]`` to before ``within[1]``, if given): id, seq_no, slot, shard,
+    n_tokens, and the record if ``content``."""
     size = layout.length * layout.width
     perm = Permutation(layout.n, layout.key)
     key_type = streams.schema["doc_id"].dataType.simpleString()
@@ -116,20 +119,27 @@ def _sequences(streams: DataFrame, layout: Layout, firsts: dict[int, tuple[int,
         end = at + expected
         for b in batches:
             doc, seq, n, rec = [], [], [], []
+            sizes = [-(-len(x.as_buffer()) // size) if x.is_valid else 0 for x in b.column(1)]
+            slots = perm(np.arange(at, at + sum(sizes)))
+            at += slots.size
+            if at > end:
+                raise ValueError("the table was dealt out differently than when it was counted")
+            lo, hi = within or (0, -(-layout.n // layout.per_shard))
+            wanted = (slots >= lo * layout.per_shard) & (slots < hi * layout.per_shard)
+            asked = iter(wanted.tolist())
             for r, x in enumerate(b.column(1)):
                 ids = x.as_buffer().to_pybytes() if x.is_valid else b""
                 if len(ids) % layout.width:
                     raise ValueError("a stream isn't whole tokens")
                 for k in range(0, len(ids), size):
+                    if not next(asked):
+                        continue
                     part = ids[k:k + size]
                     doc.append(r)
                     seq.append(k // size)
                     n.append(len(part) // layout.width)
                     rec.append(n[-1].to_bytes(4, "little") + part.ljust(size, b"\0") if content else None)
-            slots = perm(np.arange(at, at + len(doc)))
-            at += len(doc)
-            if at > end:
-                raise ValueError("the table was dealt out differently than when it was counted")
+            slots = slots[wanted]
             yield pa.RecordBatch.from_arrays(
                 [b.column(0).take(pa.array(doc, pa.int64())), pa.array(seq, pa.int64()), pa.array(slots),
                  pa.array(slots // layout.per_shard), pa.array(n, pa.int64()), pa.array(rec, pa.binary())],
@@ -177,11 +187,20 @@ def materialise(streams: DataFrame, width: int = 1, length: int = LENGTH, per_sh
         path = path or f"{ensure_checkpoint_dir(spark)}/shards-{uuid.uuid4().hex}"
         layout = Layout(path, n, length, width, per_shard, key)
         if n:
-            rows = _sequences(s, layout, firsts, content=True).select("shard", "slot", F.col("record").cast("string").alias("value"))
             shards = -(-n // per_shard)
             tasks = min(shards, max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n * layout.stride // TASK_BYTES)))
-            (rows.repartitionByRange(tasks, "shard").sortWithinPartitions("shard", "slot").drop("slot")
-             .write.partitionBy("shard").text(path))
+            passes = min(PASSES, shards)
+            for k in range(passes):
+                within = shards * k // passes, shards * (k + 1) // passes
+                rows = _sequences(s, layout, firsts, content=True, within=within)
+                rows = rows.select("shard", "slot", F.col("record").cast("string").alias("value"))
+                some, own = -(-tasks // passes), within[1] - within[0]
+                # ranges by arithmetic: range partitioning samples uneven scans anew under other partition numbers
+                task = F.floor((F.col("shard") - within[0]) * min(some, own) / own).cast("int")
+                (rows.repartitionById(some, task).sortWithinPartitions("shard", "slot").drop("slot")
+                 .write.mode("append" if within[0] else "errorifexists").partitionBy("shard").text(path))
+                del rows
+                discard(rounds=3)  # this pass's shuffle files
         manifest = stored(_sequences(s, layout, firsts, content=False).drop("record"), "manifest")
     finally:
         if before is None:

@@ -184,3 +184,25 @@ def test_shards_query(spark):
     for r in rows:
         part = texts[r.doc_id].encode()[r.seq_no * shards.LENGTH:(r.seq_no + 1) * shards.LENGTH]
         assert r.stored_crc32 == zlib.crc32(part) and r.n_tokens == r.stored_tokens == len(part)
+
+
+def test_shards_in_passes_are_those_of_one_pass(spark, tmp_path, monkeypatch):
+    rows = docs_table(spark, [f"text {i} é " * (i % 40) for i in range(50)]).selectExpr("doc_id", "cast(text as binary) ids").coalesce(1)
+    ends, found = [], {}
+    monkeypatch.setattr(shards, "discard", lambda *tables, rounds: ends.append(len(list((tmp_path / "2").glob("shard=*")))))
+    for passes in (1, 2):
+        monkeypatch.setattr(shards, "PASSES", passes)
+        layout, manifest = shards.materialise(rows, length=64, per_shard=16, path=str(tmp_path / str(passes)))
+        found[passes] = ({f.parent.name: f.read_bytes() for f in (tmp_path / str(passes)).glob("shard=*/part-*")},
+                         sorted(map(tuple, manifest.collect())))
+    assert found[1] == found[2] and len(found[1][0]) == -(-layout.n // 16)
+    assert 0 < ends[1] < ends[2] == len(found[2][0])  # shuffle files go between the passes, when half the shards are there
+    with pytest.raises(Exception, match="exist"):
+        shards.materialise(rows, length=64, per_shard=16, path=str(tmp_path / "2"))
+
+
+def test_shards_of_an_uneven_scan(spark, tmp_path):
+    """One row group cut into several splits: all rows are one task's."""
+    docs_table(spark, ["ab c " * 400] * 3000).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = shards.op2_shards(spark.read.parquet(str(tmp_path / "documents.parquet"))).collect()
+    assert len(rows) == 3000 * 4 and all(r.n_tokens == r.stored_tokens for r in rows)
