@@ -7,26 +7,40 @@ n_chars are carried as they are, whatever their names.
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pairlens.llm import bpe, hyperminhash, linededup, mixing, quality
 from pairlens.llm.common import WORD_RE, n_words, read_table, stored
+from pairlens.session import apply_job_conf
 
 _ROW = "__doc"
 
 
+def _job_settings(stage):
+    """The stage under the settings every job assumes, also where it is run by itself: with Spark's own
+    10,000 rows a batch, each Python worker holds tens of MB of texts and tokens at a time."""
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        return stage(apply_job_conf(spark), docs, sf_dir)
+    return run_stage
+
+
 def _packed(docs: DataFrame) -> Column:
     """The whole row as one column, so that no operator's column can clash with one of it."""
     return F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias(_ROW)
 
 
+@_job_settings
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the production policy of the rule ledger."""
     book = quality.ledger(docs.select("text", _packed(docs)))
     return book.where(~quality.failed(quality.PRODUCTION)).select(f"{_ROW}.*")
 
 
+@_job_settings
 def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without later repeated passages; one of which no word is left goes."""
     rest = F.struct(*[F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")], F.lit(0).alias("__")).alias(_ROW)
@@ -37,17 +51,20 @@ def line_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
                       else F.col(f"{_ROW}.`{c}`").alias(c) for c in docs.columns])
 
 
+@_job_settings
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near duplicates: five-word shingles, similarity 0.8 or more."""
     return hyperminhash.one_of_each(docs, k=5, percent=80)
 
 
+@_job_settings
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of the sources takes it."""
     d = docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), _packed(docs))
     return mixing.replicated(mixing.mix(d, size="size"), [f"{_ROW}.*"])
 
 
+@_job_settings
 def token_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with ``ids`` (packed tokens), ``n_tokens``, and whether the ids decode to the text."""
     import public_tokenizers

@@ -35,6 +35,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import pieces
+
 LEAF = 1 << 16
 PIECE = 256
 SPAN = 1 << 20
@@ -170,8 +172,12 @@ class Codec:
 
     def decode(self, ids: bytes) -> bytes:
         """The bytes that packed ids stand for."""
-        t = self.tokens
-        return b"".join([t[i] for i in memoryview(ids).cast("I")]) if ids else b""
+        return spelled(self.tokens, ids)
+
+
+def spelled(tokens: dict[int, bytes], ids: bytes) -> bytes:
+    """The bytes that packed ids stand for, by a table of the tokens."""
+    return b"".join([tokens[i] for i in memoryview(ids).cast("I")]) if ids else b""
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -180,9 +186,19 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
 
 
+@lru_cache(maxsize=2)
+def _ranks(name: str) -> dict[bytes, int]:
+    return read_ranks(SparkFiles.get(name))
+
+
+@lru_cache(maxsize=2)
+def _tokens(name: str) -> dict[int, bytes]:
+    return {i: b for b, i in _ranks(name).items()}
+
+
 @lru_cache(maxsize=2)
 def _codec(name: str, pattern: str) -> Codec:
-    return Codec(read_ranks(SparkFiles.get(name)), pattern)
+    return Codec(_ranks(name), pattern)
 
 
 _SENT: set[tuple[str, str]] = set()
@@ -205,7 +221,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", span: i
 
     def short(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
-        for b in batches:
+        for b in pieces(batches):
             out = [codec.encode(x.as_py() or "") for x in b.column(b.schema.get_field_index(text))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, ids])
 
@@ -214,7 +230,7 @@ def encode(docs: DataFrame, path: str, pattern: str, text: str = "text", span: i
 
     def spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(name, pattern)
-        for b in batches:
+        for b in pieces(batches):
             out = [codec.encode(x.as_py()) for x in b.column(b.schema.get_field_index("part"))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(out, pa.binary())], [*b.schema.names, "part_ids"])
 
@@ -252,9 +268,9 @@ def decode(df: DataFrame, path: str, ids: str = "ids", out: str = "decoded") ->
     schema = T.StructType([*d.schema.fields, T.StructField(out, T.BinaryType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = _codec(name, "")
-        for b in batches:
-            got = [codec.decode(x.as_py()) for x in b.column(b.schema.get_field_index(ids))]
+        tokens = _tokens(name)
+        for b in pieces(batches):
+            got = [spelled(tokens, x.as_py()) for x in b.column(b.schema.get_field_index(ids))]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.binary())], [*b.schema.names, out])
 
     return d.mapInArrow(run, schema)

@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -87,6 +89,18 @@ def unit_random(*cols: Column) -> Column:
     return (F.shiftrightunsigned(F.xxhash64(*cols), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
 
 
+def pieces(batches: Iterable[pa.RecordBatch], size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """The rows of Arrow batches in batches of about ``size`` bytes (a row at least), nothing copied.
+
+    Spark hands over up to 10,000 rows or 64 MB at once where a session sets no less; what a task makes of
+    them in Python then takes a few times that, in every worker, and is kept by its allocator after the task.
+    """
+    for b in batches:
+        step = max(1, b.num_rows * size // max(1, b.nbytes))
+        for i in range(0, b.num_rows, step):
+            yield b.slice(i, step)
+
+
 def empty_to(df: DataFrame, name: str, kind: T.DataType | str) -> DataFrame:
     """Cast one column (tables may arrive with another integer width)."""
     return df.withColumn(name, F.col(name).cast(kind))

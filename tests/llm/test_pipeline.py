@@ -82,3 +82,21 @@ def test_run_on_little_input(spark, tmp_path, texts):
     df = docs_table(spark, texts) if texts else spark.createDataFrame([], DOCS)
     df.write.parquet(str(tmp_path / "documents.parquet"))
     assert job.run(spark, str(tmp_path)).collect() == []
+
+
+def test_stages_apply_the_settings_of_the_job(spark):
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    docs = docs_table(spark, [f"text {i}" for i in range(2500)]).coalesce(1)
+    for stage in (job.quality_stage, job.line_stage, job.mixing_stage):
+        spark.conf.set(size, 10000)  # Spark's own
+        stage(spark, docs, "")
+        assert spark.conf.get(size) == "1000"
+
+    def rows_at_once(batches):
+        import pyarrow as pa
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows]})
+
+    spark.conf.set(size, 10000)
+    ns = [r["n"] for r in job.token_stage(spark, docs, "").select("ids").mapInArrow(rows_at_once, "n long").collect()]
+    assert sum(ns) == 2500 and max(ns) <= 1000

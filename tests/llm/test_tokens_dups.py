@@ -63,6 +63,25 @@ def test_bpe_query(spark, codec):
     assert bpe.op8_bpe(spark.createDataFrame([], DOCS), PATH, public_tokenizers.PATTERN).collect() == []
 
 
+def test_workers_take_large_batches_in_pieces(codec, monkeypatch):
+    """A batch of 27 MB leaves in pieces of about one, and decoding builds no encoder."""
+    import pyarrow as pa
+    monkeypatch.setattr(bpe, "ship", lambda spark, path: path)
+    monkeypatch.setattr(bpe.SparkFiles, "get", lambda name: name)
+    frame = type("Frame", (), {"sparkSession": None, "schema": bpe.T.StructType(), "drop": lambda self, c: self,
+                               "mapInArrow": lambda self, task, schema: task})()
+    text = "plain words and more " * 64
+    ids = codec.encode(text)
+    n = 27_000_000 // len(ids)
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(n)), "ids": pa.array([ids] * n, pa.binary())})
+    bpe._codec.cache_clear()
+    monkeypatch.setattr(bpe, "Codec", None)
+    out = list(bpe.decode(frame, PATH)(iter([batch, batch.slice(0, 0), batch.slice(5, 1)])))
+    assert [i for b in out for i in b["doc_id"].to_pylist()] == [*range(n), 5]
+    assert {x for b in out for x in b["decoded"].to_pylist()} == {text.encode()}
+    assert max(b["ids"].nbytes for b in out) <= 1 << 20
+
+
 def near_rows():
     rng = random.Random(8)
     vocab = [f"w{i}" for i in range(400)]
